@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 _WORD_OR_SYMBOL = re.compile(r"\w+|[^\w\s]")
 TokenCounter = Callable[[str], int]
@@ -31,19 +31,6 @@ def bpe_tokens(encoding: str = "cl100k_base") -> TokenCounter:
     return count
 
 
-def with_trails(blocks: list[dict]) -> list[dict]:
-    """Fill in missing heading trails and leave out the headings themselves."""
-    body, trail = [], {}
-    for block in blocks:
-        if block["kind"] == "heading":
-            trail = {n: t for n, t in trail.items() if n < block["level"]}
-            trail[block["level"]] = block["text"]
-            continue
-        given = block["headings"]
-        body.append((given if given is not None else [trail[n] for n in sorted(trail)], block))
-    return [{**block, "headings": headings} for headings, block in body]
-
-
 def cut(text: str, limit: int, count: TokenCounter) -> list[tuple[str, int]]:
     """Pieces of at most ``limit`` tokens, cut between words; a longer word stands alone."""
     total = count(text)
@@ -62,33 +49,37 @@ def cut(text: str, limit: int, count: TokenCounter) -> list[tuple[str, int]]:
     return pieces
 
 
-def pack(blocks: list[dict], limit: int, merge_peers: bool, count: TokenCounter) -> list[dict]:
-    """Greedy left-to-right packing: a piece joins the open chunk if the heading trail is the same
-    and the token sum stays within the limit."""
-    chunks: list[dict] = []
-    for block in with_trails(blocks):
-        for text, size in cut(block["text"], limit, count):
-            page = [block["page_no"]]
-            last = chunks[-1] if chunks else None
-            if (
-                merge_peers
-                and last
-                and last["headings"] == block["headings"]
-                and last["n_tokens"] + size <= limit
-            ):
-                last["texts"].append(text)
-                last["n_tokens"] += size
-                last["page_nos"] += page
+class Chunk:
+    __slots__ = ("texts", "headings", "pages", "tokens")
+
+    def __init__(self, text, headings, page, tokens):
+        self.texts, self.headings, self.pages, self.tokens = [text], headings, [page], tokens
+
+
+def pack(blocks: Iterable[tuple], limit: int, merge_peers: bool, count: TokenCounter) -> list[Chunk]:
+    """Greedy left-to-right packing of (kind, level, headings, page_no, text) blocks: a piece joins
+    the open chunk if the heading trail is the same and the token sum stays within the limit.
+
+    Heading blocks only move the trail; a block without a trail of its own takes the running one.
+    """
+    chunks: list[Chunk] = []
+    trail: dict[int, str] = {}
+    running: list[str] = []
+    last = None
+    for kind, level, headings, page, text in blocks:
+        if kind == "heading":
+            trail = {n: t for n, t in trail.items() if n < level}
+            trail[level] = text
+            running = [trail[n] for n in sorted(trail)]
+            continue
+        if headings is None:
+            headings = running
+        for piece, size in cut(text, limit, count):
+            if merge_peers and last and last.tokens + size <= limit and last.headings == headings:
+                last.texts.append(piece)
+                last.pages.append(page)
+                last.tokens += size
             else:
-                chunks.append(
-                    {
-                        "chunk_ix": len(chunks),
-                        "texts": [text],
-                        "headings": block["headings"],
-                        "page_nos": page,
-                        "n_tokens": size,
-                    }
-                )
-    for chunk in chunks:
-        chunk["text"] = "\n".join(chunk.pop("texts"))
+                last = Chunk(piece, headings, page, size)
+                chunks.append(last)
     return chunks

@@ -6,6 +6,7 @@ the parameter part of the last path segment set aside.
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -55,13 +56,16 @@ _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 _ORIGIN = r"^(https?://[^/?#]+)"
+# A path of at most MAX_PLAIN_DEPTH non-empty segments, the parameters of the last one aside.
+_SHALLOW = (
+    r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?"
+    rf"/*(?:[^/?#]+(?:/+[^/?#]+){{0,{MAX_PLAIN_DEPTH - 1}}})?/*(?:;[^/?#]*)?(?:[?#]|$)"
+)
 
 
 def _any_of(haystack: Column, needles: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | haystack.contains(needle)
-    return found
+    """One alternation, so that a filter evaluates ``haystack`` once and not once per needle."""
+    return haystack.rlike("|".join(re.escape(needle) for needle in needles))
 
 
 def scheme(url: Column) -> Column:
@@ -104,10 +108,10 @@ def same_site(url: Column, base: Column) -> Column:
 
 
 def should_crawl(url: Column) -> Column:
-    """Not a skip pattern, and either a home page, a content pattern, or a shallow path."""
+    """Not a skip pattern, and either a content pattern or a shallow path. A home page has no path
+    segments, so it is shallow. Crawls test many links: the depth is one pattern, not a split."""
     lowered = F.lower(url)
-    home = path(url).isin("", "/")
-    worthwhile = home | _any_of(lowered, CONTENT_PATTERNS) | (path_depth(url) <= MAX_PLAIN_DEPTH)
+    worthwhile = _any_of(lowered, CONTENT_PATTERNS) | url.rlike(_SHALLOW)
     return ~_any_of(lowered, SKIP_PATTERNS) & worthwhile
 
 
@@ -144,24 +148,26 @@ def _join_url(base: pa.Array, href: pa.Array) -> pa.Array:
     return pa.array([one(b, h) for b, h in zip(base.to_pylist(), href.to_pylist())], pa.string())
 
 
+# Links that need no joining beyond a prefix: absolute, host-rooted or path-rooted, without dot
+# segments, parameters, white space or an empty query or fragment.
+_PLAIN_LINK = (
+    r"^(?:(?:https?:)?//[^/?#;\[\]\x{00}-\x{20}]+(?=[/?#]|$)|/(?![/.]))"
+    r"(?:(?!/\.|[?]#)[^;\x{00}-\x{20}])*(?<![?#])$"
+)
+_PLAIN_BASE = r"^https?://[^/?#\[\]\t\r\n]+(?:[/?#][^\t\r\n]*)?$"
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Relative reference against its page.
 
-    Absolute, host-rooted and path-rooted links without dot segments, parameters or stray
-    characters are plain string work and stay in the JVM. Only the rest is handed to Python: for
-    the plain ones the UDF's input is null, so they cost it nothing but a validity bit.
+    Plain links are string work and stay in the JVM. Only the rest is handed to Python: for the plain
+    ones the function's input is null, so they cost it nothing but a validity bit.
     """
-    origin = F.regexp_extract(base, _ORIGIN, 1)
-    tidy = href.rlike(r"^[^\x{00}-\x{20};]+$") & ~href.rlike(r"[?#]$") & ~href.rlike(r"[?]#|/\.")
-    absolute = tidy & href.rlike(r"^https?://[^/?#]+(?:[/?#]|$)")
-    host_rooted = tidy & href.rlike(r"^//[^/?#]+(?:[/?#]|$)")
-    path_rooted = tidy & href.rlike(r"^/(?:[^/]|$)")
-    plain_base = (origin != "") & ~base.rlike(r"^[\x{00}-\x{20}]|[\t\r\n]")
-    plain = plain_base & (absolute | host_rooted | path_rooted)
+    plain = base.rlike(_PLAIN_BASE) & href.rlike(_PLAIN_LINK)
     native = (
-        F.when(absolute, href)
-        .when(host_rooted, F.concat(F.regexp_extract(base, r"^(https?:)", 1), href))
-        .when(path_rooted, F.concat(origin, href))
+        F.when(~href.startswith("/"), href)
+        .when(href.startswith("//"), F.concat(F.substring_index(base, "//", 1), href))
+        .otherwise(F.concat(F.regexp_extract(base, _ORIGIN, 1), href))
     )
     rest = F.when(~plain, href)
-    return F.when(plain, native).otherwise(_join_url(base, rest))
+    return F.when(plain, native).otherwise(_join_url.asNondeterministic()(base, rest))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,20 +17,33 @@ MAX_TOKENS = 512
 MIN_CHUNK_WORDS = 15
 EMBED_BATCH = 100
 
-_CHUNKS_ARROW = pa.list_(
-    pa.struct(
-        [
-            ("chunk_ix", pa.int32()),
-            ("text", pa.string()),
-            ("headings", pa.list_(pa.string())),
-            ("page_nos", pa.list_(pa.int32())),
-            ("n_tokens", pa.int32()),
-        ]
-    )
-)
 _COUNTERS = {"token": packing.symbol_tokens, "word": packing.word_tokens}
 
 
+def _documents(documents: pa.Array) -> Iterator[Iterator[tuple] | None]:
+    """Block tuples of each document, taken column by column out of the nested array."""
+    blocks = documents.values
+    names = ("kind", "level", "headings", "page_no", "text")
+    columns = [blocks.field(name).to_pylist() for name in names]
+    starts = documents.offsets.to_pylist()
+    for i, valid in enumerate(documents.is_valid().to_pylist()):
+        yield zip(*[column[starts[i] : starts[i + 1]] for column in columns]) if valid else None
+
+
+def _chunk_array(chunks: list[packing.Chunk], ends: list[int], whole: list[bool]) -> pa.Array:
+    places = [ix for start, end in zip(ends, ends[1:]) for ix in range(end - start)]
+    columns = [
+        pa.array(places, pa.int32()),
+        pa.array(["\n".join(c.texts) for c in chunks], pa.string()),
+        pa.array([c.headings for c in chunks], pa.list_(pa.string())),
+        pa.array([c.pages for c in chunks], pa.list_(pa.int32())),
+        pa.array([c.tokens for c in chunks], pa.int32()),
+    ]
+    rows = pa.StructArray.from_arrays(columns, ["chunk_ix", "text", "headings", "page_nos", "n_tokens"])
+    missing = pa.array([not ok for ok in whole], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=missing)
+
+
 def pack_blocks(
     blocks: Column,
     max_tokens: int = MAX_TOKENS,
@@ -41,16 +55,20 @@ def pack_blocks(
 
     @F.arrow_udf(CHUNKS_DDL)
     def run(documents: pa.Array) -> pa.Array:
-        out = []
-        for document in documents.to_pylist():
+        ends, whole, found = [0], [], []
+        for document in _documents(documents):
+            packed = None
             try:
-                out.append(None if document is None else packing.pack(document, max_tokens, merge_peers, count))
+                if document is not None:
+                    packed = packing.pack(document, max_tokens, merge_peers, count)
             except Exception:
                 logging.getLogger(__name__).exception("document skipped in chunking")
-                out.append(None)
-        return pa.array(out, _CHUNKS_ARROW)
+            whole.append(packed is not None)
+            found += packed or []
+            ends.append(len(found))
+        return _chunk_array(found, ends, whole)
 
-    return run(blocks)
+    return run.asNondeterministic()(blocks)
 
 
 def chunk_documents(

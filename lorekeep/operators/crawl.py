@@ -44,20 +44,22 @@ def reachable(
     ``roots`` has one column ``root``. One equi-join per level, all roots together: the frontier
     carries each (root, url) once, so a page reached over many links joins only once. Pages of level
     d are fetched only while d < ``max_depth`` and the root's count before that level is below
-    ``max_urls``; a level is taken whole, never cut. Every level is checkpointed, which keeps plans
-    short and lets a lost executor be replaced. With ``dedupe='canonical'`` the www and plain
+    ``max_urls``; a level is taken whole, never cut. Every level is written to the shared folder, which
+    keeps plans short and lets a lost executor be replaced. With ``dedupe='canonical'`` the www and plain
     spellings of one page count as one and the smaller spelling is kept.
     """
-    frontier = roots.select("root", F.col("root").alias("url")).distinct()
-    frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)))
+    if max_depth > 2:
+        edges = cut_lineage(edges)
+    frontier = cut_lineage(roots.select("root", F.col("root").alias("url"), F.lit(0).alias("depth")).distinct())
     visited = frontier
     for depth in range(1, max_depth):
-        open_roots = frontier
+        open_pages = frontier
         if max_urls is not None:
             counts = visited.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-            open_roots = frontier.join(counts.filter(F.col("_n") < max_urls), "root", "left_semi")
+            open_pages = frontier.join(counts.filter(F.col("_n") < max_urls), "root", "left_semi")
         stepped = (
-            open_roots.join(edges, open_roots["url"] == edges["src"])
+            open_pages.select("root", F.col("url").alias("src"))
+            .join(edges, "src")
             .groupBy("root", _key(F.col("dst"), dedupe).alias("_k"))
             .agg(F.min("dst").alias("url"))
         )
@@ -66,7 +68,7 @@ def reachable(
         frontier = cut_lineage(fresh.select("root", "url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited
 
 

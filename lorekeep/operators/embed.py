@@ -43,7 +43,11 @@ def hashing_embedder(dim: int = VECTOR_DIM) -> Callable[[], Embedder]:
 
 
 def _vectors(rows: list[np.ndarray | None]) -> pa.Array:
-    return pa.array([None if r is None else r.tolist() for r in rows], pa.list_(pa.float32()))
+    known = [r for r in rows if r is not None]
+    ends = np.cumsum([0] + [0 if r is None else len(r) for r in rows], dtype=np.int32)
+    flat = np.concatenate(known) if known else np.zeros(0, np.float32)
+    missing = pa.array([r is None for r in rows], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()), mask=missing)
 
 
 def embed(
@@ -81,7 +85,7 @@ def embed(
                     out[i] = vector
             yield _vectors(out)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def embed_chunks(

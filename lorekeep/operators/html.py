@@ -38,6 +38,10 @@ def read_page(html: Column, *parts: str) -> Column:
     ``clean`` is the page source without dropped subtrees, ``text`` its reading text glued without
     separators, ``n_words`` the words of that text, ``links`` every raw ``<a href>``, ``blocks`` the
     document in reading order. A page that cannot be parsed gives a null struct.
+
+    The function is declared non-deterministic for the planner's sake only: a filter on one part must
+    not be pushed below the projection, where it would parse every page a second time. The same holds
+    for the other Arrow functions of this package.
     """
     ddl = "struct<" + ",".join(f"{part}:{_PARTS[part][0]}" for part in parts) + ">"
     fields = [(part, _PARTS[part][1]) for part in parts]
@@ -58,7 +62,7 @@ def read_page(html: Column, *parts: str) -> Column:
             rows.append({part: reader(parsed) for part, reader in zip(parts, readers)})
         return pa.array(rows, pa.struct(fields))
 
-    return read(html)
+    return read.asNondeterministic()(html)
 
 
 def clean_html(pages: DataFrame, html: str = "html", out: str = "clean") -> DataFrame:
@@ -138,8 +142,9 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
-    """Adds ``target``, the normalised absolute form of each link."""
-    return links.withColumn("target", ux.normalize(ux.resolve(F.col("url"), F.col("href"))))
+    """Adds ``resolved``, the absolute form of each link, and ``target``, that form normalised."""
+    absolute = links.withColumn("resolved", ux.resolve(F.col("url"), F.col("href")))
+    return absolute.withColumn("target", ux.normalize(F.col("resolved")))
 
 
 def link_preview(links: DataFrame, shown: int = 3) -> DataFrame:

@@ -259,7 +259,7 @@ class CellIndex:
                 found[valid] = (rows @ centroids.T).argmax(axis=1)
             return pa.array(found, pa.int32(), mask=~valid)
 
-        return cell(embedding)
+        return cell.asNondeterministic()(embedding)
 
 
 def ann_build(entries: DataFrame, lists: int = LISTS, train_rows: int = 1_000_000, seed: int = 42) -> tuple[DataFrame, CellIndex]:

@@ -11,6 +11,9 @@ from lorekeep.operators import chunking, embed, html, quality
 from lorekeep.plans.catalog.registry import (
     CTE_DOCS,
     CTE_LINES,
+    SQL_SPACE,
+    SQL_TOKEN,
+    SQL_WORD,
     docs,
     joined,
     lines,
@@ -37,7 +40,7 @@ def char_count(spark, folder):
     return docs(spark, folder).select("doc_id", tx.char_count(F.col("text")).cast(BIG).alias("chars"))
 
 
-@query("token_count", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{tx.TOKEN}')) AS BIGINT) AS tokens FROM documents")
+@query("token_count", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{SQL_TOKEN}')) AS BIGINT) AS tokens FROM documents")
 def token_count(spark, folder):
     return docs(spark, folder).select("doc_id", tx.token_count(F.col("text")).cast(BIG).alias("tokens"))
 
@@ -76,19 +79,16 @@ def chunk_min_words(spark, folder):
 def _sql_pieces(limit: int, trail: str) -> str:
     """Pieces of at most ``limit`` words; ``trail`` is the heading trail of a body line."""
     return f"""{CTE_LINES},
-typed AS (SELECT *, {sql_words('text')} AS n, regexp_extract_all(text, '{_WORD}') AS ws FROM lines),
+typed AS (SELECT *, {sql_words('text')} AS n, regexp_extract_all(text, '{SQL_WORD}') AS ws FROM lines),
 trailed AS (SELECT *, {trail} AS trail FROM typed),
 body AS (SELECT * FROM trailed WHERE NOT is_heading(n)),
 pieces AS (
-  SELECT doc_id, ix, trail, 0 AS part, n AS size, regexp_replace(text, '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g') AS piece FROM body WHERE n <= {limit}
+  SELECT doc_id, ix, trail, 0 AS part, n AS size, regexp_replace(text, '^[{SQL_SPACE}]+|[{SQL_SPACE}]+$', '', 'g') AS piece FROM body WHERE n <= {limit}
   UNION ALL
   SELECT doc_id, ix, trail, k, least({limit}, n - k * {limit}), array_to_string(ws[k * {limit} + 1 : (k + 1) * {limit}], ' ')
   FROM (SELECT *, unnest(generate_series(0, CAST(ceil(n / {limit}.0) AS BIGINT) - 1)) AS k FROM body WHERE n > {limit}))"""
 
 
-_WORD = tx.WORD
-
-
 def _sql_packed(limit: int, trail: str, heading: str) -> str:
     """Greedy left-to-right packing as a recursion over the pieces of each document."""
     return f"""WITH RECURSIVE {_sql_pieces(limit, trail).replace('is_heading(n)', heading)},
@@ -133,7 +133,7 @@ def chunk_merge(spark, folder):
 @query(
     "chunk_split",
     f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS ws FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '{SQL_WORD}') AS ws FROM documents),
 k AS (SELECT *, unnest(generate_series(0, CAST(ceil(len(ws) / 100.0) AS BIGINT) - 1)) AS k FROM w)
 SELECT doc_id, CAST(k AS BIGINT) AS piece_ix, array_to_string(ws[k * 100 + 1 : (k + 1) * 100], ' ') AS text FROM k
 """,
@@ -238,7 +238,7 @@ def _titled(spark, folder):
     return docs(spark, folder).select("doc_id", "source", "url", "lang", "text", name.alias("filename"), short.alias("hs"))
 
 
-SQL_FIRST_LINE = f"left(regexp_replace(string_split(text, chr(10))[1], '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g'), 50)"
+SQL_FIRST_LINE = f"left(regexp_replace(string_split(text, chr(10))[1], '^[{SQL_SPACE}]+|[{SQL_SPACE}]+$', '', 'g'), 50)"
 
 
 @query(
@@ -268,7 +268,7 @@ def title_simple(spark, folder):
 @query(
     "page_numbers",
     f"""
-WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: CASE WHEN length(x) > 4 THEN length(x) END) AS ps FROM documents)
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{SQL_WORD}'), lambda x: CASE WHEN length(x) > 4 THEN length(x) END) AS ps FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(ps, lambda p: p IS NOT NULL))), '|') AS pages FROM w
 """,
 )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
 from lorekeep.operators import crawl, html
-from lorekeep.plans.catalog.registry import docs, query, sql_words, table
+from lorekeep.plans.catalog.registry import SQL_WORD, docs, query, sql_words, table
 from lorekeep.plans.catalog.urls_q import CTE_LINKS, _links
+from lorekeep.session import cut_lineage
 
 SQL_CLEAN = "regexp_replace(html, '<nav\\b.*?</nav>|<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', '', 'gis')"
 SQL_UNESCAPE = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&')"
@@ -85,7 +86,7 @@ WITH body AS (
   SELECT url, regexp_replace(regexp_replace({SQL_CLEAN}, '<!--.*?-->|<title>.*?</title>|<!DOCTYPE[^>]*>', '', 'gs'), '<br>', chr(10), 'g') AS h FROM pages),
 cut AS (SELECT url, regexp_split_to_array(h, '</?(?:p|h1|div|article|footer|body|html|ul|li)\\b[^>]*>') AS ps FROM body),
 inline_gone AS (SELECT url, list_transform(ps, lambda p: regexp_replace(p, '<[^>]*>', '', 'g')) AS ps FROM cut),
-plain AS (SELECT url, list_filter(list_transform(ps, lambda p: array_to_string(regexp_extract_all({SQL_UNESCAPE.format('p')}, '{tx.WORD}'), ' ')), lambda p: p <> '') AS ps FROM inline_gone)
+plain AS (SELECT url, list_filter(list_transform(ps, lambda p: array_to_string(regexp_extract_all({SQL_UNESCAPE.format('p')}, '{SQL_WORD}'), ' ')), lambda p: p <> '') AS ps FROM inline_gone)
 SELECT url, unnest(generate_series(0, len(ps) - 1)) AS ix, unnest(ps) AS text FROM plain
 """,
 )
@@ -195,5 +196,5 @@ def crawl_budget(spark, folder):
 
 @query("crawl_new_links", f"WITH {CTE_GRAPH} SELECT dst AS url FROM edges EXCEPT SELECT src FROM edges")
 def crawl_new_links(spark, folder):
-    edges = _graph(spark, folder)
+    edges = cut_lineage(_graph(spark, folder))
     return crawl.new_links(edges.select(F.col("dst").alias("url")), edges.select(F.col("src").alias("url")), ["url"])

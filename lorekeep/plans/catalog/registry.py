@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as tx
 from lorekeep.schemas import CATEGORIES
+from lorekeep.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +26,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. Texts and pages are dealt out over the cores when they are small, since the work
+    per row outweighs the move; see ``spread``."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def joined(array: Column, mark: str = "|") -> Column:
@@ -35,13 +38,21 @@ def joined(array: Column, mark: str = "|") -> Column:
 
 # ---- SQL fragments ------------------------------------------------------------------------------
 
+# The same whitespace as ``text.SPACE``, listed for a regex engine without (?U).
+SQL_SPACE = (
+    r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+SQL_WORD = f"[^{SQL_SPACE}]+"
+SQL_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + SQL_SPACE + "]"
+
 
 def sql_words(expr: str) -> str:
-    return f"len(regexp_extract_all({expr}, '{tx.WORD}'))"
+    return f"len(regexp_extract_all({expr}, '{SQL_WORD}'))"
 
 
 def sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g')"
+    return f"regexp_replace({expr}, '^[{SQL_SPACE}]+|[{SQL_SPACE}]+$', '', 'g')"
 
 
 def sql_uuid(digits: str) -> str:

@@ -167,9 +167,9 @@ def metadata_filter(spark, folder):
     "keyword_search",
     """
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS ws FROM documents)
-SELECT doc_id FROM t WHERE list_contains(ws, 'the') AND list_contains(ws, 'with') AND list_contains(ws, 'not')
+SELECT doc_id FROM t WHERE list_contains(ws, 'the') AND list_contains(ws, 'with') AND list_contains(ws, 'for')
 """,
 )
 def keyword_search(spark, folder):
     posted = search.postings(table(spark, folder, "documents"), key="doc_id", text="text")
-    return search.keyword_search(posted, ["The", "with", "not"], key="doc_id")
+    return search.keyword_search(posted, ["The", "with", "for"], key="doc_id")

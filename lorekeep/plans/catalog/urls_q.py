@@ -313,9 +313,7 @@ def same_site(spark, folder):
 
 @query("link_resolve", f"WITH {CTE_LINKS} SELECT url, link_ix, href, full_url AS resolved, target FROM targets")
 def link_resolve(spark, folder):
-    found = html.extract_links(table(spark, folder, "pages"))
-    resolved = html.resolve_links(found).withColumn("resolved", ux.resolve(F.col("url"), F.col("href")))
-    return resolved.withColumn("link_ix", F.col("link_ix").cast("bigint"))
+    return _links(spark, folder).withColumn("link_ix", F.col("link_ix").cast("bigint"))
 
 
 @query(

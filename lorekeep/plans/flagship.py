@@ -9,6 +9,7 @@ from lorekeep.functions import ids, titles
 from lorekeep.functions import urls as ux
 from lorekeep.operators import chunking, embed, html, search
 from lorekeep.plans import ask
+from lorekeep.session import spread
 
 
 def page_entries(pages: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 
 def titles_against_pages(spark: SparkSession, folder: str, threshold: float = 0.3) -> DataFrame:
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{folder}/pages.parquet"))
     entries = page_entries(pages)
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     asked = pages.select(

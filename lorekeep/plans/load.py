@@ -15,7 +15,7 @@ from lorekeep.functions import titles as mx
 from lorekeep.functions import urls as ux
 from lorekeep.operators import chunking, crawl, embed, html, quality
 from lorekeep.operators import store as st
-from lorekeep.session import cut_lineage
+from lorekeep.session import cut_lineage, spread
 from lorekeep.sources.lists import parse_sources, route
 
 LISTED = ["seq", "business_id", "source_url"]
@@ -45,11 +45,11 @@ def extract(covered: DataFrame, pages: DataFrame | None, files: DataFrame | None
     """Documents of the covered pages: listing columns, page_url, blocks."""
     parts = []
     if pages is not None:
-        snapshot = pages.select(F.col("url").alias("page_url"), "html")
+        snapshot = spread(pages.select(F.col("url").alias("page_url"), "html"))
         fetched = covered.filter(ux.is_http(F.col("page_url"))).join(snapshot, "page_url")
         parts.append(html.read_documents(fetched, max_words))
     if files is not None:
-        texts = files.select(F.col("url").alias("page_url"), "text")
+        texts = spread(files.select(F.col("url").alias("page_url"), "text"))
         read = covered.filter(~ux.is_http(F.col("page_url"))).join(texts, "page_url")
         sized = html.size_gate(read, tx.word_count(F.col("text")), max_words)
         blocks = sized.withColumn("blocks", html.text_blocks(F.col("text"))).drop("text")

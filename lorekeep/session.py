@@ -53,6 +53,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on replicated storage so that lost executors never replay its history."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the shared folder and reads it back, so that lost executors never replay its
+    history. Parquet rather than a row checkpoint: later readers take only the columns they need."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Input per core below which a scan has too few splits to keep the cores busy.
+SMALL_SHARE = 8 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small input out over the cores before work that costs more than moving it.
+
+    A file of one row group is one task however many cores wait. Inputs beyond ``SMALL_SHARE`` per
+    core have splits enough and pass unchanged, so nothing large is ever moved by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * SMALL_SHARE else df
