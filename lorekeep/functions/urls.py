@@ -169,5 +169,5 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.startswith("//"), F.concat(F.substring_index(base, "//", 1), href))
         .otherwise(F.concat(F.regexp_extract(base, _ORIGIN, 1), href))
     )
-    rest = F.when(~plain, href)
-    return F.when(plain, native).otherwise(_join_url.asNondeterministic()(base, rest))
+    rest = F.when(~plain, F.struct(base.alias("base"), href.alias("href")))
+    return F.when(plain, native).otherwise(_join_url.asNondeterministic()(rest["base"], rest["href"]))

@@ -1,9 +1,40 @@
-"""Vector expressions for small inputs; large batches go through ``operators.search``."""
+"""Vector expressions. Pairs of columns are compared in the JVM; a column against one fixed vector
+goes through a matrix product; batches of questions through ``operators.search``."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def dense(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the usable (non-null, non-zero) vectors of a list array, and their positions."""
+    at = np.flatnonzero(np.asarray(vectors.is_valid()))
+    full = vectors.drop_null()
+    if not len(full):
+        return np.zeros((0, 0)), at
+    rows = np.asarray(full.flatten(), dtype=np.float64).reshape(len(full), -1)
+    norm = np.sqrt((rows * rows).sum(axis=1))
+    return rows[norm > 0] / norm[norm > 0, None], at[norm > 0]
+
+
+def similarity_to(embedding: Column, vector: list[float]) -> Column:
+    """Cosine similarity to one fixed vector, a batch at a time; null for a null or zero vector."""
+    fixed = np.array(vector, dtype=np.float64)
+    length = float(np.sqrt((fixed * fixed).sum()))
+
+    @F.arrow_udf(DoubleType())
+    def score(vectors: pa.Array) -> pa.Array:
+        out, known = np.zeros(len(vectors)), np.zeros(len(vectors), dtype=bool)
+        rows, at = dense(vectors)
+        if len(at) and length > 0:
+            out[at], known[at] = np.round(rows @ (fixed / length), 12), True
+        return pa.array(out, pa.float64(), mask=~known)
+
+    return score.asNondeterministic()(embedding)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -34,16 +34,15 @@ def report_title(headings: Column) -> Column:
     )
 
 
-def chunk_report(chunks: DataFrame, by: list[str], digits: int = 1, text: str = "text") -> DataFrame:
-    """Chunks, average/min/max words and average characters per source."""
+def _size_columns(digits: int, text: str) -> list[Column]:
     n = tx.word_count(F.col(text))
-    return chunks.groupBy(*by).agg(
+    return [
         F.count(F.lit(1)).alias("total_chunks"),
         _avg(n, digits).alias("avg_words"),
         F.min(n).cast("bigint").alias("min_words"),
         F.max(n).cast("bigint").alias("max_words"),
         _avg(tx.char_count(F.col(text)), digits).alias("avg_chars"),
-    )
+    ]
 
 
 def _any_contains(text: Column, terms: tuple[str, ...]) -> Column:
@@ -53,6 +52,29 @@ def _any_contains(text: Column, terms: tuple[str, ...]) -> Column:
     return found
 
 
+def _flag_columns(topics: dict[str, tuple[str, ...]] | None, artifact: str, fragments: tuple[str, ...], text: str) -> list[Column]:
+    lowered = F.lower(F.col(text))
+    flags = [F.bool_or(_any_contains(lowered, terms)).alias(name) for name, terms in (topics or TOPICS).items()]
+    torn = _any_contains(lowered, fragments) & (tx.word_count(F.col(text)) < FRAGMENT_WORDS)
+    return [
+        *flags,
+        (~F.bool_or(lowered.contains(artifact))).alias("no_right_txt_artifact"),
+        (~F.bool_or(torn)).alias("no_fragmented_stats"),
+    ]
+
+
+def _title_columns() -> list[Column]:
+    return [
+        F.count_if(F.col("title").contains(" > ")).alias("hierarchical_titles"),
+        F.count_distinct("title").alias("unique_titles"),
+    ]
+
+
+def chunk_report(chunks: DataFrame, by: list[str], digits: int = 1, text: str = "text") -> DataFrame:
+    """Chunks, average/min/max words and average characters per source."""
+    return chunks.groupBy(*by).agg(*_size_columns(digits, text))
+
+
 def content_flags(
     chunks: DataFrame,
     by: list[str],
@@ -62,34 +84,44 @@ def content_flags(
     text: str = "text",
 ) -> DataFrame:
     """Whether any chunk mentions each topic, and that none shows the artefact or a bare statistic."""
-    lowered = F.lower(F.col(text))
-    flags = [F.bool_or(_any_contains(lowered, terms)).alias(name) for name, terms in (topics or TOPICS).items()]
-    torn = _any_contains(lowered, fragments) & (tx.word_count(F.col(text)) < FRAGMENT_WORDS)
-    return chunks.groupBy(*by).agg(
-        *flags,
-        (~F.bool_or(lowered.contains(artifact))).alias("no_right_txt_artifact"),
-        (~F.bool_or(torn)).alias("no_fragmented_stats"),
+    return chunks.groupBy(*by).agg(*_flag_columns(topics, artifact, fragments, text))
+
+
+def title_examples(chunks: DataFrame, by: list[str], order: list[str], examples: int = 5, headings: str = "headings") -> DataFrame:
+    """First hierarchical titles of each source. Map tasks cut their share of a source to ``examples``
+    rows before the shuffle, so titles are never collected by source."""
+    titled = chunks.withColumn("title", report_title(F.col(headings))).filter(F.col("title").contains(" > "))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = titled.withColumn("_rank", rank).filter(F.col("_rank") <= examples)
+    return first.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "title"))), lambda s: s["title"]).alias("examples")
     )
 
 
 def title_report(chunks: DataFrame, by: list[str], order: list[str], examples: int = 5, headings: str = "headings") -> DataFrame:
-    """Hierarchical and distinct titles per source, with the first hierarchical ones as examples.
+    """Hierarchical and distinct titles per source, with the first hierarchical ones as examples."""
+    titled = chunks.withColumn("title", report_title(F.col(headings)))
+    return titled.groupBy(*by).agg(*_title_columns()).join(title_examples(chunks, by, order, examples, headings), by, "left")
 
-    Examples come from a per-source ranking that map tasks cut to ``examples`` rows, so titles are
-    never collected by source.
+
+def full_report(
+    chunks: DataFrame,
+    by: list[str],
+    order: list[str],
+    digits: int = 1,
+    topics: dict[str, tuple[str, ...]] | None = None,
+    artifact: str = ARTIFACT,
+    fragments: tuple[str, ...] = FRAGMENT_TERMS,
+) -> DataFrame:
+    """Size report, content flags, title report and issue list in one row per source.
+
+    Texts are read for one aggregation that computes everything but the title examples; those read
+    headings only.
     """
-    titled = chunks.withColumn("title", report_title(F.col(headings)))
-    layered = F.col("title").contains(" > ")
-    totals = titled.groupBy(*by).agg(
-        F.count_if(layered).alias("hierarchical_titles"),
-        F.count_distinct("title").alias("unique_titles"),
-    )
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    first = titled.filter(layered).withColumn("_rank", rank).filter(F.col("_rank") <= examples)
-    shown = first.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "title"))), lambda s: s["title"]).alias("examples")
-    )
-    return totals.join(shown, by, "left")
+    titled = chunks.withColumn("title", report_title(F.col("headings")))
+    columns = _size_columns(digits, "text") + _flag_columns(topics, artifact, fragments, "text") + _title_columns()
+    report = titled.groupBy(*by).agg(*columns).join(title_examples(chunks, by, order), by, "left")
+    return report.withColumn("issues", quality_issues(report))
 
 
 def quality_issues(report: DataFrame) -> Column:
@@ -107,16 +139,6 @@ def quality_issues(report: DataFrame) -> Column:
     )
 
 
-def full_report(chunks: DataFrame, by: list[str], order: list[str], digits: int = 1) -> DataFrame:
-    """Size report, content flags, title report and issue list in one row per source."""
-    joined = (
-        chunk_report(chunks, by, digits)
-        .join(content_flags(chunks, by), by)
-        .join(title_report(chunks, by, order), by)
-    )
-    return joined.withColumn("issues", quality_issues(joined))
-
-
 def chunk_samples(chunks: DataFrame, by: list[str], order: list[str], n: int = 5, text: str = "text") -> DataFrame:
     """First ``n`` chunks of each source with a shortened text."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

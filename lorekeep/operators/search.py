@@ -4,6 +4,7 @@ metadata and keyword lookups over the same entries."""
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,11 +19,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lorekeep.functions import text as tx
 from lorekeep.functions import titles as mx
 from lorekeep.functions import vectors as vx
-from lorekeep.session import scratch_path
+from lorekeep.session import cut_lineage, scratch_path
 
 MATCH_THRESHOLD = 0.7
 MATCH_COUNT = 3
 LISTS = 100
+SHELVES = 256
 # Question vectors sent to the executors at a time; more questions are served in more passes.
 QUESTION_BYTES = 32 * 1024 * 1024
 # Tenants of one pass up to which the scan is pruned by an IN list.
@@ -38,15 +40,20 @@ def kb_scan(entries: DataFrame) -> DataFrame:
     )
 
 
-def eligible(entries: DataFrame, business_id: Column | str, question: Column, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """Active entries of one business at least ``threshold`` similar to the question."""
-    tenant = F.lit(business_id) if isinstance(business_id, str) else business_id
-    scoped = entries.filter((F.col("business_id") == tenant) & F.col("is_active"))
-    scored = scoped.withColumn("similarity", vx.cosine_similarity(F.col("embedding"), question))
-    return scored.filter(F.col("similarity") >= threshold)
+def eligible(entries: DataFrame, business_id: str, question: list[float] | Column, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Active entries of one business at least ``threshold`` similar to the question.
+
+    The tenant and activity filters reach the scan; only what they leave is scored.
+    """
+    scoped = entries.filter((F.col("business_id") == business_id) & F.col("is_active"))
+    vector = F.col("embedding")
+    alike = vx.cosine_similarity(vector, question) if isinstance(question, Column) else vx.similarity_to(vector, question)
+    return scoped.withColumn("similarity", alike).filter(F.col("similarity") >= threshold)
 
 
-def search(entries: DataFrame, business_id: str, question: Column, threshold: float = MATCH_THRESHOLD, k: int = MATCH_COUNT) -> DataFrame:
+def search(
+    entries: DataFrame, business_id: str, question: list[float] | Column, threshold: float = MATCH_THRESHOLD, k: int = MATCH_COUNT
+) -> DataFrame:
     """Best ``k`` entries for a single question; ties go to the smaller id."""
     hits = eligible(entries, business_id, question, threshold)
     return hits.orderBy(F.desc("similarity"), F.asc("id")).limit(k)
@@ -55,16 +62,18 @@ def search(entries: DataFrame, business_id: str, question: Column, threshold: fl
 class _Slice:
     """A bounded set of questions, addressed by the scope (tenant, cell) they look into."""
 
-    def __init__(self, rows: list, probes: list[list[int]] | None = None):
-        self.ids = [r["question_id"] for r in rows]
-        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        norm = np.sqrt((vectors * vectors).sum(axis=1))
-        self.unit = vectors / np.where(norm > 0, norm, 1.0)[:, None]
+    def __init__(self, asked: pa.Table, index: CellIndex | None = None, nprobe: int = 1):
+        vectors = asked.column("embedding").combine_chunks()
+        self.unit, at = vx.dense(vectors)
+        ids, tenants = asked.column("question_id").to_pylist(), asked.column("business_id").to_pylist()
+        self.ids = [ids[i] for i in at]
+        self.tenants = sorted({tenants[i] for i in at if tenants[i] is not None})
+        probes = index.nearest(self.unit, nprobe) if index else [[None]] * len(at)
+        self.cells = sorted({c for cells in probes for c in cells}) if index else None
         self.scopes: dict[tuple, list[int]] = {}
-        for i, r in enumerate(rows):
-            if norm[i] > 0:
-                for cell in probes[i] if probes else [None]:
-                    self.scopes.setdefault((r["business_id"], cell), []).append(i)
+        for i, cells in enumerate(probes):
+            for cell in cells:
+                self.scopes.setdefault((tenants[at[i]], cell), []).append(i)
 
 
 def _top(pool: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -102,17 +111,9 @@ def _score(entries: DataFrame, questions: _Slice, qid_type, threshold: float, k:
         asked_by = shipped.value
         pool: list[pd.DataFrame] = []
         for batch in batches:
-            column = batch.column("embedding")
-            at = np.flatnonzero(np.asarray(column.is_valid()))
-            if not len(at):
-                continue
-            full = column.drop_null()
-            rows = np.asarray(full.flatten(), dtype=np.float64).reshape(len(full), -1)
-            norm = np.sqrt((rows * rows).sum(axis=1))
-            at, rows, norm = at[norm > 0], rows[norm > 0], norm[norm > 0]
+            rows, at = vx.dense(batch.column("embedding"))
             if not len(at):
                 continue
-            rows /= norm[:, None]
             ids = np.array(batch.column("id").to_pylist(), dtype=object)[at]
             scope = pd.DataFrame({"b": np.array(batch.column("business_id").to_pylist(), dtype=object)[at]})
             scope["c"] = np.array(batch.column("cell").to_pylist())[at] if celled else 0
@@ -133,24 +134,25 @@ def _score(entries: DataFrame, questions: _Slice, qid_type, threshold: float, k:
     return entries.select(*wanted).mapInArrow(run, schema)
 
 
-def _slices(questions: DataFrame, question_bytes: int) -> Iterator[list]:
+def _slices(questions: DataFrame, question_bytes: int) -> Iterator[pa.Table]:
     """Questions in driver-sized slices, tenants kept together so that each pass prunes its scan."""
-    sized = questions.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    total, dim = sized[0], max(sized[1], 1)
-    per_slice = max(1, question_bytes // (8 * dim))
+    total = questions.count()
+    first = questions.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    if not first or not first[0]:
+        return
+    per_slice = max(1, question_bytes // (8 * first[0]))
     if total <= per_slice:
-        if total:
-            yield questions.collect()
+        yield questions.toArrow()
         return
     groups = math.ceil(total / per_slice)
-    placed = questions.withColumn("_g", F.pmod(F.xxhash64("business_id"), F.lit(groups)))
-    for group, n in placed.groupBy("_g").count().collect():
+    staged = cut_lineage(questions.withColumn("_g", F.pmod(F.xxhash64("business_id"), F.lit(groups))))
+    for group, n in staged.groupBy("_g").count().collect():
         parts = math.ceil(n / per_slice)
         part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
         for p in range(parts):
-            rows = placed.filter((F.col("_g") == group) & (part == p)).drop("_g").collect()
-            if rows:
-                yield rows
+            asked = staged.filter((F.col("_g") == group) & (part == p)).drop("_g").toArrow()
+            if len(asked):
+                yield asked
 
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
@@ -175,19 +177,18 @@ def search_batch(
     final ranking. With an ``index`` only the ``nprobe`` nearest cells are looked at.
     """
     spark = entries.sparkSession
-    asked = questions.select("question_id", "business_id", "embedding").filter(F.col("embedding").isNotNull())
+    asked = questions.select("question_id", "business_id", "embedding")
     qid_type = asked.schema["question_id"].dataType
-    active = entries.filter(F.col("is_active") & F.col("embedding").isNotNull())
+    active = entries.filter(F.col("is_active"))
 
-    def plan(rows: list) -> DataFrame:
-        probes = index.nearest(rows, nprobe) if index else None
-        tenants = sorted({r["business_id"] for r in rows if r["business_id"] is not None})
+    def plan(some: pa.Table) -> DataFrame:
+        piece = _Slice(some, index, nprobe)
         scan = active
-        if len(tenants) <= PRUNED_TENANTS:
-            scan = scan.filter(F.col("business_id").isin(tenants))
+        if len(piece.tenants) <= PRUNED_TENANTS:
+            scan = scan.filter(F.col("business_id").isin(piece.tenants))
         if index:
-            scan = scan.filter(F.col("cell").isin(sorted({c for cells in probes for c in cells})))
-        return _score(scan, _Slice(rows, probes), qid_type, threshold, k)
+            scan = scan.filter(F.col("cell").isin(piece.cells))
+        return _score(scan, piece, qid_type, threshold, k)
 
     slices = _slices(asked, question_bytes)
     first = next(slices, None)
@@ -197,8 +198,8 @@ def search_batch(
     if second is None:
         return _rank(plan(first), k)
     folder = scratch_path(spark, "search")
-    for number, rows in enumerate(chain((first, second), slices)):
-        plan(rows).write.parquet(f"{folder}/slice={number}")
+    for number, some in enumerate(chain((first, second), slices)):
+        plan(some).write.parquet(f"{folder}/slice={number}")
     return _rank(spark.read.parquet(folder).drop("slice"), k)
 
 
@@ -240,9 +241,10 @@ class CellIndex:
         norm = np.sqrt((centroids * centroids).sum(axis=1))
         self.centroids = centroids / np.where(norm > 0, norm, 1.0)[:, None]
 
-    def nearest(self, rows: list, nprobe: int) -> list[list[int]]:
-        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        order = np.argsort(-(vectors @ self.centroids.T), axis=1, kind="stable")
+    def nearest(self, unit: np.ndarray, nprobe: int) -> list[list[int]]:
+        if not len(unit):
+            return []
+        order = np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
         return order[:, :nprobe].tolist()
 
     def assign(self, embedding: Column) -> Column:
@@ -251,13 +253,11 @@ class CellIndex:
 
         @F.arrow_udf("int")
         def cell(vectors: pa.Array) -> pa.Array:
-            full = vectors.drop_null()
             found = np.zeros(len(vectors), dtype=np.int32)
-            valid = np.asarray(vectors.is_valid())
-            if len(full):
-                rows = np.asarray(full.flatten(), dtype=np.float64).reshape(len(full), -1)
-                found[valid] = (rows @ centroids.T).argmax(axis=1)
-            return pa.array(found, pa.int32(), mask=~valid)
+            rows, at = vx.dense(vectors)
+            if len(at):
+                found[at] = (rows @ centroids.T).argmax(axis=1)
+            return pa.array(found, pa.int32(), mask=~np.asarray(vectors.is_valid()))
 
         return cell.asNondeterministic()(embedding)
 
@@ -266,8 +266,8 @@ def ann_build(entries: DataFrame, lists: int = LISTS, train_rows: int = 1_000_00
     """Cells by k-means on unit vectors. Returns the entries with ``cell`` and the index.
 
     Centroids are fitted on all vectors, or on about ``train_rows`` of them when there are more;
-    every entry gets a cell either way. Write the result partitioned by ``cell`` so that a search
-    reads only the cells it probes.
+    every entry gets a cell either way. ``save_by(celled, path, "cell")`` lets a search read only the
+    cells it probes.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -306,12 +306,26 @@ def keywords(text: Column) -> Column:
 
 
 def postings(entries: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """Postings (term, key); write it bucketed or partitioned by term prefix for repeated use."""
-    return entries.select(F.col(key), F.explode(keywords(F.col(text))).alias("term"))
+    """Postings (term, key, shelf). The shelf is a hash of the term: ``save_by(posted, path, "shelf")``
+    lets a lookup read only the shelves of its terms."""
+    spread_out = entries.select(F.col(key), F.explode(keywords(F.col(text))).alias("term"))
+    return spread_out.withColumn("shelf", _shelf(F.col("term")))
+
+
+def _shelf(term: Column) -> Column:
+    return F.pmod(F.crc32(term), F.lit(SHELVES)).cast("int")
+
+
+def save_by(rows: DataFrame, path: str, column: str) -> DataFrame:
+    """Writes rows partitioned by ``column`` and reads them back. Rebalancing splits a value that
+    holds much of the rows over several tasks and files."""
+    rows.hint("rebalance", column).write.partitionBy(column).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def keyword_search(posted: DataFrame, terms: list[str], key: str = "id") -> DataFrame:
     """Keys whose text has all terms. Grouping is by key, so a frequent term is no hot spot."""
     wanted = sorted({t.lower() for t in terms})
-    matched = posted.filter(F.col("term").isin(wanted)).groupBy(key).agg(F.count_distinct("term").alias("_n"))
+    shelves = F.col("shelf").isin([zlib.crc32(t.encode()) % SHELVES for t in wanted])
+    matched = posted.filter(shelves & F.col("term").isin(wanted)).groupBy(key).agg(F.count_distinct("term").alias("_n"))
     return matched.filter(F.col("_n") == len(wanted)).select(key)

@@ -395,13 +395,8 @@ FROM rep JOIN totals ON rep.source = totals.source
 """,
 )
 def quality_issues(spark, folder):
-    chunks = _headed(spark, folder)
-    report = (
-        quality.chunk_report(chunks, ["source"], digits=6)
-        .join(quality.content_flags(chunks, ["source"], TOPICS, ARTIFACT, FRAGMENTS), "source")
-        .join(quality.title_report(chunks, ["source"], ["url", "ix"]), "source")
-    )
-    return report.select("source", joined(quality.quality_issues(report)).alias("issues"))
+    report = quality.full_report(_headed(spark, folder), ["source"], ["url", "ix"], 6, TOPICS, ARTIFACT, FRAGMENTS)
+    return report.select("source", joined(F.col("issues")).alias("issues"))
 
 
 @query(

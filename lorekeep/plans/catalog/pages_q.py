@@ -42,7 +42,7 @@ SELECT url, array_to_string(ts[1:3], ' ') AS first_links, CAST(greatest(len(ts)
 """,
 )
 def link_preview(spark, folder):
-    return html.link_preview(_links(spark, folder))
+    return html.link_preview(cut_lineage(_links(spark, folder)))
 
 
 @query("html_clean", f"SELECT url, {SQL_CLEAN} AS clean FROM pages")

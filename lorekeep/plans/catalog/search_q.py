@@ -26,7 +26,7 @@ hits AS (
 def _question(spark, folder):
     """The one question of the single-question searches: the vector with the smallest id."""
     vector = table(spark, folder, "embeddings").agg(F.min_by("embedding", "vec_id")).first()[0]
-    return F.lit([float(x) for x in vector])
+    return list(vector)
 
 
 def _questions(spark, folder):

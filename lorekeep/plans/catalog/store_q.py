@@ -9,16 +9,19 @@ from lorekeep.functions import urls as ux
 from lorekeep.operators import embed, events, html, quality
 from lorekeep.operators import store as st
 from lorekeep.plans import load
+from lorekeep.plans.catalog.pages_q import SQL_CLEAN, SQL_UNESCAPE
 from lorekeep.plans.catalog.registry import (
     CTE_DOCS,
     CTE_ENTRIES,
     CTE_LINES,
+    SQL_WORD,
     category_of_lang,
     docs,
     entries,
     lines,
     query,
     sql_stable_id,
+    sql_words,
     table,
 )
 from lorekeep.session import scratch_path
@@ -284,7 +287,44 @@ def publish(spark, folder):
     return count(3).unionByName(count(1))
 
 
-@query("load_documents")
+# Chunks of at most 200 words of every page and document. A page's trail is its h1 once that has come
+# (marked by chr(1)); documents have none.
+CTE_LOADED = f"""{CTE_LINES},
+page_cut AS (
+  SELECT url, regexp_split_to_array(replace(replace(regexp_replace({SQL_CLEAN}, '<!--.*?-->|<title>.*?</title>|<!DOCTYPE[^>]*>', '', 'gs'), '<br>', chr(10)), '<h1>', '<h1>' || chr(1)),
+         '</?(?:p|h1|div|article|footer|body|html|ul|li)\\b[^>]*>') AS ps FROM pages),
+page_text AS (SELECT url, list_transform(ps, lambda p: regexp_replace(p, '<[^>]*>', '', 'g')) AS ps FROM page_cut),
+page_words AS (SELECT url, list_filter(list_transform(ps, lambda p: regexp_extract_all({SQL_UNESCAPE.format('p')}, '{SQL_WORD}')), lambda w: len(w) > 0) AS ws FROM page_text),
+page_blocks AS (SELECT url AS key, unnest(generate_series(0, len(ws) - 1)) AS ix, unnest(ws) AS ws FROM page_words),
+page_trails AS (SELECT *, coalesce(last_value(CASE WHEN starts_with(ws[1], chr(1)) THEN array_to_string(ws, ' ') END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ix ROWS UNBOUNDED PRECEDING), '') AS trail FROM page_blocks),
+body AS (
+  SELECT key, ix, trail, ws FROM page_trails WHERE NOT starts_with(ws[1], chr(1))
+  UNION ALL
+  SELECT source || '/' || doc_id || '.txt', ix, '', regexp_extract_all(text, '{SQL_WORD}') FROM lines
+  WHERE doc_id IN (SELECT doc_id FROM documents WHERE {sql_words('text')} <= 10000)),
+cuts AS (SELECT *, unnest(generate_series(0, CAST(ceil(len(ws) / 200.0) AS BIGINT) - 1)) AS part FROM body WHERE len(ws) > 0),
+seated AS (SELECT key, trail, least(200, len(ws) - part * 200) AS size, row_number() OVER (PARTITION BY key ORDER BY ix, part) AS seat FROM cuts),
+packed(key, seat, chunk_ix, total, trail) AS (
+  SELECT key, seat, 0, size, trail FROM seated WHERE seat = 1
+  UNION ALL
+  SELECT s.key, s.seat, CASE WHEN s.trail = p.trail AND p.total + s.size <= 200 THEN p.chunk_ix ELSE p.chunk_ix + 1 END,
+         CASE WHEN s.trail = p.trail AND p.total + s.size <= 200 THEN p.total + s.size ELSE s.size END, s.trail
+  FROM packed p JOIN seated s ON s.key = p.key AND s.seat = p.seat + 1),
+sized_chunks AS (SELECT p.key, p.chunk_ix, sum(s.size) AS n FROM packed p JOIN seated s ON p.key = s.key AND p.seat = s.seat GROUP BY p.key, p.chunk_ix),
+loaded AS (SELECT key, count(*) FILTER (WHERE n >= 15) AS n_chunks FROM sized_chunks GROUP BY key)"""
+
+
+@query(
+    "load_documents",
+    f"""
+WITH RECURSIVE {CTE_LOADED},
+listed AS (SELECT url, 'website' AS source_type FROM pages UNION ALL SELECT source || '/' || doc_id || '.txt', 'text' FROM documents)
+SELECT url AS source_url, {sql_stable_id(f"'{TENANT}'", 'url')} AS source_id, source_type,
+       CASE WHEN coalesce(n_chunks, 0) > 0 THEN 'loaded' ELSE 'failed' END AS status, CAST(coalesce(n_chunks, 0) AS INTEGER) AS entry_count,
+       CASE WHEN n_chunks IS NULL THEN 'No documents extracted' WHEN n_chunks = 0 THEN 'No chunks created' END AS error_message
+FROM listed LEFT JOIN loaded ON url = key
+""",
+)
 def load_documents(spark, folder):
     """Every page and every document as a source of one business, loaded in one job."""
     page = table(spark, folder, "pages")
@@ -295,13 +335,22 @@ def load_documents(spark, folder):
             "description": F.lit(None).cast("string"), "source_type": ux.source_type(F.col("source_url")),
         }
     )
-    found = load.extract(load.source_pages(listed, None), page, text)
     store = st.Store(spark, scratch_path(spark, "store"))
-    report = load.load_listed(store, listed, found, _at(NOW), "catalogue", on_source_error="record")
+    announced, listed = load.announce(store, listed, _at(NOW))
+    found = load.extract(load.source_pages(listed, None), page, text)
+    report = load.load_listed(store, listed, announced, found, _at(NOW), "catalogue", max_tokens=200, counter="word", on_source_error="record")
     return report.results.select("source_url", "source_id", "source_type", "status", "entry_count", "error_message")
 
 
-@query("stream_ingest")
+@query(
+    "stream_ingest",
+    f"""
+WITH RECURSIVE {CTE_LOADED},
+hosts AS (SELECT 'https://' || regexp_extract(url, '//([^/?#]*)', 1) AS source_url, n_chunks FROM pages JOIN loaded ON url = key)
+SELECT source_url, CASE WHEN sum(n_chunks) > 0 THEN 'loaded' ELSE 'failed' END AS status, CAST(sum(n_chunks) AS INTEGER) AS entry_count,
+       CASE WHEN sum(n_chunks) = 0 THEN 'No chunks created' END AS error_message FROM hosts GROUP BY source_url
+""",
+)
 def stream_ingest(spark, folder):
     """Pages arriving as captures, loaded by a stream: entries per source."""
     landing, store = scratch_path(spark, "landing"), st.Store(spark, scratch_path(spark, "store"))
@@ -312,7 +361,7 @@ def stream_ingest(spark, folder):
     )
     captures.write.parquet(landing)
     arriving = spark.readStream.schema(ingest.CAPTURE).parquet(landing)
-    ingest.stream_ingest(store, arriving, "captures", scratch_path(spark, "progress")).awaitTermination()
+    ingest.stream_ingest(store, arriving, "captures", scratch_path(spark, "progress"), max_tokens=200, counter="word").awaitTermination()
     return store.sources().select("source_url", "status", "entry_count", "error_message")
 
 

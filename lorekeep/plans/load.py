@@ -19,6 +19,8 @@ from lorekeep.session import cut_lineage, spread
 from lorekeep.sources.lists import parse_sources, route
 
 LISTED = ["seq", "business_id", "source_url"]
+# What a page row carries of its source from the start, so that no wide row is joined for it later.
+CARRIED = [*LISTED, "category", "source_id"]
 
 
 @dataclass
@@ -28,17 +30,22 @@ class LoadReport:
     totals: DataFrame  # one row
 
 
+def announce(store: st.Store, listed: DataFrame, as_of: Column, base: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The source table with the listed sources marked as loading, and the listing with source ids."""
+    announced = st.source_upsert(store.sources(base), listed, as_of)
+    known = announced.select(F.col("id").alias("source_id"), *st.SOURCE_KEY)
+    return announced, listed.join(known, st.SOURCE_KEY)
+
+
 def source_pages(listed: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Pages each listed source covers: itself, plus what a crawl from it collects."""
-    own = listed.select(*LISTED, F.col("source_url").alias("page_url"))
+    """Pages each announced source covers: itself, plus what a crawl from it collects."""
+    own = listed.select(*CARRIED, F.col("source_url").alias("page_url"))
     if edges is None:
         return own
     starts = listed.filter((F.col("route") == "html") & F.coalesce("crawl_internal", F.lit(True)))
     found = crawl.reachable(starts.select(F.col("source_url").alias("root")).distinct(), edges)
-    crawled = starts.select(*LISTED).join(
-        found.select(F.col("root").alias("source_url"), F.col("url").alias("page_url")), "source_url"
-    )
-    return own.unionByName(crawled.select(*own.columns)).distinct()
+    further = found.filter("url <> root").select(F.col("root").alias("source_url"), F.col("url").alias("page_url"))
+    return own.unionByName(starts.select(*CARRIED).join(further, "source_url").select(*own.columns))
 
 
 def extract(covered: DataFrame, pages: DataFrame | None, files: DataFrame | None, max_words: int = html.MAX_DOCUMENT_WORDS) -> DataFrame:
@@ -57,13 +64,13 @@ def extract(covered: DataFrame, pages: DataFrame | None, files: DataFrame | None
     docs = parts[0]
     for part in parts[1:]:
         docs = docs.unionByName(part)
-    return docs.select(*LISTED, "page_url", "blocks")
+    return docs.select(*CARRIED, "page_url", "blocks")
 
 
 def entry_rows(
     numbered: DataFrame, load_id: str, as_of: Column, model: Callable | None = None, on_error: str = "abort"
 ) -> DataFrame:
-    """Numbered chunks (listing columns, category, source_id, page_url, chunk columns) to entries."""
+    """Numbered chunks (carried columns, page_url, chunk columns) to entries."""
     name = ux.file_name(F.col("page_url"))
     c = F.col
     titled = numbered.withColumns(
@@ -84,9 +91,11 @@ def entry_rows(
 def load_listed(
     store: st.Store,
     listed: DataFrame,
+    announced: DataFrame,
     docs: DataFrame,
     as_of: Column,
     load_id: str,
+    base: dict | None = None,
     max_tokens: int = chunking.MAX_TOKENS,
     min_chunk_words: int = chunking.MIN_CHUNK_WORDS,
     counter="token",
@@ -99,17 +108,17 @@ def load_listed(
 ) -> LoadReport:
     """Chunks, embeds and publishes documents of listed sources, of any number of businesses.
 
-    ``listed``: seq, business_id, source_url, source_type, category, description, crawl_internal.
-    ``docs``: seq, business_id, source_url, page_url, blocks. Everything is computed and written
-    before the one manifest that makes it visible.
+    ``listed`` and ``announced`` come from ``announce`` on the manifest ``base``; ``docs`` has the
+    ``CARRIED`` columns, page_url and blocks. Everything is computed and written before the one
+    manifest that makes it visible.
     """
-    base = store.manifest()
+    base = base or store.manifest()
     keep = F.filter("chunks", lambda ch: tx.word_count(ch["text"]) >= min_chunk_words)
     packed = docs.withColumn("chunks", chunking.pack_blocks(F.col("blocks"), max_tokens, True, counter)).drop("blocks")
     # one row per document, read three times below: kept on the shared folder
     staged = cut_lineage(packed.withColumn("chunks", F.coalesce(keep, F.array().cast(packed.schema["chunks"].dataType))))
-    counts = staged.groupBy(*LISTED).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("chunks")).alias("n_chunks"))
-    tally = listed.join(counts, LISTED, "left").withColumns(
+    counts = staged.groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("chunks")).alias("n_chunks"))
+    tally = listed.join(counts, ["source_id", "seq"], "left").withColumns(
         {
             "error_message": F.when(F.coalesce("n_docs", F.lit(0)) == 0, "No documents extracted").when(
                 F.col("n_chunks") == 0, "No chunks created"
@@ -123,38 +132,30 @@ def load_listed(
         if failed:
             raise ValueError(f"load aborted, nothing was stored: {[tuple(r) for r in failed]}")
 
-    announced = st.source_upsert(store.sources(base), listed, as_of)
-    source_ids = announced.select(F.col("id").alias("source_id"), *st.SOURCE_KEY)
-
-    chunks = staged.select(*LISTED, "page_url", F.inline("chunks"))
-    numbered = chunking.number_within(chunks, LISTED, ["page_url"], ["chunk_ix"])
-    about = listed.select(*LISTED, "category").join(source_ids, st.SOURCE_KEY)
-    entries = entry_rows(numbered.join(about, LISTED), load_id, as_of, model, on_embed_error)
+    chunks = staged.select(*CARRIED, "page_url", F.inline("chunks"))
+    numbered = chunking.number_within(chunks, ["source_id", "seq"], ["page_url"], ["chunk_ix"])
+    entries = entry_rows(numbered, load_id, as_of, model, on_embed_error)
     part = store.write_entries(entries, base["version"] + 1)
     written = store.entries({**base, "entries": [part], "tombstones": []})
     st.require_none(st.constraint_violations(written, "entries"), "entries break constraints")
 
-    if on_embed_error == "skip":
-        stored = written.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_stored"))
-    else:
-        stored = None
     at = F.col("seq")
-    outcome = tally.groupBy(*st.SOURCE_KEY).agg(
-        F.max_by("n_chunks", at).alias("entry_count"), F.max_by(F.struct("error_message"), at).alias("_e")
+    outcome = tally.groupBy("source_id").agg(
+        F.max_by("n_chunks", at).alias("entry_count"), F.max_by(F.struct("error_message"), at)["error_message"].alias("error_message")
     )
-    outcome = outcome.join(source_ids, st.SOURCE_KEY).select("source_id", "entry_count", F.col("_e.error_message").alias("error_message"))
-    if stored is not None:
-        outcome = outcome.join(stored, "source_id", "left").withColumn("entry_count", F.coalesce("n_stored", F.lit(0))).drop("n_stored")
+    if on_embed_error == "skip":
+        stored = written.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_stored"))
+        outcome = outcome.join(stored, "source_id", "left").select("source_id", F.coalesce("n_stored", F.lit(0)).alias("entry_count"), "error_message")
     loaded = st.source_mark_loaded(announced, outcome, as_of)
     st.require_none(st.constraint_violations(loaded, "sources"), "sources break constraints")
     if businesses is not None:
         st.require_none(st.fk_violations(written, loaded, businesses), "foreign keys without a parent")
-    deleted = source_ids.join(listed.select(*st.SOURCE_KEY).distinct(), st.SOURCE_KEY, "left_semi") if mode == "replace" else None
+    deleted = listed.select("source_id") if mode == "replace" else None
     version = store.publish(loaded, parts=[part], deleted=deleted, base=base, batch=batch)
 
-    final = store.sources(store.manifest(version)).select(F.col("id").alias("source_id"), *st.SOURCE_KEY, "status", "error_message")
-    results = tally.select(*LISTED, "source_type", F.col("n_chunks").cast("int").alias("entry_count")).join(final, st.SOURCE_KEY)
-    results = results.select("seq", "source_url", "source_id", "source_type", "status", "entry_count", "error_message")
+    final = store.sources(store.manifest(version)).select(F.col("id").alias("source_id"), "status", "error_message")
+    results = tally.select("seq", "source_url", "source_id", "source_type", F.col("n_chunks").cast("int").alias("entry_count"))
+    results = results.join(final, "source_id").select("seq", "source_url", "source_id", "source_type", "status", "entry_count", "error_message")
     return LoadReport(version, results, quality.load_totals(results))
 
 
@@ -188,10 +189,12 @@ def load_documents(
             "crawl_internal": F.lit(crawl_internal),
         }
     )
+    when = F.current_timestamp() if as_of is None else as_of
+    base = store.manifest()
+    announced, listed = announce(store, listed, when, base)
     edges = crawl.build_edges(pages) if crawl_internal and pages is not None else None
     docs = extract(source_pages(listed, edges), pages, files)
-    when = F.current_timestamp() if as_of is None else as_of
-    return load_listed(store, listed, docs, when, load_id or uuidlib.uuid4().hex, max_tokens=max_tokens, **options)
+    return load_listed(store, listed, announced, docs, when, load_id or uuidlib.uuid4().hex, base, max_tokens=max_tokens, **options)
 
 
 def load_sitemap(store: st.Store, business_id: str, sitemaps: DataFrame, pages: DataFrame, **options) -> LoadReport:
@@ -209,9 +212,11 @@ def load_sitemap(store: st.Store, business_id: str, sitemaps: DataFrame, pages:
             "crawl_internal": F.lit(False),
         }
     )
-    covered = listed.select(*LISTED).join(
-        wanted.select(F.col("base_url").alias("source_url"), F.col("url").alias("page_url")), "source_url"
-    ).select(*LISTED, "page_url")
-    docs = extract(covered, pages, None)
     when = options.pop("as_of", F.current_timestamp())
-    return load_listed(store, listed, docs, when, options.pop("load_id", uuidlib.uuid4().hex), **options)
+    base = store.manifest()
+    announced, listed = announce(store, listed, when, base)
+    covered = listed.select(*CARRIED).join(
+        wanted.select(F.col("base_url").alias("source_url"), F.col("url").alias("page_url")), "source_url"
+    )
+    docs = extract(covered.select(*CARRIED, "page_url"), pages, None)
+    return load_listed(store, listed, announced, docs, when, options.pop("load_id", uuidlib.uuid4().hex), base, **options)

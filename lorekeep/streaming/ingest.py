@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import urls as ux
 from lorekeep.operators import html
 from lorekeep.operators import store as st
-from lorekeep.plans.load import LISTED, load_listed
+from lorekeep.plans.load import CARRIED, announce, load_listed
 
 CAPTURE = "business_id string, source_url string, url string, html string, category string, captured_at timestamp"
 
@@ -26,24 +26,29 @@ def capture_listing(captures: DataFrame) -> DataFrame:
     )
 
 
-def capture_documents(captures: DataFrame) -> DataFrame:
-    pages = captures.select(F.lit(0).alias("seq"), "business_id", "source_url", F.col("url").alias("page_url"), "html")
-    return html.read_documents(pages).select(*LISTED, "page_url", "blocks")
+def capture_documents(captures: DataFrame, listed: DataFrame) -> DataFrame:
+    """Documents of the captured pages; the listing of one batch is small and AQE broadcasts it."""
+    pages = captures.select("business_id", "source_url", F.col("url").alias("page_url"), "html")
+    known = listed.select(*CARRIED)
+    return html.read_documents(pages.join(known, ["business_id", "source_url"])).select(*CARRIED, "page_url", "blocks")
 
 
 def ingest_batch(store: st.Store, name: str, batch: DataFrame, batch_id: int, **options) -> None:
     """Loads one micro-batch exactly once: the manifest records the last batch of each query, and a
     batch that is delivered again after its manifest was written is left alone."""
-    done = store.manifest().get("batches", {}).get(name, -1)
-    if batch_id <= done or batch.isEmpty():
+    base = store.manifest()
+    if batch_id <= base.get("batches", {}).get(name, -1) or batch.isEmpty():
         return
     as_of = F.lit(batch.agg(F.max("captured_at")).first()[0])
+    announced, listed = announce(store, capture_listing(batch), as_of, base)
     load_listed(
         store,
-        capture_listing(batch),
-        capture_documents(batch),
+        listed,
+        announced,
+        capture_documents(batch, listed),
         as_of,
-        load_id=f"{name}-{batch_id}",
+        f"{name}-{batch_id}",
+        base,
         on_source_error="record",
         batch=(name, batch_id),
         **options,

@@ -102,6 +102,36 @@ def test_keywords_and_metadata(spark):
     assert [r.id for r in search.metadata_filter(rows, "metadata", "k", 2, "int").collect()] == [2]
 
 
+def _scan(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.rindex("PartitionFilters") :].split("]")[0]
+
+
+def test_saved_indexes_prune_their_scans(spark, tmp_path):
+    rows, vectors, tenants = _random_corpus(spark)
+    texts = spark.createDataFrame([(i, f"the word{i % 9} of entry {i}") for i in range(200)], "id int, content string")
+    posted = search.save_by(search.postings(texts), str(tmp_path / "postings"), "shelf")
+    found = search.keyword_search(posted, ["word3", "the"])
+    assert {r.id for r in found.collect()} == {i for i in range(200) if i % 9 == 3}
+    assert "shelf" in _scan(found)
+
+    celled, index = search.ann_build(spark.createDataFrame(rows, ENTRY), lists=6)
+    saved = search.save_by(celled, str(tmp_path / "cells"), "cell")
+    asked = spark.createDataFrame([(f"q{i}", tenants[i], vectors[i].tolist()) for i in range(3)], QUESTION)
+    one = search.search_batch(saved, asked, 0.2, 3, index=index, nprobe=1)
+    assert "cell" in _scan(one)
+    full = search.search_batch(saved, asked, 0.2, 3, index=index, nprobe=6)
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, search.search_batch(saved.drop("cell"), asked, 0.2, 3).collect()))
+
+
+def test_fixed_vector_similarity_is_the_pairwise_one(spark):
+    df = spark.createDataFrame([(r[0], r[3]) for r in ROWS], "id int, v array<float>")
+    pairs = df.select(search.vx.similarity_to(F.col("v"), [0.6, 0.8]).alias("a"), search.vx.cosine_similarity(F.col("v"), F.lit([0.6, 0.8])).alias("b"))
+    for a, b in pairs.collect():
+        assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    assert df.select(search.vx.similarity_to(F.col("v"), [0.0, 0.0])).distinct().collect() == [(None,)]
+
+
 # ---- crawl
 
 BASE = "https://x.test/"
