@@ -55,6 +55,9 @@ class Chunk:
     def __init__(self, text, headings, page, tokens):
         self.texts, self.headings, self.pages, self.tokens = [text], headings, [page], tokens
 
+    def n_words(self) -> int:
+        return sum(word_tokens(text) for text in self.texts)
+
 
 def pack(blocks: Iterable[tuple], limit: int, merge_peers: bool, count: TokenCounter) -> list[Chunk]:
     """Greedy left-to-right packing of (kind, level, headings, page_no, text) blocks: a piece joins

@@ -19,6 +19,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
+def has_words(text: Column) -> Column:
+    return text.rlike(f"{UNICODE}[^{SPACE}]")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

@@ -30,8 +30,8 @@ def _documents(documents: pa.Array) -> Iterator[Iterator[tuple] | None]:
         yield zip(*[column[starts[i] : starts[i + 1]] for column in columns]) if valid else None
 
 
-def _chunk_array(chunks: list[packing.Chunk], ends: list[int], whole: list[bool]) -> pa.Array:
-    places = [ix for start, end in zip(ends, ends[1:]) for ix in range(end - start)]
+def _chunk_array(placed: list[tuple[int, packing.Chunk]], ends: list[int], whole: list[bool]) -> pa.Array:
+    places, chunks = [ix for ix, _ in placed], [chunk for _, chunk in placed]
     columns = [
         pa.array(places, pa.int32()),
         pa.array(["\n".join(c.texts) for c in chunks], pa.string()),
@@ -49,8 +49,10 @@ def pack_blocks(
     max_tokens: int = MAX_TOKENS,
     merge_peers: bool = True,
     counter: str | packing.TokenCounter = "token",
+    min_words: int = 0,
 ) -> Column:
-    """Blocks of one document to its array of chunks. A document that fails gives null."""
+    """Blocks of one document to its array of chunks of at least ``min_words`` words. A document that
+    fails gives null."""
     count = _COUNTERS[counter] if isinstance(counter, str) else counter
 
     @F.arrow_udf(CHUNKS_DDL)
@@ -61,6 +63,7 @@ def pack_blocks(
             try:
                 if document is not None:
                     packed = packing.pack(document, max_tokens, merge_peers, count)
+                    packed = [(ix, c) for ix, c in enumerate(packed) if c.n_words() >= min_words]
             except Exception:
                 logging.getLogger(__name__).exception("document skipped in chunking")
             whole.append(packed is not None)
@@ -80,8 +83,7 @@ def chunk_documents(
 ) -> DataFrame:
     """One row per kept chunk: the document's other columns plus chunk_ix, text, headings, page_nos,
     n_tokens. There is no shuffle: every document is one row and is packed where it is read."""
-    chunks = explode_chunks(docs, max_tokens, merge_peers, counter)
-    return drop_tiny(chunks, min_chunk_words)
+    return explode_chunks(docs, max_tokens, merge_peers, counter, min_chunk_words)
 
 
 def explode_chunks(
@@ -89,9 +91,10 @@ def explode_chunks(
     max_tokens: int = MAX_TOKENS,
     merge_peers: bool = True,
     counter: str | packing.TokenCounter = "token",
+    min_words: int = 0,
 ) -> DataFrame:
-    """All chunks of all documents, duplicates kept, before the tiny-chunk filter."""
-    packed = docs.withColumn("_chunks", pack_blocks(F.col("blocks"), max_tokens, merge_peers, counter))
+    """All chunks of all documents, duplicates kept; by default before the tiny-chunk filter."""
+    packed = docs.withColumn("_chunks", pack_blocks(F.col("blocks"), max_tokens, merge_peers, counter, min_words))
     others = [c for c in docs.columns if c != "blocks"]
     return packed.select(*others, F.inline("_chunks"))
 
@@ -126,18 +129,20 @@ def number_within(
     order: list[str],
     index: str = "chunk_index",
     total: str = "total_chunks",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position and row count within ``group``, without gathering a group in one task.
 
     A unit (a document, bounded by the size gate) is placed by the first 16 bits of the hash of its
     key, so a group falls into up to 65,536 buckets that are numbered on their own. What a bucket
     starts at comes from the running sum of bucket sizes, a table of at most 65,536 rows per group.
-    The order is (bucket, unit, order), the same on every retry. ``rows`` is read twice: hand in a
-    written table when it is costly.
+    The order is (bucket, unit, order), the same on every retry. ``rows`` is read twice, unless
+    ``sizes`` (group, unit, n) tells the row count of each unit.
     """
     spot = F.substring(F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in unit])), 1, 4)
     placed = rows.withColumn("_bucket", spot)
-    sizes = placed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    known = placed.withColumn("n", F.lit(1)) if sizes is None else sizes.withColumn("_bucket", spot)
+    sizes = known.groupBy(*group, "_bucket").agg(F.sum("n").alias("_n"))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(

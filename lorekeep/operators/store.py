@@ -239,13 +239,16 @@ class Store:
 
     # writing
 
-    def write_entries(self, entries: DataFrame, version: int) -> str:
+    def write_entries(self, entries: DataFrame, version: int, placed: bool = False) -> str:
         """Writes a part of entries and returns its path. Rebalancing gives files of even size: small
-        tenants share tasks, a tenant that holds much of the load is split over many."""
+        tenants share tasks, a tenant that holds much of the load is split over many. Rows that are
+        ``placed`` so already are not moved again."""
         part = f"entries/part={uuidlib.uuid4().hex}"
-        spread = entries.withColumn("load_seq", F.lit(version).cast("long")).hint("rebalance", "business_id")
-        ordered = spread.sortWithinPartitions("business_id", "source_id")
-        ordered.write.partitionBy("business_id").parquet(f"{self.root}/{part}")
+        rows = entries.withColumn("load_seq", F.lit(version).cast("long"))
+        rows = rows if placed else rows.hint("rebalance", "business_id")
+        writer = rows.sortWithinPartitions("business_id", "source_id").write.partitionBy("business_id")
+        # vectors hardly repeat a value, so a dictionary for them is wasted work
+        writer.option("parquet.enable.dictionary#embedding.list.element", "false").parquet(f"{self.root}/{part}")
         return part
 
     def publish(
@@ -286,6 +289,16 @@ class Store:
         )
         return version
 
+    def announce_sources(self, incoming: DataFrame, as_of: Column) -> int:
+        """Creates or updates sources on their own; see ``source_upsert``."""
+        base = self.manifest()
+        return self.publish(source_upsert(self.sources(base), incoming, as_of), base=base)
+
+    def mark_loaded(self, outcomes: DataFrame, as_of: Column) -> int:
+        """Records load outcomes (source_id, entry_count, error_message) on their own."""
+        base = self.manifest()
+        return self.publish(source_mark_loaded(self.sources(base), outcomes, as_of), base=base)
+
     def delete_sources(self, deleted: DataFrame) -> int:
         """Removes sources (column ``id``) together with their entries."""
         base = self.manifest()

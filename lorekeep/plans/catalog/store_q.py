@@ -416,9 +416,15 @@ def event_replay_streams(spark, folder):
 @query("stream_last_n", f"WITH {CTE_KEPT} SELECT CAST(user_id AS VARCHAR) AS stream_id, CAST(event_id AS VARCHAR) AS event_id FROM kept")
 def stream_last_n(spark, folder):
     """The same history kept by a stream over the events file."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", history.ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
     schema = table(spark, folder, "events").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     path = scratch_path(spark, "history")
-    history.write_history(history.stream_last_n(_stream_rows(arriving), KEPT), path, scratch_path(spark, "progress")).awaitTermination()
+    spark.conf.set(setting, history.ROCKSDB)
+    try:
+        kept = history.stream_last_n(_stream_rows(arriving), KEPT)
+        history.write_history(kept, path, scratch_path(spark, "progress")).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return history.read_history(spark.read.parquet(path), KEPT).select("stream_id", "event_id")

@@ -225,6 +225,14 @@ def _sitemaps(spark, folder):
     return table(spark, folder, "pages").select(F.col("url").alias("base_url"), status.alias("status"), xml.alias("xml"))
 
 
+@query(
+    "sitemap_location",
+    "SELECT url AS base_url, regexp_replace(string_split(string_split(url, '#')[1], '?')[1], '[^/]*$', 'sitemap.xml') AS sitemap_url FROM pages",
+)
+def sitemap_location(spark, folder):
+    return sitemap.sitemap_location(table(spark, folder, "pages").select(F.col("url").alias("base_url")))
+
+
 @query("sitemap_urls", f"WITH {CTE_SITEMAP} SELECT base_url, url FROM located")
 def sitemap_urls(spark, folder):
     return sitemap.sitemap_urls(_sitemaps(spark, folder))

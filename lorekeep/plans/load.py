@@ -31,10 +31,13 @@ class LoadReport:
 
 
 def announce(store: st.Store, listed: DataFrame, as_of: Column, base: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """The source table with the listed sources marked as loading, and the listing with source ids."""
-    announced = st.source_upsert(store.sources(base), listed, as_of)
+    """The source table with the listed sources marked as loading, and the listing with source ids.
+
+    Both are narrow, used many times and of a size worth knowing to the planner: they are staged.
+    """
+    announced = cut_lineage(st.source_upsert(store.sources(base), listed, as_of))
     known = announced.select(F.col("id").alias("source_id"), *st.SOURCE_KEY)
-    return announced, listed.join(known, st.SOURCE_KEY)
+    return announced, cut_lineage(listed.join(known, st.SOURCE_KEY))
 
 
 def source_pages(listed: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -58,9 +61,8 @@ def extract(covered: DataFrame, pages: DataFrame | None, files: DataFrame | None
     if files is not None:
         texts = spread(files.select(F.col("url").alias("page_url"), "text"))
         read = covered.filter(~ux.is_http(F.col("page_url"))).join(texts, "page_url")
-        sized = html.size_gate(read, tx.word_count(F.col("text")), max_words)
-        blocks = sized.withColumn("blocks", html.text_blocks(F.col("text"))).drop("text")
-        parts.append(blocks.filter(F.size("blocks") > 0))
+        sized = html.size_gate(read.filter(tx.has_words(F.col("text"))), tx.word_count(F.col("text")), max_words)
+        parts.append(sized.withColumn("blocks", html.text_blocks(F.col("text"))).drop("text"))
     docs = parts[0]
     for part in parts[1:]:
         docs = docs.unionByName(part)
@@ -68,24 +70,37 @@ def extract(covered: DataFrame, pages: DataFrame | None, files: DataFrame | None
 
 
 def entry_rows(
-    numbered: DataFrame, load_id: str, as_of: Column, model: Callable | None = None, on_error: str = "abort"
+    numbered: DataFrame,
+    load_id: str,
+    as_of: Column,
+    model: Callable | None = None,
+    on_error: str = "abort",
+    simple: bool = False,
 ) -> DataFrame:
-    """Numbered chunks (carried columns, page_url, chunk columns) to entries."""
-    name = ux.file_name(F.col("page_url"))
+    """Numbered chunks (carried columns, page_url, chunk columns) to entries.
+
+    ``simple`` gives the plainer form: the first heading as title, and the source id in the metadata.
+    """
     c = F.col
+    name = ux.file_name(c("page_url"))
+    extra = {"source_id": c("source_id")} if simple else {}
+    hierarchical = mx.title_hierarchical(c("headings"), name, c("text"))
     titled = numbered.withColumns(
         {
-            "title": mx.title_hierarchical(c("headings"), name, c("text")),
+            "title": mx.title_simple(c("headings"), name) if simple else hierarchical,
             "metadata": mx.metadata_json(
                 c("source_url"), name, c("page_nos"), c("headings"), c("chunk_index"), c("total_chunks"),
-                page_url=c("page_url"), loaded_at=as_of.cast("double"),
+                page_url=c("page_url"), loaded_at=as_of.cast("double"), **extra,
             ),
             "id": ids.stable_id(F.lit(load_id), c("business_id"), c("source_url"), c("seq"), c("chunk_index")),
             "content": c("text"),
         }
     )
-    embedded = embed.embed_chunks(titled, model, on_error=on_error)
-    return st.with_entry_defaults(embedded, as_of)
+    # Placed while rows are narrow, so the task that makes vectors also writes them. Ranges keep a small
+    # tenant in one task and split a large one over many, since the id is part of the range.
+    narrow = titled.select("id", "business_id", "category", "title", "content", "metadata", "source_id")
+    placed = narrow.repartitionByRange("business_id", "source_id", "id")
+    return st.with_entry_defaults(embed.embed_chunks(placed, model, text="content", on_error=on_error), as_of)
 
 
 def load_listed(
@@ -103,6 +118,7 @@ def load_listed(
     mode: str = "append",
     on_source_error: str = "abort",
     on_embed_error: str = "abort",
+    simple: bool = False,
     businesses: DataFrame | None = None,
     batch: tuple[str, int] | None = None,
 ) -> LoadReport:
@@ -113,11 +129,11 @@ def load_listed(
     manifest that makes it visible.
     """
     base = base or store.manifest()
-    keep = F.filter("chunks", lambda ch: tx.word_count(ch["text"]) >= min_chunk_words)
-    packed = docs.withColumn("chunks", chunking.pack_blocks(F.col("blocks"), max_tokens, True, counter)).drop("blocks")
-    # one row per document, read three times below: kept on the shared folder
-    staged = cut_lineage(packed.withColumn("chunks", F.coalesce(keep, F.array().cast(packed.schema["chunks"].dataType))))
-    counts = staged.groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("chunks")).alias("n_chunks"))
+    chunks = chunking.pack_blocks(F.col("blocks"), max_tokens, True, counter, min_chunk_words)
+    packed = docs.withColumn("chunks", chunks).drop("blocks")
+    # one row per document: texts are read once more below, the counts from their own column
+    staged = cut_lineage(packed.withColumn("n", F.coalesce(F.size("chunks"), F.lit(0))))
+    counts = staged.groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chunks"))
     tally = listed.join(counts, ["source_id", "seq"], "left").withColumns(
         {
             "error_message": F.when(F.coalesce("n_docs", F.lit(0)) == 0, "No documents extracted").when(
@@ -133,9 +149,9 @@ def load_listed(
             raise ValueError(f"load aborted, nothing was stored: {[tuple(r) for r in failed]}")
 
     chunks = staged.select(*CARRIED, "page_url", F.inline("chunks"))
-    numbered = chunking.number_within(chunks, ["source_id", "seq"], ["page_url"], ["chunk_ix"])
-    entries = entry_rows(numbered, load_id, as_of, model, on_embed_error)
-    part = store.write_entries(entries, base["version"] + 1)
+    numbered = chunking.number_within(chunks, ["source_id", "seq"], ["page_url"], ["chunk_ix"], sizes=staged)
+    entries = entry_rows(numbered, load_id, as_of, model, on_embed_error, simple)
+    part = store.write_entries(entries, base["version"] + 1, placed=True)
     written = store.entries({**base, "entries": [part], "tombstones": []})
     st.require_none(st.constraint_violations(written, "entries"), "entries break constraints")
 

@@ -275,6 +275,21 @@ def test_history_and_replay(spark):
     assert streams == {"e3": ("s", 2), "e5": ("s", 0), "e1": (None, 0), "zzz": (None, 0)}
 
 
+def test_first_and_last_n_are_cut_before_the_shuffle(spark):
+    """A group holding most rows leaves at most n rows per map task."""
+    rows = spark.range(10).selectExpr("cast(id % 2 AS string) AS stream_id", "cast(id % 2 AS string) AS root", "cast(id % 2 AS string) AS url", "id AS seq", "id AS link_ix", "1 AS depth", "'t' AS target", "'x y' AS text", "array('a', 'b') AS headings")
+    plans = {
+        "last_n": events.last_n(rows, 3),
+        "budget": crawl.budget(rows, 3),
+        "samples": quality.chunk_samples(rows, ["stream_id"], ["seq"]),
+        "titles": quality.title_examples(rows, ["stream_id"], ["seq"]),
+        "links": html.link_preview(rows),
+    }
+    for name, df in plans.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Partial" in plan, name
+
+
 def test_stream_history_over_batches_and_restart(spark, tmp_path):
     rng = random.Random(2)
     seqs = list(range(300))

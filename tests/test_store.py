@@ -121,6 +121,19 @@ def test_append_versions_and_compaction(spark, store):
     assert "PartitionFilters: [isnotnull(business_id" in plan
 
 
+def test_sources_on_their_own(spark, store):
+    listed = spark.createDataFrame([(0, "b1", "u1", "website", "faq", True, "d")], INCOMING)
+    store.announce_sources(listed, at(1))
+    row = store.sources().first()
+    assert (row.status, row.entry_count) == ("loading", 0)
+    assert st.source_lookup(store.sources(), source_id=row.id).count() == 1
+    assert st.source_lookup(store.sources(), business_id="b1", source_url="u2").count() == 0
+    store.mark_loaded(spark.createDataFrame([(row.id, 4, None)], "source_id string, entry_count int, error_message string"), at(2))
+    assert (store.sources().first().status, store.sources().first().entry_count) == ("loaded", 4)
+    store.delete_sources(store.sources().select("id"))
+    assert store.sources().isEmpty()
+
+
 def test_bad_entries_are_not_published(spark, store):
     broken = entry_frame(spark, [("1", "b", "7")]).withColumn("title", F.lit(None).cast("string"))
     with pytest.raises(ValueError, match="title_not_null"):
@@ -172,6 +185,23 @@ def test_load_crawls_chunks_and_reports(spark, store):
     assert failed["sources"] == [] and failed["context_count"] == 0 and failed["error"]
 
 
+def test_simple_entries_and_skipped_texts(spark, store):
+    def picky():
+        def model(texts):
+            if any("physio" in t for t in texts):
+                raise RuntimeError("no")
+            return [[1.0, 0.0]] * len(texts)
+
+        return model
+
+    report = load.load_documents(
+        store, BIZ, ["https://x.test/"], pages=snapshot(spark), as_of=at(1), simple=True, model=picky, on_embed_error="skip"
+    )
+    rows = store.entries().collect()
+    assert [r.title for r in rows] == ["Home"] and f'"source_id":"{rows[0].source_id}"' in rows[0].metadata
+    assert store.sources().first().entry_count == 1 and report.results.first().status == "loaded"
+
+
 def test_reload_appends_or_replaces(spark, store):
     def run(load_id, **options):
         return load.load_documents(store, BIZ, ["https://x.test/about"], pages=snapshot(spark), crawl_internal=False, as_of=at(1), load_id=load_id, **options)
