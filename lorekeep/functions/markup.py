@@ -11,6 +11,8 @@ and whatever is still open ends with the page.
 from __future__ import annotations
 
 from collections import Counter
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 # Elements and class words that are dropped with everything inside them.
@@ -52,7 +54,7 @@ def _squeeze(parts: list[str]) -> str:
 
 class PageReader(HTMLParser):
     def __init__(self, html: str, blocks: bool):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self._html = html
         self._want_blocks = blocks
         self._starts = [0]
@@ -156,6 +158,13 @@ class PageReader(HTMLParser):
         if self._want_blocks and not self._open_count["title"]:
             self._run.append(data)
 
+    def handle_entityref(self, name):
+        """A known name, with or without its semicolon; an unknown one stays as text."""
+        self.handle_data(html5.get(f"{name};", f"&{name}"))
+
+    def handle_charref(self, name):
+        self.handle_data(unescape(f"&#{name};"))
+
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
             self.handle_data(data[len("CDATA[") :])

@@ -12,7 +12,7 @@ from lorekeep.plans.catalog.urls_q import CTE_LINKS, _links
 from lorekeep.session import cut_lineage
 
 SQL_CLEAN = "regexp_replace(html, '<nav\\b.*?</nav>|<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', '', 'gis')"
-SQL_UNESCAPE = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&')"
+SQL_UNESCAPE = "regexp_replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;?', '&', 'g')"
 SQL_TEXT = f"regexp_replace({SQL_CLEAN}, '<!--.*?-->|<[^>]*>', '', 'gs')"
 SQL_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 

@@ -25,6 +25,7 @@ PAGES = [
     ('<!-- <a href="/no">x</a> --><script>"<a href=\'/no\'>"</script>t', "t", []),
     ('<img class="modal" src=x>a<br class="popup">b', "ab", []),
     ("a<div class='popup'/>b", "ab", []),
+    ("x &amp<b>y</b> &copy2 &nope; &#8364;&#x41; & z &lt;b&gt;", "x &y &copy2 &nope €A & z <b>", []),
     ("<template>no</template><ruby>k<rt>r</rt></ruby>", "k", []),
 ]
 
