@@ -18,6 +18,15 @@ def build_edges(pages: DataFrame) -> DataFrame:
     return accepted_edges(resolve_links(extract_links(pages)).select(F.col("url").alias("src"), F.col("target").alias("dst")))
 
 
+def pages_to_read(pages: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Pages whose links a crawl from ``roots`` can follow, picked before any page is parsed: with two
+    levels the roots' own pages, with more the pages of the roots' sites, since links lead nowhere else."""
+    if max_depth <= 2:
+        return pages.join(roots.select(F.col("root").alias("url")).distinct(), "url", "left_semi")
+    sites = roots.select(ux.site(F.col("root")).alias("_site")).distinct()
+    return pages.withColumn("_site", ux.site(F.col("url"))).join(sites, "_site", "left_semi").drop("_site")
+
+
 def accepted_edges(links: DataFrame) -> DataFrame:
     kept = links.filter(ux.same_site(F.col("dst"), F.col("src")) & ux.should_crawl(F.col("dst")))
     return kept.select("src", "dst").distinct()

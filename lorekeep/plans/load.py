@@ -40,13 +40,15 @@ def announce(store: st.Store, listed: DataFrame, as_of: Column, base: dict | Non
     return announced, cut_lineage(listed.join(known, st.SOURCE_KEY))
 
 
-def source_pages(listed: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Pages each announced source covers: itself, plus what a crawl from it collects."""
+def source_pages(listed: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Pages each announced source covers: itself, plus, given a snapshot to crawl, what a crawl from it
+    collects."""
     own = listed.select(*CARRIED, F.col("source_url").alias("page_url"))
-    if edges is None:
+    if pages is None:
         return own
     starts = listed.filter((F.col("route") == "html") & F.coalesce("crawl_internal", F.lit(True)))
-    found = crawl.reachable(starts.select(F.col("source_url").alias("root")).distinct(), edges)
+    roots = starts.select(F.col("source_url").alias("root")).distinct()
+    found = crawl.reachable(roots, crawl.build_edges(crawl.pages_to_read(pages.select("url", "html"), roots)))
     further = found.filter("url <> root").select(F.col("root").alias("source_url"), F.col("url").alias("page_url"))
     return own.unionByName(starts.select(*CARRIED).join(further, "source_url").select(*own.columns))
 
@@ -208,8 +210,7 @@ def load_documents(
     when = F.current_timestamp() if as_of is None else as_of
     base = store.manifest()
     announced, listed = announce(store, listed, when, base)
-    edges = crawl.build_edges(pages) if crawl_internal and pages is not None else None
-    docs = extract(source_pages(listed, edges), pages, files)
+    docs = extract(source_pages(listed, pages if crawl_internal else None), pages, files)
     return load_listed(store, listed, announced, docs, when, load_id or uuidlib.uuid4().hex, base, max_tokens=max_tokens, **options)
 
 

@@ -162,6 +162,15 @@ def test_default_crawl(spark):
     assert _crawl(spark, edges, max_depth=3) == want | {"https://x.test/about/history", "https://www.x.test/blog/one"}
 
 
+@pytest.mark.parametrize("depth, read", [(2, {BASE}), (3, {url for url, _ in LINKED})])
+def test_only_pages_of_the_crawl_are_parsed(spark, depth, read):
+    linked = [*LINKED, ("https://other.test/", ["/x"])]
+    pages = spark.createDataFrame([(u, "".join(f'<a href="{h}">x</a>' for h in hs)) for u, hs in linked], "url string, html string")
+    picked = crawl.pages_to_read(pages, spark.createDataFrame([(BASE,)], "root string"), depth)
+    assert {r.url for r in picked.collect()} == read
+    assert _crawl(spark, crawl.build_edges(picked), max_depth=depth) == _crawl(spark, _edges(spark, linked), max_depth=depth)
+
+
 def test_a_level_is_never_cut(spark):
     edges = _edges(spark, [(BASE, [f"/p{i}" for i in range(60)])])
     assert len(_crawl(spark, edges)) == 61
