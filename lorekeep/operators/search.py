@@ -102,13 +102,15 @@ def _score(entries: DataFrame, questions: _Slice, qid_type, threshold: float, k:
     ``k`` rows per question.
     """
     spark = entries.sparkSession
-    shipped = spark.sparkContext.broadcast(questions)
+    # plain values only: unlike functions, broadcast objects of this package's classes would have to be
+    # importable on the executors
+    shipped = spark.sparkContext.broadcast((questions.ids, questions.unit, questions.scopes))
     id_type = entries.schema["id"].dataType
     arrow_types = [to_arrow_type(t) for t in (qid_type, id_type, DoubleType())]
     celled = "cell" in entries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_by = shipped.value
+        question_ids, unit, scopes = shipped.value
         pool: list[pd.DataFrame] = []
         for batch in batches:
             rows, at = vx.dense(batch.column("embedding"))
@@ -118,14 +120,14 @@ def _score(entries: DataFrame, questions: _Slice, qid_type, threshold: float, k:
             scope = pd.DataFrame({"b": np.array(batch.column("business_id").to_pylist(), dtype=object)[at]})
             scope["c"] = np.array(batch.column("cell").to_pylist())[at] if celled else 0
             for (tenant, cell), where in scope.groupby(["b", "c"], sort=False).indices.items():
-                asked = asked_by.scopes.get((tenant, int(cell) if celled else None))
+                asked = scopes.get((tenant, int(cell) if celled else None))
                 if asked:
-                    pool += _candidates(rows[where], ids[where], np.array(asked), asked_by.unit, threshold, k)
+                    pool += _candidates(rows[where], ids[where], np.array(asked), unit, threshold, k)
             if sum(map(len, pool)) > _POOL_ROWS:
                 pool = [_top(pd.concat(pool), k)]
         if pool:
             best = _top(pd.concat(pool), k)
-            columns = [[asked_by.ids[q] for q in best["q"]], best["id"].tolist(), best["s"].tolist()]
+            columns = [[question_ids[q] for q in best["q"]], best["id"].tolist(), best["s"].tolist()]
             arrays = [pa.array(values, kind) for values, kind in zip(columns, arrow_types)]
             yield pa.RecordBatch.from_arrays(arrays, names=["question_id", "id", "similarity"])
 
