@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import ids
 from lorekeep.functions import urls as ux
-from lorekeep.operators import embed, events, html, quality
+from lorekeep.operators import embed, events, quality
 from lorekeep.operators import store as st
 from lorekeep.plans import load
 from lorekeep.plans.catalog.pages_q import SQL_CLEAN, SQL_UNESCAPE
