@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import simhash
+from lorekeep.llm import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def public_vocabulary() -> tuple[str, str]:
+    """Path and pattern of the multilingual byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_vocabulary()
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path, pattern), path))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
