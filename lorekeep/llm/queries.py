@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, simhash, substring
+from lorekeep.llm import bpe, decontaminate, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,28 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select("doc_id", "text", "removed")
+
+
+SQL_WORDS = r"""coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[])"""
+
+
+@query(
+    "op1_benchmark_decontamination",
+    f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, list_slice(w, s, least(s + 9, len(w))) AS win
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS m FROM iw),
+dw AS (SELECT doc_id, s, m, list_slice(w, s, s + m - 1) AS win
+       FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM d, sizes WHERE len(w) >= m)),
+hits AS (SELECT doc_id, s, m, win FROM dw WHERE win IN (SELECT win FROM iw)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + m - 1)) AS p FROM hits) GROUP BY 1),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM hits JOIN iw USING (win)),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h FROM pairs GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
