@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = 1 << 62
-#: Pieces that a task remembers, and the longest of them in characters.
-MEMORY, LONGEST = 500_000, 64
+#: Pieces that a Python worker remembers, and the longest of them in characters.
+MEMORY, LONGEST = 700_000, 64
 #: Bytes of text or ids that are gathered for one output batch.
 BATCH = 4 << 20
 
@@ -68,8 +68,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Pieces(dict):
     """Encoded pieces as little-endian 32-bit ids; emptied when full."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, data: bytes) -> None:
+        self.ranks = read_ranks(data)
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
@@ -80,6 +80,22 @@ class _Pieces(dict):
         return ids
 
 
+class Vocabulary:
+    """A rank file's bytes. As a broadcast it stays in a Python worker from task to task, and with it the
+    pieces that the worker has encoded."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.known = data, None
+
+    def __reduce__(self):
+        return Vocabulary, (self.data,)
+
+    def pieces(self) -> _Pieces:
+        if self.known is None:
+            self.known = _Pieces(self.data)
+        return self.known
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, token_ids: little-endian unsigned 32-bit integers) for each row of ``docs``.
 
@@ -89,13 +105,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     driver; its bytes (under 1 MB for 50,000 tokens) are broadcast.
     """
     with open(vocabulary, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, token_ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        pieces = _Pieces(read_ranks(shared.value))
+        pieces = shared.value.pieces()
         split, look = regex.compile(pattern).findall, pieces.__getitem__
         for batch in batches:
             done, start, held = [], 0, 0

@@ -16,19 +16,14 @@ from lorekeep.session import cut_lineage
 
 WINDOW = 10
 GRAM = 5
-#: A word is what is left between ASCII marks, spaces and control characters.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_LOW = 0x7FFFFFFF
-
-
-def _lower(word: Column) -> Column:
-    """A-Z lower-cased and nothing else; the quick form serves words of ASCII only."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
+#: What stands between words: ASCII marks, spaces and control characters.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """The lower-cased words of a text; none for null."""
-    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _lower), F.array().cast("array<string>"))
+    """The words of a text with A-Z lower-cased; none for null."""
+    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.coalesce(F.filter(F.split(low, GAP), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def _numbers(count: Column) -> Column:
@@ -134,7 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = listed.groupBy("id", "tag").agg(F.count("item").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
     places = places.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "n_hit")
     named = named.select(F.col("id").alias("_id2"), F.col("tag").alias("_tag2"), "n_items", "items_sha256")
-    base = tagged.select("id", "tag", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = tagged.select("id", "tag", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     base = base.join(places, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     base = base.join(named, F.col("id").eqNullSafe(F.col("_id2")) & (F.col("tag") == F.col("_tag2")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
