@@ -18,6 +18,7 @@ WINDOW = 10
 GRAM = 5
 #: What stands between words: ASCII marks, spaces and control characters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = 0x7FFFFFFF
 
 
 def words(text: Column) -> Column:
