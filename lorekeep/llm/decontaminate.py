@@ -69,8 +69,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return spread.select("item", F.concat_ws(" ", part).alias("window"), F.size(part).alias("size")).distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, tag, start, size, window): where a window of an item occurs in a document (id, tag, words)."""
+def hits(texts: DataFrame, items: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(id, tag, start, size, window): where a window of an item occurs in a document (id, tag, text).
+
+    The second join is a merge join at every size: it moves each text once, before its words are cut, and
+    does the same on a little data as on much."""
+    docs = texts.select("id", "tag", words(F.col("text")).alias("words"))
     near = fingerprints(docs, window, gram).join(fingerprints(items, window, gram).select("gram").distinct(), "gram", "left_semi")
     near = near.select("id", "tag", "pos", F.lit(0).alias("whole"))
     # Items of fewer words have no window of 10 to winnow: their first words are looked up everywhere. At most 9 sizes.
@@ -82,7 +86,8 @@ def hits(docs: DataFrame, items: DataFrame, windows: DataFrame, window: int = WI
     found = near.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(
         F.collect_list(F.when(F.col("whole") == 0, F.col("pos"))).alias("near"), F.collect_list(F.when(F.col("whole") == 1, F.col("pos"))).alias("firsts")
     )
-    held = docs.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
+    held = texts.hint("merge").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
+    held = held.withColumn("words", words(F.col("text")))
     n = F.size("words")
 
     def around(p: Column) -> Column:
@@ -112,6 +117,21 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"].cast("long"))
 
 
+def _parts(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tagged = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("words"))
+    windows = item_windows(items)
+    return tagged, windows, hits(tagged, items, windows)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, all columns kept, without those that ``decontaminate`` calls contaminated."""
+    found = _parts(docs, benchmark, id_col, text_col, item_col)[2]
+    bad = found.select(F.struct("id", "tag").alias("_row")).distinct()
+    rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag")))
+    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
 
@@ -120,10 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     repeated row keeps its row; rows of one id but different texts are judged apart; a null item_id hits
     words but is not listed; other columns are ignored. With no documents or no items there are no hits.
     """
-    tagged = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("words"))
-    windows = item_windows(items)
-    found = hits(tagged.select("id", "tag", words(F.col("text")).alias("words")), items, windows)
+    tagged, windows, found = _parts(docs, benchmark, id_col, text_col, item_col)
     places = found.groupBy("id", "tag").agg(covered(F.collect_set(F.struct("start", "size"))).alias("n_hit"))
     listed = found.select("id", "tag", "window").distinct().join(windows.select("window", "item"), "window").select("id", "tag", "item").distinct()
     ids = F.array_sort(F.collect_set(F.col("item").cast("string")))

@@ -48,15 +48,15 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: long) for each row; a null or wordless text has fingerprint 0."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long"
+    """(id, tag, fp: long) for each row; a null or wordless text has fingerprint 0. tag is a hash of the text."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, tag long, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["id", "tag", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 def _syndrome_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +190,17 @@ def links(fps: DataFrame, homes: int = HOMES) -> DataFrame:
     return placed.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "guest").mapInArrow(_linked, "u long, v long")
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, fp, component_id) for each row of ``docs``."""
+    rows = cut_lineage(fingerprints(docs, id_col, text_col))
+    named = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = cut_lineage(components(links(rows)))
+    marked = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = cut_lineage(marked)
+    best = marked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(marked.join(best, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
@@ -198,11 +209,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows and ids each keep their row. A null id is not a smallest id unless its whole component has
     none. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col))
-    named = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = cut_lineage(components(links(rows)))
-    marked = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    marked = cut_lineage(marked)
-    best = marked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = marked.join(best, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classed = _classed(docs, id_col, text_col)
+    return classed.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``near_duplicates``, all columns kept: that of the smallest id. Of rows
+    alike in id and text one stays; rows of one id but different texts are told apart by a hash of the text."""
+    first = _classed(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("component_id").agg(F.min(F.struct("id", "tag")).alias("_row")).select("_row")
+    rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag")))
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
