@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, decontaminate, quality, simhash, substring
+from lorekeep.llm import bpe, decontaminate, quality, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))[0]
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
