@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, decontaminate, quality, simhash, substring, toxicity
+from lorekeep.llm import bpe, decontaminate, prefix, quality, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_prefix_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix.fingerprints(table(spark, folder, "documents"))
