@@ -27,6 +27,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(low, GAP), lambda w: w != ""), F.array().cast("array<string>"))
 
 
+def once(column: Column) -> Column:
+    """The column, marked as one that Catalyst may not copy into filters or lambdas nor evaluate again."""
+    return F.when(F.rand(0) < 2, column)
+
+
 def _numbers(count: Column) -> Column:
     """0 to count - 1, or nothing."""
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
@@ -34,9 +39,9 @@ def _numbers(count: Column) -> Column:
 
 def _grams(rows: DataFrame, size: int) -> DataFrame:
     """``rows`` (with words) and the column grams: a hash for each place where ``size`` words begin."""
-    hashed = rows.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = rows.withColumn("_h", once(F.transform("words", lambda w: F.xxhash64(w))))
     each = F.transform(_numbers(F.size("_h") - (size - 1)), lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(size)]))
-    return hashed.withColumn("grams", each).drop("_h")
+    return hashed.withColumn("grams", once(each)).drop("_h")
 
 
 def fingerprints(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -47,12 +52,12 @@ def fingerprints(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     span = window - gram + 1
     keys = [c for c in rows.columns if c != "words"]
     # The upper half of a key is from the hash, the lower half falls with the position: one minimum gives both.
-    keyed = _grams(rows, gram).withColumn("_v", F.transform("grams", lambda g, i: g.bitwiseAND(~_LOW).bitwiseOR(F.lit(_LOW) - i)))
+    keyed = _grams(rows, gram).withColumn("_v", once(F.transform("grams", lambda g, i: g.bitwiseAND(~_LOW).bitwiseOR(F.lit(_LOW) - i))))
     least = F.transform(_numbers(F.size("_v") - (span - 1)), lambda i: F.least(*[F.get("_v", i + j) for j in range(span)]))
-    kept = keyed.withColumn("_kept", F.array_distinct(least))
+    kept = keyed.withColumn("_kept", once(F.array_distinct(least)))
     kept = kept.withColumn("_at", F.transform("_kept", lambda v: (F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("int")))
     pairs = F.transform("_at", lambda p: F.struct(p.alias("pos"), F.get("grams", p).alias("gram")))
-    return kept.select(*keys, F.inline(pairs))
+    return kept.select(*keys, once(pairs).alias("_pairs")).select(*keys, F.inline("_pairs"))
 
 
 def _all_grams(rows: DataFrame, size: int) -> DataFrame:
@@ -87,7 +92,7 @@ def hits(texts: DataFrame, items: DataFrame, windows: DataFrame, window: int = W
         F.collect_list(F.when(F.col("whole") == 0, F.col("pos"))).alias("near"), F.collect_list(F.when(F.col("whole") == 1, F.col("pos"))).alias("firsts")
     )
     held = texts.hint("merge").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
-    held = held.withColumn("words", words(F.col("text")))
+    held = held.withColumn("words", once(words(F.col("text"))))
     n = F.size("words")
 
     def around(p: Column) -> Column:
@@ -101,7 +106,7 @@ def hits(texts: DataFrame, items: DataFrame, windows: DataFrame, window: int = W
         return F.transform(fits, lambda p: F.struct(p.alias("start"), F.lit(size).alias("size")))
 
     tries = F.concat(tries, *[whole(size) for size in short])
-    opened = held.select("id", "tag", "words", F.inline(tries))
+    opened = held.select("id", "tag", "words", once(tries).alias("_tries")).select("id", "tag", "words", F.inline("_tries"))
     opened = opened.select("id", "tag", "start", "size", F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("size"))).alias("window"))
     return cut_lineage(opened.join(windows.select("window", "size").distinct(), ["window", "size"], "left_semi").distinct())
 

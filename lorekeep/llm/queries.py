@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, decontaminate, prefix, quality, simhash, substring, toxicity
+from lorekeep.llm import bpe, decontaminate, langid, licenses, prefix, quality, simhash, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,27 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_prefix_fingerprints")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return prefix.fingerprints(table(spark, folder, "documents"))
+
+
+@query(
+    "op8_warc",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT d, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM p LEFT JOIN o USING (d)""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"), licenses.NOTICES)

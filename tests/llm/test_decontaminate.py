@@ -1,13 +1,8 @@
 import hashlib
 import random
-import re
 
 from lorekeep.llm import decontaminate
-
-
-def tokens(text):
-    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+from tests_words import tokens
 
 
 def plain(text, items):
