@@ -80,22 +80,6 @@ class _Pieces(dict):
         return ids
 
 
-class Vocabulary:
-    """A rank file's bytes. As a broadcast it stays in a Python worker from task to task, and with it the
-    pieces that the worker has encoded."""
-
-    def __init__(self, data: bytes) -> None:
-        self.data, self.known = data, None
-
-    def __reduce__(self):
-        return Vocabulary, (self.data,)
-
-    def pieces(self) -> _Pieces:
-        if self.known is None:
-            self.known = _Pieces(self.data)
-        return self.known
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, token_ids: little-endian unsigned 32-bit integers) for each row of ``docs``.
 
@@ -105,13 +89,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     driver; its bytes (under 1 MB for 50,000 tokens) are broadcast.
     """
     with open(vocabulary, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
+        shared = docs.sparkSession.sparkContext.broadcast({"file": file.read()})
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, token_ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        pieces = shared.value.pieces()
+        # A broadcast stays in a Python worker from task to task, and with it the pieces encoded there.
+        pieces = shared.value.setdefault("pieces", None) or _Pieces(shared.value["file"])
+        shared.value["pieces"] = pieces
         split, look = regex.compile(pattern).findall, pieces.__getitem__
         for batch in batches:
             done, start, held = [], 0, 0

@@ -148,11 +148,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, held_out, score, predicted) for each row of ``docs``: score is the model's probability that
     the text is toxic, predicted is 1 from 0.7 on. Null and empty texts score as texts without any feature;
     rows alike score alike; a null id is not held out; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value.weights, shared.value.bias
+        weights, bias = shared.value
         known = _Words(set(weights))
         for batch in batches:
             z = [bias + sum(map(weights.__getitem__, sorted(features(x.as_py() or "", known)))) for x in batch.column(1)]
