@@ -22,7 +22,7 @@ NO_TITLE = "No title"
 
 
 def _avg(value: Column, digits: int) -> Column:
-    return F.round(F.avg(value), digits)
+    return tx.round_half_even(F.avg(value), digits)
 
 
 def report_title(headings: Column) -> Column:
@@ -180,10 +180,10 @@ def site_quality(
         grade(n_docs, n_chunks, F.col("_avg")).alias("status"),
         n_docs.alias("docs_extracted"),
         n_chunks.alias("chunks"),
-        F.round(F.coalesce("_avg", F.lit(0.0)), digits).alias("avg_words"),
+        tx.round_half_even(F.coalesce("_avg", F.lit(0.0)), digits).alias("avg_words"),
         F.col("min_words").cast("bigint"),
         F.col("max_words").cast("bigint"),
-        F.round(tx.percentage(F.coalesce("_layered", F.lit(0)), n_chunks), digits).alias("hierarchical_pct"),
+        tx.round_half_even(tx.percentage(F.coalesce("_layered", F.lit(0)), n_chunks), digits).alias("hierarchical_pct"),
         F.coalesce("tiny_chunks", F.lit(0)).alias("tiny_chunks"),
         F.coalesce("quality_chunks", F.lit(0)).alias("quality_chunks"),
         error.alias("error"),
@@ -195,7 +195,7 @@ def site_summary(quality: DataFrame, digits: int = 1) -> DataFrame:
     good = F.col("chunks") > 0
 
     def mean(name: str) -> Column:
-        return F.round(F.avg(F.when(good, F.col(name))), digits)
+        return tx.round_half_even(F.avg(F.when(good, F.col(name))), digits)
 
     return quality.agg(
         F.count_if(good).alias("successful"),

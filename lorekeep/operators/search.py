@@ -264,11 +264,10 @@ class CellIndex:
         return cell.asNondeterministic()(embedding)
 
 
-def ann_build(entries: DataFrame, lists: int = LISTS, train_rows: int = 1_000_000, seed: int = 42) -> tuple[DataFrame, CellIndex]:
+def ann_build(entries: DataFrame, lists: int = LISTS, seed: int = 42) -> tuple[DataFrame, CellIndex]:
     """Cells by k-means on unit vectors. Returns the entries with ``cell`` and the index.
 
-    Centroids are fitted on all vectors, or on about ``train_rows`` of them when there are more;
-    every entry gets a cell either way. ``save_by(celled, path, "cell")`` lets a search read only the
+    Centroids are fitted on all vectors, whatever their number, and every entry gets a cell. ``save_by(celled, path, "cell")`` lets a search read only the
     cells it probes.
     """
     from pyspark.ml.clustering import KMeans
@@ -277,9 +276,6 @@ def ann_build(entries: DataFrame, lists: int = LISTS, train_rows: int = 1_000_00
     known = entries.filter(F.col("embedding").isNotNull())
     norm = F.sqrt(vx.dot(F.col("embedding"), F.col("embedding")))
     unit = known.select(F.transform("embedding", lambda x: x / norm).alias("v"), norm.alias("n")).filter("n > 0")
-    rows = known.count()
-    if rows > train_rows:
-        unit = unit.sample(fraction=train_rows / rows, seed=seed)
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(unit.select(array_to_vector("v").alias("features")))
     index = CellIndex(np.array(model.clusterCenters(), dtype=np.float64))
     return entries.withColumn("cell", index.assign(F.col("embedding"))), index

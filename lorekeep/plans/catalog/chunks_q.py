@@ -348,7 +348,7 @@ def _sql_has(terms) -> str:
     return "bool_or(" + " OR ".join(f"contains(lower(text), '{t}')" for t in terms) + ")"
 
 
-SQL_REPORT = "count(*) AS total_chunks, round(avg(n), 6) AS avg_words, min(n) AS min_words, max(n) AS max_words, round(avg(length(text)), 6) AS avg_chars"
+SQL_REPORT = "count(*) AS total_chunks, round_even(avg(n), 1) AS avg_words, min(n) AS min_words, max(n) AS max_words, round_even(avg(length(text)), 1) AS avg_chars"
 SQL_FLAGS = (
     ", ".join(f"{_sql_has(terms)} AS {name}" for name, terms in TOPICS.items())
     + f", NOT {_sql_has([ARTIFACT])} AS no_right_txt_artifact"
@@ -358,7 +358,7 @@ SQL_FLAGS = (
 
 @query("chunk_report", f"WITH {CTE_SIZED} SELECT source, {SQL_REPORT} FROM sized GROUP BY source")
 def chunk_report(spark, folder):
-    return quality.chunk_report(lines(spark, folder), ["source"], digits=6)
+    return quality.chunk_report(lines(spark, folder), ["source"])
 
 
 @query("content_flags", f"WITH {CTE_SIZED} SELECT source, {SQL_FLAGS} FROM sized GROUP BY source")
@@ -421,8 +421,8 @@ c AS (SELECT source AS site, count(*) AS chunks, avg(n) AS a, min(n) AS mn, max(
 quality AS (
   SELECT sites.site, seq,
     CASE WHEN docs IS NULL THEN 'FAILED' WHEN chunks IS NULL THEN 'POOR' WHEN a < 30 THEN 'POOR' WHEN a < 50 THEN 'FAIR' WHEN a < 100 THEN 'GOOD' ELSE 'EXCELLENT' END AS status,
-    coalesce(docs, 0) AS docs_extracted, coalesce(chunks, 0) AS chunks, round(coalesce(a, 0), 6) AS avg_words, mn AS min_words, mx AS max_words,
-    round(coalesce(100.0 * hier / chunks, 0), 6)::DOUBLE AS hierarchical_pct, coalesce(tiny, 0) AS tiny_chunks, coalesce(good, 0) AS quality_chunks,
+    coalesce(docs, 0) AS docs_extracted, coalesce(chunks, 0) AS chunks, round_even(coalesce(a, 0), 1) AS avg_words, mn AS min_words, mx AS max_words,
+    round_even(coalesce(100.0 * hier / chunks, 0)::DOUBLE, 1) AS hierarchical_pct, coalesce(tiny, 0) AS tiny_chunks, coalesce(good, 0) AS quality_chunks,
     CASE WHEN docs IS NULL THEN 'No documents extracted' WHEN chunks IS NULL THEN 'No chunks created' END AS error
   FROM sites LEFT JOIN d ON sites.site = d.site LEFT JOIN c ON sites.site = c.site)"""
 
@@ -433,7 +433,7 @@ def _sites(spark, folder):
     hosts = table(spark, folder, "pages").groupBy(host.alias("site")).agg((F.min("page_id") + 1000000000).alias("seq"))
     chunks = chunking.drop_tiny(_headed(spark, folder)).withColumnRenamed("source", "site")
     of_docs = table(spark, folder, "documents").select(F.col("source").alias("site"))
-    return quality.site_quality(named.unionAll(hosts), of_docs, chunks, digits=6)
+    return quality.site_quality(named.unionAll(hosts), of_docs, chunks)
 
 
 @query("site_quality", f"WITH {CTE_SITES} SELECT * FROM quality")
@@ -446,12 +446,12 @@ def site_quality(spark, folder):
     f"""
 WITH {CTE_SITES}
 SELECT count(*) FILTER (WHERE chunks > 0) AS successful, count(*) FILTER (WHERE chunks = 0) AS failed,
-       round(avg(chunks) FILTER (WHERE chunks > 0), 6) AS avg_chunks, round(avg(avg_words) FILTER (WHERE chunks > 0), 6) AS avg_words,
-       round(avg(hierarchical_pct) FILTER (WHERE chunks > 0), 6) AS avg_hierarchical_pct FROM quality
+       round_even(avg(chunks) FILTER (WHERE chunks > 0), 1) AS avg_chunks, round_even(avg(avg_words) FILTER (WHERE chunks > 0), 1) AS avg_words,
+       round_even(avg(hierarchical_pct) FILTER (WHERE chunks > 0), 1) AS avg_hierarchical_pct FROM quality
 """,
 )
 def site_summary(spark, folder):
-    return quality.site_summary(_sites(spark, folder), digits=6)
+    return quality.site_summary(_sites(spark, folder))
 
 
 @query(

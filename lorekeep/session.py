@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -18,6 +19,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(SCAN_PARTITIONS, str(os.cpu_count() if cpus == "*" else cpus))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -60,16 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Input per core below which a scan has too few splits to keep the cores busy.
-SMALL_SHARE = 8 * 1024 * 1024
+# How many partitions scans of pages and texts are dealt out to; unset, they stay as they are split.
+SCAN_PARTITIONS = "lorekeep.scan.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small input out over the cores before work that costs more than moving it.
+    """Deals rows out before work that costs more than moving them, if the session asks for it.
 
-    A file of one row group is one task however many cores wait. Inputs beyond ``SMALL_SHARE`` per
-    core have splits enough and pass unchanged, so nothing large is ever moved by this.
+    For local runs over files of one row group, each of which is one task however many cores wait. It
+    depends on the setting alone, never on the size of the input; a cluster leaves it unset.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and size < cores * SMALL_SHARE else df
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
