@@ -107,11 +107,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     The first shuffle carries 8 bytes a run and finds what may repeat; the second brings only that together.
     """
     every = _occurrences(docs, id_col, text_col, min_words)
-    often = every.groupBy("h1").count().where("count > 1").select("h1")
+    # Written first: a side that is an aggregate over its own exchange keeps AQE from splitting the other's hot keys.
+    often = cut_lineage(every.groupBy("h1").count().where("count > 1").select("h1"))
     held = cut_lineage(every.join(often, "h1", "left_semi"))
     rank = F.struct("id", "tag", "begin", "end")
     first = held.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = held.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first")))
+    later = held.join(cut_lineage(first.select("h1", "h2", "first")), ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first")))
     return later.groupBy("id", "tag").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
