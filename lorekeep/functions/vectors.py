@@ -5,18 +5,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def dense(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows of the usable (non-null, non-zero) vectors of a list array, and their positions."""
-    at = np.flatnonzero(np.asarray(vectors.is_valid()))
-    full = vectors.drop_null()
-    if not len(full):
-        return np.zeros((0, 0)), at
-    rows = np.asarray(full.flatten(), dtype=np.float64).reshape(len(full), -1)
+def widths(vectors: pa.Array) -> np.ndarray:
+    """Length of each vector of a list array, 0 for null."""
+    return pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+
+
+def dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the usable vectors of a list array, and their positions. Null and zero vectors, and
+    those of another length than ``width``, are left out."""
+    at = np.flatnonzero(widths(vectors) == width)
+    if not width or not len(at):
+        return np.zeros((0, width)), at[:0]
+    rows = np.asarray(vectors.take(pa.array(at)).flatten(), dtype=np.float64).reshape(len(at), width)
     norm = np.sqrt((rows * rows).sum(axis=1))
     return rows[norm > 0] / norm[norm > 0, None], at[norm > 0]
 
@@ -29,7 +35,7 @@ def similarity_to(embedding: Column, vector: list[float]) -> Column:
     @F.arrow_udf(DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
         out, known = np.zeros(len(vectors)), np.zeros(len(vectors), dtype=bool)
-        rows, at = dense(vectors)
+        rows, at = dense(vectors, len(fixed))
         if len(at) and length > 0:
             out[at], known[at] = np.round(rows @ (fixed / length), 12), True
         return pa.array(out, pa.float64(), mask=~known)

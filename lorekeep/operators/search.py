@@ -3,10 +3,8 @@ metadata and keyword lookups over the same entries."""
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,23 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lorekeep.functions import text as tx
 from lorekeep.functions import titles as mx
 from lorekeep.functions import vectors as vx
-from lorekeep.session import cut_lineage, scratch_path
 
 MATCH_THRESHOLD = 0.7
 MATCH_COUNT = 3
 LISTS = 100
 SHELVES = 256
-# Question vectors sent to the executors at a time; more questions are served in more passes.
-QUESTION_BYTES = 32 * 1024 * 1024
-# Tenants of one pass up to which the scan is pruned by an IN list.
-PRUNED_TENANTS = 1_000
-_QUESTION_BLOCK = 256
-_POOL_ROWS = 100_000
+# Vectors packed into one row before entries and questions meet, and the bytes of one such row.
+BLOCK_ROWS = 512
+BLOCK_BYTES = 1024 * 1024
 
 
 def kb_scan(entries: DataFrame) -> DataFrame:
@@ -59,107 +53,64 @@ def search(
     return hits.orderBy(F.desc("similarity"), F.asc("id")).limit(k)
 
 
-class _Slice:
-    """A bounded set of questions, addressed by the scope (tenant, cell) they look into."""
-
-    def __init__(self, asked: pa.Table, index: CellIndex | None = None, nprobe: int = 1):
-        vectors = asked.column("embedding").combine_chunks()
-        self.unit, at = vx.dense(vectors)
-        ids, tenants = asked.column("question_id").to_pylist(), asked.column("business_id").to_pylist()
-        self.ids = [ids[i] for i in at]
-        self.tenants = sorted({tenants[i] for i in at if tenants[i] is not None})
-        probes = index.nearest(self.unit, nprobe) if index else [[None]] * len(at)
-        self.cells = sorted({c for cells in probes for c in cells}) if index else None
-        self.scopes: dict[tuple, list[int]] = {}
-        for i, cells in enumerate(probes):
-            for cell in cells:
-                self.scopes.setdefault((tenants[at[i]], cell), []).append(i)
-
-
 def _top(pool: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = pool.sort_values(["q", "s", "id"], ascending=[True, False, True])
     return ordered[ordered.groupby("q", sort=False).cumcount() < k]
 
 
-def _candidates(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, unit: np.ndarray, threshold: float, k: int) -> Iterator[pd.DataFrame]:
-    """Per question the rows at or above both the threshold and the k-th best score of this batch."""
-    for at in range(0, len(asked), _QUESTION_BLOCK):
-        block = asked[at : at + _QUESTION_BLOCK]
-        scores = np.round(rows @ unit[block].T, 12)
-        floor = np.full(len(block), threshold)
-        if len(rows) > k:
-            floor = np.maximum(floor, np.partition(scores, len(rows) - k, axis=0)[len(rows) - k])
-        r, q = np.nonzero(scores >= floor)
-        if len(r):
-            yield _top(pd.DataFrame({"q": block[q], "id": ids[r], "s": scores[r, q]}), k)
-
+def _packed(rows: DataFrame, key: str, scope: list[str], prefix: str) -> DataFrame:
+    """Rows packed where they lie, without a shuffle: each scope's share of an Arrow batch becomes rows of
+    (scope, width, keys, unit vectors as doubles), each of bounded size."""
+    key_type, kinds = rows.schema[key].dataType, [rows.schema[c].dataType for c in scope]
+    key_arrow, arrows = to_arrow_type(key_type), [to_arrow_type(t) for t in kinds]
+    names = [*scope, "width", f"{prefix}_keys", f"{prefix}_unit"]
+    block_rows, block_bytes = BLOCK_ROWS, BLOCK_BYTES
 
-def _score(entries: DataFrame, questions: _Slice, qid_type, threshold: float, k: int) -> DataFrame:
-    """Best ``k`` entries of each task for every question of the slice.
-
-    Entries are read where they lie, without a shuffle, so a tenant or cell holding most rows is
-    just more scan splits. One matrix product per scope of a batch; what leaves a task is at most
-    ``k`` rows per question.
-    """
-    spark = entries.sparkSession
-    # plain values only: unlike functions, broadcast objects of this package's classes would have to be
-    # importable on the executors
-    shipped = spark.sparkContext.broadcast((questions.ids, questions.unit, questions.scopes))
-    id_type = entries.schema["id"].dataType
-    arrow_types = [to_arrow_type(t) for t in (qid_type, id_type, DoubleType())]
-    celled = "cell" in entries.columns
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, keys = batch.column("embedding"), batch.column(key)
+            for width in np.unique(vx.widths(vectors)).tolist():
+                unit, at = vx.dense(vectors, width)
+                if not len(at):
+                    continue
+                held = pd.DataFrame({c: np.array(batch.column(c).to_pylist(), dtype=object)[at] for c in scope})
+                step = max(1, min(block_rows, block_bytes // (8 * width)))
+                for values, where in held.groupby(scope, sort=False).indices.items():
+                    values = values if isinstance(values, tuple) else (values,)
+                    for a in range(0, len(where), step):
+                        part = where[a : a + step]
+                        columns = [pa.array([v], t) for v, t in zip(values, arrows, strict=True)]
+                        columns.append(pa.array([width], pa.int32()))
+                        columns.append(pa.array([keys.take(pa.array(at[part])).to_pylist()], pa.list_(key_arrow)))
+                        columns.append(pa.array([unit[part].tobytes()], pa.binary()))
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = StructType([StructField(c, t) for c, t in zip(scope, kinds, strict=True)])
+    schema = schema.add("width", "integer").add(f"{prefix}_keys", ArrayType(key_type)).add(f"{prefix}_unit", "binary")
+    return rows.select(key, *scope, "embedding").mapInArrow(run, schema)
+
+
+def _score(pairs: DataFrame, tenant: str, threshold: float, k: int) -> DataFrame:
+    """Of each pair of blocks, per question the best ``k`` entries at or above the threshold: one matrix product."""
+    kinds = [pairs.schema["q_keys"].dataType.elementType, pairs.schema[tenant].dataType, pairs.schema["e_keys"].dataType.elementType]
+    schema = StructType([StructField(n, t) for n, t in zip(("question_id", tenant, "id"), kinds, strict=True)]).add("similarity", "double")
+    arrows = [to_arrow_type(f.dataType) for f in schema]
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, unit, scopes = shipped.value
-        pool: list[pd.DataFrame] = []
         for batch in batches:
-            rows, at = vx.dense(batch.column("embedding"))
-            if not len(at):
-                continue
-            ids = np.array(batch.column("id").to_pylist(), dtype=object)[at]
-            scope = pd.DataFrame({"b": np.array(batch.column("business_id").to_pylist(), dtype=object)[at]})
-            scope["c"] = np.array(batch.column("cell").to_pylist())[at] if celled else 0
-            for (tenant, cell), where in scope.groupby(["b", "c"], sort=False).indices.items():
-                asked = scopes.get((tenant, int(cell) if celled else None))
-                if asked:
-                    pool += _candidates(rows[where], ids[where], np.array(asked), unit, threshold, k)
-            if sum(map(len, pool)) > _POOL_ROWS:
-                pool = [_top(pd.concat(pool), k)]
-        if pool:
-            best = _top(pd.concat(pool), k)
-            columns = [[question_ids[q] for q in best["q"]], best["id"].tolist(), best["s"].tolist()]
-            arrays = [pa.array(values, kind) for values, kind in zip(columns, arrow_types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["question_id", "id", "similarity"])
-
-    schema = StructType([StructField("question_id", qid_type), StructField("id", id_type), StructField("similarity", DoubleType())])
-    wanted = ["id", "business_id", "embedding"] + (["cell"] if celled else [])
-    return entries.select(*wanted).mapInArrow(run, schema)
-
-
-def _slices(questions: DataFrame, question_bytes: int) -> Iterator[pa.Table]:
-    """Questions in driver-sized slices, tenants kept together so that each pass prunes its scan."""
-    total = questions.count()
-    first = questions.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
-    if not first or not first[0]:
-        return
-    per_slice = max(1, question_bytes // (8 * first[0]))
-    if total <= per_slice:
-        yield questions.toArrow()
-        return
-    groups = math.ceil(total / per_slice)
-    staged = cut_lineage(questions.withColumn("_g", F.pmod(F.xxhash64("business_id"), F.lit(groups))))
-    for group, n in staged.groupBy("_g").count().collect():
-        parts = math.ceil(n / per_slice)
-        part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
-        for p in range(parts):
-            asked = staged.filter((F.col("_g") == group) & (part == p)).drop("_g").toArrow()
-            if len(asked):
-                yield asked
-
-
-def _rank(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.asc("id"))
-    return scored.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
+            for at in range(batch.num_rows):
+                of, width, ids, rows, asked, unit = (batch.column(i)[at].as_py() for i in range(6))
+                scores = np.round(np.frombuffer(rows).reshape(-1, width) @ np.frombuffer(unit).reshape(-1, width).T, 12)
+                floor = np.full(len(asked), threshold)
+                if len(ids) > k:
+                    floor = np.maximum(floor, np.partition(scores, len(ids) - k, axis=0)[len(ids) - k])
+                r, q = np.nonzero(scores >= floor)
+                best = _top(pd.DataFrame({"q": q, "id": np.array(ids, dtype=object)[r], "s": scores[r, q]}), k)
+                columns = [[asked[i] for i in best["q"]], [of] * len(best), best["id"].tolist(), best["s"].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrows, strict=True)], names=names)
+
+    return pairs.select(tenant, "width", "e_keys", "e_unit", "q_keys", "q_unit").mapInArrow(run, schema)
 
 
 def search_batch(
@@ -167,52 +118,31 @@ def search_batch(
     questions: DataFrame,
     threshold: float = MATCH_THRESHOLD,
     k: int = MATCH_COUNT,
-    question_bytes: int = QUESTION_BYTES,
     index: CellIndex | None = None,
     nprobe: int = 1,
 ) -> DataFrame:
     """Best ``k`` entries for each question (question_id, business_id, embedding), each within its
-    own business: question_id, id, similarity, hit_rank.
+    own business: question_id, business_id, id, similarity, hit_rank.
 
-    Questions go out in slices of at most about ``question_bytes``. One slice gives one lazy plan;
-    more are scored one after the other and each result is written to the shared folder before the
-    final ranking. With an ``index`` only the ``nprobe`` nearest cells are looked at.
+    One lazy plan at every size. Entries are kept to the scopes asked for (tenant, and with an ``index`` the
+    ``nprobe`` nearest cells of each question), which prunes the scan of a table partitioned by them. Both
+    sides are packed into blocks where they lie and joined on the scope; a hot tenant is many blocks. Null
+    and zero vectors match nothing, nor do vectors of different lengths.
     """
-    spark = entries.sparkSession
-    asked = questions.select("question_id", "business_id", "embedding")
-    qid_type = asked.schema["question_id"].dataType
-    active = entries.filter(F.col("is_active"))
-
-    def plan(some: pa.Table) -> DataFrame:
-        piece = _Slice(some, index, nprobe)
-        scan = active
-        if len(piece.tenants) <= PRUNED_TENANTS:
-            scan = scan.filter(F.col("business_id").isin(piece.tenants))
-        if index:
-            scan = scan.filter(F.col("cell").isin(piece.cells))
-        return _score(scan, piece, qid_type, threshold, k)
-
-    slices = _slices(asked, question_bytes)
-    first = next(slices, None)
-    if first is None:
-        return _rank(_no_hits(entries, asked), k)
-    second = next(slices, None)
-    if second is None:
-        return _rank(plan(first), k)
-    folder = scratch_path(spark, "search")
-    for number, some in enumerate(chain((first, second), slices)):
-        plan(some).write.parquet(f"{folder}/slice={number}")
-    return _rank(spark.read.parquet(folder).drop("slice"), k)
-
-
-def _no_hits(entries: DataFrame, asked: DataFrame) -> DataFrame:
-    schema = StructType([asked.schema["question_id"], entries.schema["id"]]).add("similarity", "double")
-    return entries.sparkSession.createDataFrame([], schema)
+    scope = ["business_id"] + (["cell"] if index else [])
+    asked = questions.select("question_id", "business_id", "embedding").filter(F.size("embedding") > 0)
+    if index:
+        asked = asked.withColumn("cell", F.explode(index.probes(F.col("embedding"), nprobe)))
+    scan = entries.filter(F.col("is_active")).join(asked.select(*scope).distinct(), scope, "left_semi")
+    pairs = _packed(scan, "id", scope, "e").join(_packed(asked, "question_id", scope, "q"), [*scope, "width"])
+    order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.asc("id"))
+    scored = _score(pairs, "business_id", threshold, k)
+    return scored.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
 
 
 def with_entries(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """Adds the returned columns to ranked hits. Hits are few; AQE measures and broadcasts them."""
-    return hits.join(kb_scan(entries), "id")
+    """Adds the returned columns to ranked hits, within the business of each. Hits are few; AQE measures and broadcasts them."""
+    return hits.join(kb_scan(entries), ["business_id", "id"])
 
 
 def format_hits(hits: DataFrame) -> DataFrame:
@@ -243,11 +173,20 @@ class CellIndex:
         norm = np.sqrt((centroids * centroids).sum(axis=1))
         self.centroids = centroids / np.where(norm > 0, norm, 1.0)[:, None]
 
-    def nearest(self, unit: np.ndarray, nprobe: int) -> list[list[int]]:
-        if not len(unit):
-            return []
-        order = np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
-        return order[:, :nprobe].tolist()
+    def probes(self, embedding: Column, nprobe: int) -> Column:
+        """The ``nprobe`` nearest cells of each vector; none for a vector that can't be compared."""
+        centroids = self.centroids
+
+        @F.arrow_udf("array<int>")
+        def cells(vectors: pa.Array) -> pa.Array:
+            found: list[list[int]] = [[]] * len(vectors)
+            rows, at = vx.dense(vectors, centroids.shape[1])
+            order = np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :nprobe]
+            for place, row in zip(at.tolist(), order.tolist(), strict=True):
+                found[place] = row
+            return pa.array(found, pa.list_(pa.int32()))
+
+        return cells(embedding)
 
     def assign(self, embedding: Column) -> Column:
         """Cell of each vector; null for a missing vector."""
@@ -256,7 +195,7 @@ class CellIndex:
         @F.arrow_udf("int")
         def cell(vectors: pa.Array) -> pa.Array:
             found = np.zeros(len(vectors), dtype=np.int32)
-            rows, at = vx.dense(vectors)
+            rows, at = vx.dense(vectors, centroids.shape[1])
             if len(at):
                 found[at] = (rows @ centroids.T).argmax(axis=1)
             return pa.array(found, pa.int32(), mask=~np.asarray(vectors.is_valid()))
@@ -322,8 +261,9 @@ def save_by(rows: DataFrame, path: str, column: str) -> DataFrame:
 
 
 def keyword_search(posted: DataFrame, terms: list[str], key: str = "id") -> DataFrame:
-    """Keys whose text has all terms. Grouping is by key, so a frequent term is no hot spot."""
+    """Keys whose text has all terms. Grouping is by key, so a frequent term is no hot spot; a term has one
+    posting per key, so they are counted as they are."""
     wanted = sorted({t.lower() for t in terms})
     shelves = F.col("shelf").isin([zlib.crc32(t.encode()) % SHELVES for t in wanted])
-    matched = posted.filter(shelves & F.col("term").isin(wanted)).groupBy(key).agg(F.count_distinct("term").alias("_n"))
+    matched = posted.filter(shelves & F.col("term").isin(wanted)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return matched.filter(F.col("_n") == len(wanted)).select(key)

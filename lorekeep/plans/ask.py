@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators import embed, search
+from lorekeep.session import cut_lineage
 
 
 def embed_questions(questions: DataFrame, model: Callable | None = None, text: str = "question") -> DataFrame:
@@ -24,7 +25,8 @@ def query_knowledge(
 ) -> DataFrame:
     """Formatted hits of question texts (question_id, business_id, question), best first by
     ``hit_rank``. Use ``search.context_count`` for questions without hits."""
-    asked = embed_questions(questions, model)
+    # written once: the plan looks at the vectors more than once, and a model may be costly
+    asked = cut_lineage(embed_questions(questions, model).select("question_id", "business_id", "embedding"))
     hits = search.search_batch(entries, asked, threshold, k, **options)
     return search.format_hits(search.with_entries(hits, entries))
 

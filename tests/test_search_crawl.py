@@ -68,13 +68,14 @@ def _brute(rows, asked, threshold, k):
     return out
 
 
-@pytest.mark.parametrize("question_bytes", [search.QUESTION_BYTES, 8 * 8 * 40])
-def test_batch_equals_brute_force(spark, question_bytes):
-    """In one pass and, with a tiny slice size, in many passes written to the shared folder."""
+@pytest.mark.parametrize("block_rows", [search.BLOCK_ROWS, 7])
+def test_batch_equals_brute_force(spark, monkeypatch, block_rows):
+    """In one block per scope and batch and in many."""
+    monkeypatch.setattr(search, "BLOCK_ROWS", block_rows)
     rows, vectors, tenants = _random_corpus(spark)
     asked = [(f"q{i}", tenants[i], vectors[i].tolist()) for i in range(0, len(rows))]
     entries = spark.createDataFrame(rows, ENTRY).repartition(5)
-    hits = search.search_batch(entries, spark.createDataFrame(asked, QUESTION), 0.2, 4, question_bytes=question_bytes)
+    hits = search.search_batch(entries, spark.createDataFrame(asked, QUESTION), 0.2, 4)
     got = {(r.question_id, r.hit_rank): (r.id, r.similarity) for r in hits.collect()}
     want = _brute(rows, asked, 0.2, 4)
     assert {key: hit[0] for key, hit in got.items()} == {key: hit[0] for key, hit in want.items()}
@@ -103,8 +104,9 @@ def test_keywords_and_metadata(spark):
 
 
 def _scan(df):
+    """The partition filters of all scans."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan[plan.rindex("PartitionFilters") :].split("]")[0]
+    return " ".join(part.split("]")[0] for part in plan.split("PartitionFilters")[1:])
 
 
 def test_saved_indexes_prune_their_scans(spark, tmp_path):
@@ -117,13 +119,55 @@ def test_saved_indexes_prune_their_scans(spark, tmp_path):
 
     celled, index = search.ann_build(spark.createDataFrame(rows, ENTRY), lists=6)
     saved = search.save_by(celled, str(tmp_path / "cells"), "cell")
-    asked = spark.createDataFrame([(f"q{i}", tenants[i], vectors[i].tolist()) for i in range(3)], QUESTION)
+    spark.createDataFrame([(f"q{i}", tenants[i], vectors[i].tolist()) for i in range(3)], QUESTION).write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
     one = search.search_batch(saved, asked, 0.2, 3, index=index, nprobe=1)
-    assert "cell" in _scan(one)
+    assert "dynamicpruningexpression(cell" in _scan(one)
     full = search.search_batch(saved, asked, 0.2, 3, index=index, nprobe=6)
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, search.search_batch(saved.drop("cell"), asked, 0.2, 3).collect()))
 
 
+def test_search_is_one_lazy_plan_at_every_size(spark, tmp_path):
+    rows, _, _ = _random_corpus(spark)
+    stored = str(tmp_path / "entries")
+    spark.createDataFrame([(*r, "f", "t", "c", None) for r in rows], ENTRY + ", category string, title string, content string, metadata string").withColumns(
+        {"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}
+    ).write.partitionBy("business_id").parquet(stored)
+    entries, plans = spark.read.parquet(stored), []
+    tracker = spark.sparkContext.statusTracker()
+    for n in (10, 100_000):
+        path = str(tmp_path / f"asked-{n}")
+        spark.range(n).selectExpr("cast(id AS string) AS question_id", "'t1' AS business_id", "array_repeat(1.0f, 8) AS embedding").write.parquet(path)
+        asked = spark.read.parquet(path)
+        spark.sparkContext.setJobGroup(f"plan-{n}", "planning")
+        hits = search.search_batch(entries, asked, 0.2, 3)
+        full = search.with_entries(hits, entries)
+        plan = full._jdf.queryExecution().executedPlan().toString()
+        assert not tracker.getJobIdsForGroup(f"plan-{n}")
+        scans = [line for line in plan.splitlines() if "FileScan" in line and ("is_active" in line or "category" in line)]
+        assert len(scans) >= 2 and all("dynamicpruning" in line for line in scans)
+        logical = full._jdf.queryExecution().optimizedPlan().toString()
+        plans.append([line.strip(" +-:").split()[0] for line in logical.splitlines() if line.strip()])
+    assert plans[0] == plans[1]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_vectors_of_another_length_match_nothing(spark):
+    mixed = spark.createDataFrame([*ROWS, (8, "b1", True, [1.0, 0.0, 0.0]), (9, "b1", True, [])], ENTRY).coalesce(1)
+    asked = spark.createDataFrame([("q", "b1", [1.0, 0.0]), ("r", "b1", [1.0, 0.0, 0.0])], QUESTION)
+    hits = search.search_batch(mixed, asked, 0.6, 5).collect()
+    assert {(r.question_id, r.id) for r in hits} == {("q", 1), ("q", 2), ("r", 8)}
+    assert {r.id for r in search.search(mixed, "b1", F.lit([1.0, 0.0, 0.0]), 0.6, 5).collect()} >= {8}
+
+
+def test_the_same_id_in_two_businesses_stays_apart(spark):
+    wide = ENTRY + ", category string, title string, content string, metadata string"
+    rows = [(1, "b1", True, [1.0, 0.0], "f", "t", "mine", None), (1, "b2", True, [0.0, 1.0], "f", "t", "theirs", None)]
+    entries = spark.createDataFrame(rows, wide).withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+    asked = spark.createDataFrame([("q", "b1", [1.0, 0.0])], QUESTION)
+    assert [r.text for r in search.with_entries(search.search_batch(entries, asked), entries).collect()] == ["mine"]
+
+
 def test_fixed_vector_similarity_is_the_pairwise_one(spark):
     df = spark.createDataFrame([(r[0], r[3]) for r in ROWS], "id int, v array<float>")
     pairs = df.select(search.vx.similarity_to(F.col("v"), [0.6, 0.8]).alias("a"), search.vx.cosine_similarity(F.col("v"), F.lit([0.6, 0.8])).alias("b"))
