@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +19,11 @@ Embedder = Callable[[list[str]], np.ndarray]
 _WORDS = re.compile(r"\w+")
 
 
+def word_code(word: str) -> int:
+    """The first 32 bits of a word's MD5, which SQL engines have as well."""
+    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4])
+
+
 def hashing_embedder(dim: int = VECTOR_DIM) -> Callable[[], Embedder]:
     """Offline default: signed feature hashing of lower-cased words, scaled to unit length."""
 
@@ -29,7 +34,7 @@ def hashing_embedder(dim: int = VECTOR_DIM) -> Callable[[], Embedder]:
                 seen = _WORDS.findall(text.lower())
                 if not seen:
                     continue
-                codes = np.fromiter((zlib.crc32(w.encode()) for w in seen), np.int64, len(seen))
+                codes = np.fromiter((word_code(w) for w in seen), np.int64, len(seen))
                 signs = np.where((codes >> 31) & 1, 1.0, -1.0)
                 out[row] = np.bincount(codes % dim, weights=signs, minlength=dim)
                 norm = math.sqrt(float((out[row].astype(np.float64) ** 2).sum()))

@@ -34,19 +34,23 @@ def _broken(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
 
 
-def _rules(table: str) -> dict[str, Column]:
+def _rules(table: str, width: int | None = None) -> dict[str, Column]:
     if table == "sources":
         rules = {f"{c}_not_null": F.col(c).isNotNull() for c in ("business_id", "source_url")}
         rules["source_type_allowed"] = F.col("source_type").isin(*schemas.SOURCE_TYPES)
         rules["category_allowed"] = F.col("category").isin(*schemas.CATEGORIES)
         rules["status_allowed"] = F.col("status").isin(*schemas.STATUSES)
         return rules
-    return {f"{c}_not_null": F.col(c).isNotNull() for c in ("business_id", "category", "title", "content")}
+    rules = {f"{c}_not_null": F.col(c).isNotNull() for c in ("business_id", "category", "title", "content")}
+    if width is not None:
+        rules["embedding_width"] = F.col("embedding").isNull() | (F.size("embedding") == width)
+    return rules
 
 
-def constraint_violations(rows: DataFrame, table: str, key: str = "id") -> DataFrame:
-    """One row per broken rule: key, rule. ``table`` is ``sources`` or ``entries``."""
-    return rows.select(key, F.explode(_broken(_rules(table))).alias("rule"))
+def constraint_violations(rows: DataFrame, table: str, key: str = "id", width: int | None = None) -> DataFrame:
+    """One row per broken rule: key, rule. ``table`` is ``sources`` or ``entries``; vectors of entries must have
+    ``width`` numbers where that is given, and may be null."""
+    return rows.select(key, F.explode(_broken(_rules(table, width))).alias("rule"))
 
 
 def duplicate_keys(sources: DataFrame) -> DataFrame:
@@ -165,11 +169,13 @@ def with_entry_defaults(entries: DataFrame, as_of: Column) -> DataFrame:
 
 
 class Store:
-    """Knowledge tables under one folder of a file system that all executors share."""
+    """Knowledge tables under one folder of a file system that all executors share. Entries whose vectors do not
+    have ``width`` numbers are refused."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, width: int = schemas.VECTOR_DIM):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.width = width
 
     # manifests
 
@@ -318,6 +324,6 @@ def entries_append(store: Store, entries: DataFrame, as_of: Column) -> int:
     """Appends entries to the store, defaults filled in, as a version of its own."""
     base = store.manifest()
     shaped = with_entry_defaults(entries, as_of)
-    require_none(constraint_violations(shaped, "entries"), "entries break constraints")
+    require_none(constraint_violations(shaped, "entries", width=store.width), "entries break constraints")
     part = store.write_entries(shaped, base["version"] + 1)
     return store.publish(store.sources(base), parts=[part], base=base)

@@ -308,12 +308,27 @@ def metadata_read(spark, folder):
 # ---- embedding ----------------------------------------------------------------------------------
 
 
-@query("embed_chunks", f"WITH {CTE_LINES} SELECT doc_id, CAST(ix AS BIGINT) AS ix, CAST(1536 AS BIGINT) AS dim, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM lines")
+# A word adds its sign to the place its code names; lengths and quotients are single precision, as in the vectors.
+@query(
+    "embed_chunks",
+    f"""
+WITH {CTE_LINES},
+said AS (SELECT doc_id, ix, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM lines),
+coded AS (SELECT doc_id, ix, CAST('0x' || left(md5(w), 8) AS BIGINT) AS c FROM said),
+places AS (SELECT doc_id, ix, c % 1536 AS place, sum(CASE WHEN c >= 2147483648 THEN 1 ELSE -1 END) AS v FROM coded GROUP BY ALL),
+sized AS (SELECT *, sqrt(CAST(sum(v * v) OVER (PARTITION BY doc_id, ix) AS DOUBLE)) AS size FROM places),
+units AS (SELECT doc_id, ix, place, CAST(round(CAST(CAST(v AS FLOAT) / CAST(size AS FLOAT) AS DOUBLE) * 10000) AS BIGINT) AS x FROM sized WHERE v <> 0),
+vectors AS (SELECT doc_id, ix, string_agg(place || ':' || x, ',' ORDER BY place) AS s FROM units GROUP BY ALL)
+SELECT doc_id, CAST(ix AS BIGINT) AS ix, sha256(coalesce(s, '')) AS vector_sha256 FROM lines LEFT JOIN vectors USING (doc_id, ix)
+""",
+)
 def embed_chunks(spark, folder):
-    """Every line embedded; the vectors' width and length are reported."""
+    """Every line embedded: the digest of the places and ten-thousandths of its vector."""
     rows = embed.embed_chunks(lines(spark, folder))
-    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    return rows.select("doc_id", F.col("ix").cast(BIG).alias("ix"), F.size("embedding").cast(BIG).alias("dim"), F.round(F.sqrt(square), 4).alias("norm"))
+    scaled = F.transform("embedding", lambda x, i: F.struct(i.alias("at"), x.alias("x")))
+    filled = F.filter(scaled, lambda p: p["x"] != 0)
+    shown = F.transform(filled, lambda p: F.concat_ws(":", p["at"].cast("string"), F.round(p["x"].cast("double") * 10000).cast(BIG).cast("string")))
+    return rows.select("doc_id", F.col("ix").cast(BIG).alias("ix"), F.sha2(F.array_join(shown, ","), 256).alias("vector_sha256"))
 
 
 @query(

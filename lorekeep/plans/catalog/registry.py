@@ -72,10 +72,10 @@ doc_lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <>
 lines AS (SELECT doc_id, source, lang, url, unnest(generate_series(0, len(ls) - 1)) AS ix, unnest(ls) AS text FROM doc_lines)"""
 
 CTE_ENTRIES = """entries AS (
-  SELECT d.doc_id AS id, 'biz-' || e.label AS business_id, d.text AS content, e.embedding,
+  SELECT d.doc_id AS id, 'biz-' || coalesce(e.label, d.doc_id % 10) AS business_id, d.text AS content, e.embedding,
          CASE d.lang WHEN 'en' THEN 'website' WHEN 'fr' THEN 'faq' WHEN 'es' THEN 'policy' ELSE 'technical' END AS category,
          left(d.text, 50) AS title, d.source AS source_id, d.lang, d.n_chars, coalesce(l.toxic, 0) = 0 AS is_active
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 # ---- the same inputs in Spark -------------------------------------------------------------------
@@ -102,13 +102,14 @@ def category_of_lang() -> Column:
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with vectors as entries: label = tenant, a toxic label = switched off."""
+    """Every document as an entry, its vector null where it has none: label (or last digit) = tenant, a toxic
+    label = switched off."""
     toxic = table(spark, folder, "labels").select("doc_id", "toxic")
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    joined_rows = table(spark, folder, "documents").join(vectors, "doc_id").join(toxic, "doc_id", "left")
+    joined_rows = table(spark, folder, "documents").join(vectors, "doc_id", "left").join(toxic, "doc_id", "left")
     return joined_rows.select(
         F.col("doc_id").alias("id"),
-        F.concat(F.lit("biz-"), F.col("label").cast("string")).alias("business_id"),
+        F.concat(F.lit("biz-"), F.coalesce(F.col("label").cast("bigint"), F.col("doc_id") % 10).cast("string")).alias("business_id"),
         F.col("text").alias("content"),
         "embedding",
         category_of_lang().alias("category"),

@@ -116,11 +116,11 @@ def search_format(spark, folder):
 
 @query("kb_search_text")
 def kb_search_text(spark, folder):
-    """Every user turn as a question against all documents, embedded offline. One tenant."""
+    """Every turn as a question against all documents, embedded offline. One tenant."""
     from lorekeep.operators.embed import embed_chunks
 
     stored = embed_chunks(_corpus(spark, folder), text="content")
-    talk = table(spark, folder, "conversations").filter("role = 'user'")
+    talk = table(spark, folder, "conversations")
     number = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     asked = talk.select(number.alias("question_id"), F.lit("all").alias("business_id"), F.col("text").alias("question"))
     found = ask.query_knowledge(stored, asked, 0.3)

@@ -28,6 +28,7 @@ from lorekeep.streaming import history, ingest
 
 BIG = "bigint"
 OLD, NOW = 1_600_000_000, 1_700_000_000
+WIDTH = 64  # of the given vectors
 TENANT = "12345678-1234-5678-1234-567812345678"
 
 
@@ -48,15 +49,17 @@ checked AS (
 @query(
     "constraint_violations",
     f"""
-WITH {CTE_CHECKED}
+WITH {CTE_CHECKED}, {CTE_ENTRIES}
 SELECT id, 'business_id_not_null' AS rule FROM checked WHERE business_id IS NULL
 UNION ALL SELECT id, 'source_url_not_null' FROM checked WHERE source_url IS NULL
 UNION ALL SELECT id, 'source_type_allowed' FROM checked WHERE source_type NOT IN ('website', 'pdf', 'document', 'text')
 UNION ALL SELECT id, 'category_allowed' FROM checked WHERE category NOT IN ('website', 'faq', 'policy', 'pricing', 'procedure', 'technical')
 UNION ALL SELECT id, 'status_allowed' FROM checked WHERE status NOT IN ('pending', 'loading', 'loaded', 'failed', 'inactive')
+UNION ALL SELECT id, 'embedding_width' FROM entries WHERE lang = 'fr' AND embedding IS NOT NULL
 """,
 )
 def constraint_violations(spark, folder):
+    """Documents as sources, and as entries whose French vectors are a number short."""
     lang = F.col("lang")
     rows = docs(spark, folder).select(
         F.col("doc_id").alias("id"),
@@ -66,7 +69,11 @@ def constraint_violations(spark, folder):
         F.when(lang == "en", "faq").when(lang == "fr", "news").otherwise("policy").alias("category"),
         F.when(F.col("source") == "src1", "gone").otherwise("loaded").alias("status"),
     )
-    return st.constraint_violations(rows, "sources")
+    stored = entries(spark, folder)
+    short = F.when(lang == "fr", F.slice("embedding", 1, WIDTH - 1)).otherwise(F.col("embedding"))
+    return st.constraint_violations(rows, "sources").unionByName(
+        st.constraint_violations(stored.withColumn("embedding", short), "entries", width=WIDTH)
+    )
 
 
 @query(
@@ -234,7 +241,7 @@ def _for_store(spark, folder):
 )
 def entries_append(spark, folder):
     """Entries written to a new store and read back."""
-    store = st.Store(spark, scratch_path(spark, "store"))
+    store = st.Store(spark, scratch_path(spark, "store"), WIDTH)
     st.entries_append(store, _for_store(spark, folder), _at(NOW))
     return store.entries().select(
         "id", "business_id", "category", "title", "content", F.size("embedding").cast(BIG).alias("dim"), "metadata", "source_id", "is_active",
@@ -247,7 +254,7 @@ def entries_append_skip(spark, folder):
     """A model that fails on some texts: their rows are left out, the others of the batch are kept."""
 
     def build():
-        inner = embed.hashing_embedder(64)()
+        inner = embed.hashing_embedder(WIDTH)()
 
         def call(texts):
             if any("qu" in text for text in texts):
@@ -256,7 +263,7 @@ def entries_append_skip(spark, folder):
 
         return call
 
-    store = st.Store(spark, scratch_path(spark, "store"))
+    store = st.Store(spark, scratch_path(spark, "store"), WIDTH)
     rows = embed.embed_chunks(_for_store(spark, folder).drop("embedding"), build, text="content", on_error="skip")
     st.entries_append(store, rows, _at(NOW))
     return store.entries().select("id", "business_id", "category")
@@ -273,7 +280,7 @@ UNION ALL SELECT 1, business_id, count(*) FROM entries WHERE lang = 'en' GROUP B
 def publish(spark, folder):
     """Two appends and a cascading delete of the sources with an inactive entry; the current version
     next to the first one, which stays readable."""
-    store = st.Store(spark, scratch_path(spark, "store"))
+    store = st.Store(spark, scratch_path(spark, "store"), WIDTH)
     rows = _for_store(spark, folder)
     st.entries_append(store, rows.filter("category = 'website'"), _at(NOW))
     st.entries_append(store, rows.filter("category <> 'website'"), _at(NOW))

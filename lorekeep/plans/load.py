@@ -21,6 +21,8 @@ from lorekeep.sources.lists import parse_sources, route
 LISTED = ["seq", "business_id", "source_url"]
 # What a page row carries of its source from the start, so that no wide row is joined for it later.
 CARRIED = [*LISTED, "category", "source_id"]
+# Source types that no reader here decodes.
+QUARANTINED = ("pdf", "document")
 
 
 @dataclass
@@ -53,22 +55,31 @@ def source_pages(listed: DataFrame, pages: DataFrame | None) -> DataFrame:
     return own.unionByName(starts.select(*CARRIED).join(further, "source_url").select(*own.columns))
 
 
+def one_capture(snapshot: DataFrame) -> DataFrame:
+    """One row per page_url: of several captures the one whose html has the smallest hash, a missing one last."""
+    order = F.struct(F.col("html").isNull(), F.xxhash64("html"))
+    return snapshot.groupBy("page_url").agg(F.min_by("html", order).alias("html"))
+
+
 def extract(covered: DataFrame, pages: DataFrame | None, files: DataFrame | None, max_words: int = html.MAX_DOCUMENT_WORDS) -> DataFrame:
-    """Documents of the covered pages: listing columns, page_url, blocks."""
+    """Documents of the covered pages: listing columns, page_url, blocks. PDF and Word files are not read."""
     parts = []
+    covered = covered.filter(~ux.source_type(F.col("page_url")).isin(*QUARANTINED))
     if pages is not None:
+        wanted = covered.filter(ux.is_http(F.col("page_url")))
         snapshot = spread(pages.select(F.col("url").alias("page_url"), "html"))
-        fetched = covered.filter(ux.is_http(F.col("page_url"))).join(snapshot, "page_url")
-        parts.append(html.read_documents(fetched, max_words))
+        captured = one_capture(snapshot.join(wanted.select("page_url").distinct(), "page_url", "left_semi"))
+        # parsed once, however many sources cover the page
+        parts.append(html.read_documents(captured, max_words).join(wanted, "page_url").select(*CARRIED, "page_url", "blocks"))
     if files is not None:
         texts = spread(files.select(F.col("url").alias("page_url"), "text"))
         read = covered.filter(~ux.is_http(F.col("page_url"))).join(texts, "page_url")
         sized = html.size_gate(read.filter(tx.has_words(F.col("text"))), tx.word_count(F.col("text")), max_words)
-        parts.append(sized.withColumn("blocks", html.text_blocks(F.col("text"))).drop("text"))
+        parts.append(sized.withColumn("blocks", html.text_blocks(F.col("text"))).select(*CARRIED, "page_url", "blocks"))
     docs = parts[0]
     for part in parts[1:]:
         docs = docs.unionByName(part)
-    return docs.select(*CARRIED, "page_url", "blocks")
+    return docs
 
 
 def entry_rows(
@@ -138,9 +149,11 @@ def load_listed(
     counts = staged.groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chunks"))
     tally = listed.join(counts, ["source_id", "seq"], "left").withColumns(
         {
-            "error_message": F.when(F.coalesce("n_docs", F.lit(0)) == 0, "No documents extracted").when(
-                F.col("n_chunks") == 0, "No chunks created"
-            ),
+            "error_message": F.when(
+                (F.coalesce("n_docs", F.lit(0)) == 0) & F.col("source_type").isin(*QUARANTINED), "Unsupported document type"
+            )
+            .when(F.coalesce("n_docs", F.lit(0)) == 0, "No documents extracted")
+            .when(F.col("n_chunks") == 0, "No chunks created"),
             "n_chunks": F.coalesce("n_chunks", F.lit(0)),
         }
     )
@@ -155,7 +168,7 @@ def load_listed(
     entries = entry_rows(numbered, load_id, as_of, model, on_embed_error, simple)
     part = store.write_entries(entries, base["version"] + 1, placed=True)
     written = store.entries({**base, "entries": [part], "tombstones": []})
-    st.require_none(st.constraint_violations(written, "entries"), "entries break constraints")
+    st.require_none(st.constraint_violations(written, "entries", width=store.width), "entries break constraints")
 
     at = F.col("seq")
     outcome = tally.groupBy("source_id").agg(
@@ -166,6 +179,7 @@ def load_listed(
         outcome = outcome.join(stored, "source_id", "left").select("source_id", F.coalesce("n_stored", F.lit(0)).alias("entry_count"), "error_message")
     loaded = st.source_mark_loaded(announced, outcome, as_of)
     st.require_none(st.constraint_violations(loaded, "sources"), "sources break constraints")
+    st.require_none(st.duplicate_keys(loaded), "sources are not unique")
     if businesses is not None:
         st.require_none(st.fk_violations(written, loaded, businesses), "foreign keys without a parent")
     deleted = listed.select("source_id") if mode == "replace" else None

@@ -30,14 +30,12 @@ def _newest(events: pd.DataFrame, n: int) -> pd.DataFrame:
 
 
 def trim_locally(n: int):
-    """Map-side reduction: no task sends more than ``n`` events of one stream to the shuffle."""
+    """Map-side reduction: no batch of a task sends more than ``n`` events of one stream to the shuffle. Nothing
+    is held from batch to batch, so a task of many streams needs no more memory than one batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
         for batch in batches:
-            held = _newest(batch if held is None else pd.concat([held, batch]), n)
-        if held is not None:
-            yield held
+            yield _newest(batch, n)
 
     return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import urls as ux
 from lorekeep.operators import html
 from lorekeep.operators import store as st
-from lorekeep.plans.load import CARRIED, announce, load_listed
+from lorekeep.plans.load import CARRIED, QUARANTINED, announce, load_listed
 
 CAPTURE = "business_id string, source_url string, url string, html string, category string, captured_at timestamp"
 
@@ -27,8 +27,10 @@ def capture_listing(captures: DataFrame) -> DataFrame:
 
 
 def capture_documents(captures: DataFrame, listed: DataFrame) -> DataFrame:
-    """Documents of the captured pages; the listing of one batch is small and AQE broadcasts it."""
-    pages = captures.select("business_id", "source_url", F.col("url").alias("page_url"), "html")
+    """Documents of the newest capture of each page; the listing of one batch is small and AQE broadcasts it."""
+    read = captures.filter(~ux.source_type(F.col("url")).isin(*QUARANTINED))
+    newest = F.max_by("html", F.struct("captured_at", F.xxhash64("html"))).alias("html")
+    pages = read.groupBy("business_id", "source_url", F.col("url").alias("page_url")).agg(newest)
     known = listed.select(*CARRIED)
     return html.read_documents(pages.join(known, ["business_id", "source_url"])).select(*CARRIED, "page_url", "blocks")
 

@@ -99,7 +99,7 @@ def test_empty_store(store):
 
 def entry_frame(spark, rows):
     return spark.createDataFrame(
-        [(i, b, s, [float(len(s or "")), 1.0]) for i, b, s in rows], "id string, business_id string, source_id string, embedding array<float>"
+        [(i, b, s, [float(len(s or "")), 1.0] + [0.0] * (schemas.VECTOR_DIM - 2)) for i, b, s in rows], "id string, business_id string, source_id string, embedding array<float>"
     ).withColumns({"category": F.lit("faq"), "title": F.lit("t"), "content": F.lit("c"), "metadata": F.lit("{}")})
 
 
@@ -141,6 +141,15 @@ def test_bad_entries_are_not_published(spark, store):
     assert store.versions() == []
 
 
+def test_vectors_of_another_width_are_refused(spark, store):
+    short = entry_frame(spark, [("1", "b", "7")]).withColumn("embedding", F.slice("embedding", 1, 3))
+    with pytest.raises(ValueError, match="embedding_width"):
+        st.entries_append(store, short, at(1))
+    assert store.versions() == []
+    st.entries_append(store, short.withColumn("embedding", F.lit(None).cast("array<float>")), at(1))
+    assert store.entries().first().embedding is None
+
+
 def test_second_writer_of_a_version_fails(spark, store):
     base = store.manifest()
     store.publish(known(spark), base=base)
@@ -185,12 +194,29 @@ def test_load_crawls_chunks_and_reports(spark, store):
     assert failed["sources"] == [] and failed["context_count"] == 0 and failed["error"]
 
 
+def test_one_capture_of_a_page_and_no_pdf(spark, store):
+    """Two captures of a page give the entries of one, a missing capture gives way, and a PDF is not read as a page."""
+    page = "<h1>Home</h1><p>{}</p>"
+    pages = [
+        ("https://x.test/", page.format(LONG)),
+        ("https://x.test/", page.format("again " + LONG)),
+        ("https://x.test/", None),
+        ("https://x.test/a.pdf", page.format(LONG)),
+    ]
+    found = spark.createDataFrame(pages, "url string, html string")
+    wanted = ["https://x.test/", "https://x.test/a.pdf"]
+    report = load.load_documents(store, BIZ, wanted, pages=found, crawl_internal=False, on_source_error="record")
+    got = {r.source_url: (r.status, r.entry_count, r.error_message) for r in report.results.collect()}
+    assert got == {wanted[0]: ("loaded", 1, None), wanted[1]: ("failed", 0, "Unsupported document type")}
+    assert store.entries().count() == 1
+
+
 def test_simple_entries_and_skipped_texts(spark, store):
     def picky():
         def model(texts):
             if any("physio" in t for t in texts):
                 raise RuntimeError("no")
-            return [[1.0, 0.0]] * len(texts)
+            return [[1.0] + [0.0] * (schemas.VECTOR_DIM - 1)] * len(texts)
 
         return model
 
