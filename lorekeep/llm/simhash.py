@@ -191,14 +191,14 @@ def links(fps: DataFrame, homes: int = HOMES) -> DataFrame:
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tag, fp, component_id) for each row of ``docs``."""
+    """(id, tag, fp, root, component_id) for each row of ``docs``; root is a fingerprint of the component and its key."""
     rows = cut_lineage(fingerprints(docs, id_col, text_col))
     named = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = cut_lineage(components(links(rows)))
     marked = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     marked = cut_lineage(marked)
     best = marked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(marked.join(best, "root").select("fp", "component_id"), "fp")
+    return rows.join(marked.join(best, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``near_duplicates``, all columns kept: that of the smallest id. Of rows
-    alike in id and text one stays; rows of one id but different texts are told apart by a hash of the text."""
+    alike in id and text one stays; rows of one id but different texts are told apart by a hash of the text.
+    Components are told apart by their root, as ids may repeat or be null in several of them."""
     first = _classed(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("component_id").agg(F.min(F.struct("id", "tag")).alias("_row")).select("_row")
+    first = first.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("_row")).select("_row")
     rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag")))
     return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
