@@ -1,15 +1,20 @@
 """Substring dedup by hashing runs of sentences and lines.
 
 A text is cut into units: after a line break, after sentence-ending marks, and before a capitalised word
-that follows a lower-case one. A run is the shortest series of whole units from one unit on, or back from
-one unit, that has ``min_words`` words. Equal runs (case and white space apart) are grouped by a 128-bit
+that follows a lower-case one. A unit of WINDOW words or more is cut again before the word of the smallest
+hash in each window of WINDOW words, so that parts of sentences have common boundaries too. A run is the
+shortest series of whole units from one unit on, or back from one unit, that has ``min_words`` words. Equal runs (case and white space apart) are grouped by a 128-bit
 digest over the whole corpus; the earliest, by id and offset, stays and all others go. So a passage of
 ``min_words`` words or more that begins and ends with a unit goes as a whole wherever it is repeated,
-whatever stands around it, and the earliest copy of every unit stays.
+whatever stands around it, and the earliest copy of every unit stays. Of any other passage of at least
+``min_words`` + 3 * WINDOW - 2 words (50), wherever it begins and ends, at most WINDOW words at either end
+stay: its first boundary is among its first WINDOW words, the boundary ``min_words`` words or more behind that
+lies where no window reaches over its end, and the same holds from its last boundary back.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +26,54 @@ from pyspark.sql import functions as F
 from lorekeep.session import cut_lineage
 
 MIN_WORDS = 25
+#: Words of a window that holds a boundary.
+WINDOW = 9
+#: What str.split() takes for a word.
+WORD = re.compile(r"\S+")
 #: Runs that are gathered for one output batch.
 BATCH = 50_000
 
 
+def boundaries(sizes: list[int], words: list[str]) -> list[int]:
+    """Where sentences of so many ``words`` are cut again: the place of the smallest hash, the last of equal
+    ones, in each window of WINDOW words that lies in one sentence. Only the window's words decide."""
+    import xxhash
+
+    if max(sizes, default=0) < WINDOW:
+        return []
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.flatnonzero(sentence[WINDOW - 1 :] == sentence[: 1 - WINDOW])
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[whole, ::-1]
+    return np.unique(whole + WINDOW - 1 - windows.argmin(axis=1)).tolist()
+
+
 def units(text: str, cut) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of each unit that has words; ends leave out white space behind."""
-    found, start = [], 0
+    sentences, start = [], 0
     for at in [*(m.span() for m in cut(text)), (len(text), len(text))]:
         words = text[start : at[0]].lower().split()
         if words:
-            found.append((start, at[0], words))
+            sentences.append((start, at[0], words))
         start = at[1]
+    sizes = [len(words) for _, _, words in sentences]
+    inner = boundaries(sizes, [w for _, _, words in sentences for w in words])
+    found, first, held = [], 0, 0
+    for start, end, words in sentences:
+        cuts = []
+        while held < len(inner) and inner[held] < first + len(words):
+            cuts.append(inner[held] - first)
+            held += 1
+        first += len(words)
+        if cuts and cuts[0] == 0:
+            del cuts[0]
+        if cuts:
+            spans = [m.span() for m in WORD.finditer(text, start, end)]
+            for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
+                found.append((start if a == 0 else spans[a][0], end if b == len(words) else spans[b - 1][1], words[a:b]))
+        else:
+            found.append((start, end, words))
     return found
 
 

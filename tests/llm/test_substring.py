@@ -63,3 +63,35 @@ def test_repeated_rows_and_empty_tables(spark):
     assert len(rows) == 4 and sum(len(t) > 30 for _, t in rows) in (1, 2)
     assert substring.remove_repeats(docs.where("false")).count() == 0
     assert substring.remove_repeats(docs.where("false")).columns == ["doc_id", "text", "removed"]
+
+
+def plain_words(rng, n):
+    return ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 6))) for _ in range(n)]
+
+
+def test_passages_within_sentences(spark):
+    rng = random.Random(8)
+    passages = [plain_words(rng, n) for n in (50, 51, 60, 73) for _ in range(8)]
+    for passage in passages[::2]:  # a sentence ends within
+        at = rng.randrange(1, 49)
+        passage[at - 1 : at + 1] = [passage[at - 1] + ".", passage[at].capitalize()]
+    rows = []
+    for passage in passages:
+        for _ in range(3):  # mid-sentence on either side
+            rows.append((len(rows), " ".join([*plain_words(rng, rng.randint(1, 30)), *passage, *plain_words(rng, rng.randint(1, 30))])))
+    got = dict(tuple(r) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    for k, passage in enumerate(passages):
+        own = [" ".join(passage[i : i + substring.WINDOW + 1]) for i in range(len(passage) - substring.WINDOW)]
+        first, *others = (got[i] for i in range(3 * k, 3 * k + 3))
+        assert first == rows[3 * k][1]
+        assert not any(part in text for text in others for part in own)
+
+
+def test_units_cover_the_words():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "C", "É", " ", " ", "\x1c", "\n", ". "]) for _ in range(rng.randint(0, 400)))
+        parts = substring.units(text, substring.cutter())
+        assert [w for _, _, words in parts for w in words] == text.lower().split()
+        assert all(text[a:b].lower().split() == words for a, b, words in parts)
+        assert all(b <= a for (_, b, _), (a, _, _) in zip(parts, parts[1:]))
