@@ -15,7 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id."""
+    """Of each group of near duplicates by op5's contract (3-word shingles, 3 bits), the document of the smallest
+    id. Texts that 5-word similarity alone calls alike stay (README)."""
     return simhash.keep_first(docs)
 
 
