@@ -112,4 +112,4 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_license_scan")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents"), licenses.NOTICES)
+    return licenses.scan(table(spark, folder, "documents"), licenses.NOTICES | licenses.TEXTS)

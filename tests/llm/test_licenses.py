@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -42,3 +43,14 @@ def test_against_brute_force(spark):
 def test_short_templates_are_refused(spark):
     with pytest.raises(ValueError):
         licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {"x": "two words"})
+
+
+def test_license_texts_and_bodies(spark):
+    texts = {name: " ".join(body.split()) for name, body in licenses.TEXTS.items()}
+    rows = [(name, f"Some words before. {body} Some words behind.") for name, body in texts.items()]
+    rows += [("MIT-body", re.split(": ", texts["MIT-text"], maxsplit=1)[1]), ("BSD-3-Clause-text", re.split(": ", texts["BSD-3-Clause-text"], maxsplit=1)[1])]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {(r.doc_id, r.template) for r in licenses.scan(docs, licenses.NOTICES | licenses.TEXTS).collect()}
+    assert all((i, name) in found for i, (name, _) in enumerate(rows))
+    for name in ("AGPL-3.0-notice", "LGPL-3.0-notice", "MPL-2.0-notice", "CC-BY-SA-4.0-notice"):
+        assert name in licenses.NOTICES
