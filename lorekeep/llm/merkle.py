@@ -1,9 +1,9 @@
 """Merkle manifest of a dataset: a tree of digests per source, a tree over the sources, and a proof per row.
 
-At every level a node looks for its siblings by an equi-join on their computed indices: in a run of ``arity``
-consecutive nodes the siblings of slot s are the slots s + 1, ..., s + arity - 1 modulo ``arity`` (for two,
-index XOR 1). The row of slot zero then emits the parent. Levels go up until each tree has one node;
-paths come down the same levels, each parent handing its own on to at most ``arity`` children.
+At every level the rows of slot zero look for their siblings by an equi-join on computed indices: in a run of
+``arity`` consecutive nodes the siblings of slot s are the slots s + 1, ..., s + arity - 1 modulo ``arity`` (for two,
+index XOR 1). They then emit the parents, each with the digests of its run. Levels go up until each tree has one node; paths
+come down the same levels, each parent handing its run and its own path on to at most ``arity`` children.
 """
 
 from __future__ import annotations
@@ -45,47 +45,34 @@ def slot_siblings(idx: Column, arity: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(arity - 1)), lambda d: base + (slot + d) % arity)
 
 
-def siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """``nodes`` (tree, idx, n, digest) of trees with n > 1 nodes at this level, with the digests of the siblings that
-    come before and after each, concatenated. A node alone in its run has none. Each node is met by at most
-    ``arity`` - 1 others, so no key is hot however large a tree is."""
-    asks = nodes.select("tree", "idx", F.explode(slot_siblings(F.col("idx"), arity)).alias("sibling"), "n").where("sibling < n").drop("n")
-    held = nodes.select("tree", F.col("idx").alias("sibling"), "digest")
-    met = asks.join(held, ["tree", "sibling"]).select("tree", "idx", "sibling", "digest")
-    own = nodes.select("tree", "idx", F.col("idx").alias("sibling"), "digest", "n")
-    # A node's own row travels with its siblings', so that a run of one keeps its node.
-    both = own.unionByName(met, allowMissingColumns=True).groupBy("tree", "idx").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("sibling", "digest"))).alias("run")
-    )
-
-    def joined(wanted) -> Column:
-        part = F.transform(F.filter("run", lambda x: wanted(x["sibling"])), lambda x: x["digest"])
-        return F.aggregate(part, F.lit(b""), lambda a, x: F.concat(a, x))
-
-    idx = F.col("idx")
-    mine = F.filter("run", lambda x: x["sibling"] == idx)[0]["digest"]
-    return both.select("tree", "idx", "n", mine.alias("digest"), joined(lambda i: i < idx).alias("left"), joined(lambda i: i > idx).alias("right"))
+def parents(nodes: DataFrame, arity: int) -> DataFrame:
+    """The next level of trees with n > 1 nodes at this one (tree, idx, n, digest): (tree, idx, n, digest, run), run being the
+    digests of the children one after another.
 
-
-def parent(digest: Column, left: Column, right: Column) -> Column:
-    """The digest of a run, as 32 bytes."""
-    return F.unhex(F.sha2(F.concat(as_hex(left), as_hex(digest), as_hex(right)), 256))
+    The rows of slot zero ask for their siblings and emit the parents; a run of one becomes a parent too. No key
+    is asked for more than once, so none is hot however large a tree is."""
+    zero = nodes.where(F.col("idx") % arity == 0)
+    asks = zero.select("tree", "idx", "n", F.explode(slot_siblings(F.col("idx"), arity)).alias("sibling")).where("sibling < n")
+    held = nodes.select("tree", F.col("idx").alias("sibling"), "digest")
+    met = asks.join(held, ["tree", "sibling"]).select("tree", "idx", "n", "sibling", "digest")
+    own = zero.select("tree", "idx", "n", F.col("idx").alias("sibling"), "digest")
+    members = F.array_sort(F.collect_list(F.struct("sibling", "digest")))
+    runs = own.unionByName(met).groupBy("tree", "idx", "n").agg(members.alias("members"))
+    run = F.aggregate("members", F.lit(b""), lambda a, x: F.concat(a, x["digest"])).alias("run")
+    up = F.floor(F.col("idx") / arity).alias("idx"), F.ceil(F.col("n") / arity).alias("n")
+    return runs.select("tree", *up, run).withColumn("digest", F.unhex(F.sha2(as_hex(F.col("run")), 256)))
 
 
 def climb(nodes: DataFrame, height: int, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """(the nodes of each level with their siblings, the top (tree, digest, height) of each tree). Each level is written.
+    """(the parents of each level with their runs, the top (tree, digest, height) of each tree). Each level is written.
 
     ``nodes`` has (tree, idx, n, digest), n being the tree's number of leaves; ``height`` is that of the highest.
     """
     levels, tops = [], []
     for h in range(height):
         tops.append(nodes.where("n = 1").select("tree", "digest", F.lit(h).alias("height")))
-        level = cut_lineage(siblings(nodes.where("n > 1"), arity))
-        levels.append(level)
-        # The rows of slot zero emit the parents.
-        nodes = level.where(F.col("idx") % arity == 0).select(
-            "tree", F.floor(F.col("idx") / arity).alias("idx"), F.ceil(F.col("n") / arity).alias("n"), parent(F.col("digest"), F.col("left"), F.col("right")).alias("digest")
-        )
+        nodes = cut_lineage(parents(nodes.where("n > 1"), arity))
+        levels.append(nodes)
     tops.append(nodes.select("tree", "digest", F.lit(height).alias("height")))
     top = tops[0]
     for further in tops[1:]:
@@ -101,38 +88,55 @@ def height_of(n: int, arity: int) -> int:
     return height
 
 
-NO_PATH = "cast(array() as array<struct<left:binary,right:binary>>)"
+NO_PATH = "cast(array() as array<struct<run:binary,slot:bigint>>)"
+
 
+def descend(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
+    """``leaves`` (tree, idx, ...) with path and the further columns of ``tops``: path lists the run of digests that holds a node, and its
+    slot there, from the leaf to the top and on along the path of ``tops`` (tree, height, path, ...).
 
-def descend(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
-    """(tree, idx, path, further columns of ``tops``) of the nodes of the lowest level: path lists the siblings (left, right) from
-    there to the top and on along the path of ``tops`` (tree, height, path, ...). Trees of one node have idx 0."""
+    Paths come down from parents, each to ``arity`` children at most; a leaf row meets its parent only."""
     more = [c for c in tops.columns if c not in ("tree", "path")]
-    above = tops.withColumn("idx", F.lit(0).cast("long"))
-    for h, level in reversed(list(enumerate(levels))):
-        up = above.where(F.col("height") > h).select("tree", F.col("idx").alias("_up"), F.col("path").alias("_path"), *more)
-        here = level.withColumn("_up", F.floor(F.col("idx") / arity)).join(up, ["tree", "_up"])
-        path = F.concat(F.array(F.struct("left", "right")), F.col("_path"))
-        stepped = here.select("tree", "idx", path.alias("path"), *more)
-        # Tops of trees that end at this level or below it pass through.
-        above = stepped.unionByName(above.where(F.col("height") <= h).select(*stepped.columns))
-    return above
+    above = tops.withColumns({"idx": F.lit(0).cast("long"), "run": F.lit(None).cast("binary")})
+
+    def step(nodes: DataFrame, h: int) -> DataFrame:
+        """``nodes`` of level h below their parents in ``above``; trees that end at level h take the top's own path."""
+        up = above.withColumnRenamed("idx", "_up").withColumnRenamed("run", "_run")
+        met = nodes.withColumn("_up", F.floor(F.col("idx") / arity)).join(up, ["tree", "_up"])
+        path = F.when(F.col("_run").isNull(), F.col("path")).otherwise(F.concat(F.array(F.struct(F.col("_run").alias("run"), (F.col("idx") % arity).alias("slot"))), F.col("path")))
+        return met.withColumn("path", path).drop("_up", "_run")
+
+    for h, level in reversed(list(enumerate(levels, 1))):
+        done = above.where(F.col("height") < h)
+        above = above.where(F.col("height") >= h)
+        above = step(level.select("tree", "idx", "run"), h).select(*above.columns).unionByName(done)
+    return step(leaves, 0).select(*leaves.columns, "path", *more)
+
+
+def _sides(x: Column) -> list[Column]:
+    """The digests before and behind a slot, in hex."""
+    size, slot = F.lit(32), x["slot"].cast("int")
+    return [as_hex(F.substring(x["run"], F.lit(1), slot * size)), as_hex(F.substring(x["run"], slot * size + size + 1, F.length(x["run"])))]
 
 
 def proof_digest(path: Column) -> Column:
     """The digest of a path's sibling digests, level by level, left to right."""
-    level = F.transform(path, lambda x: F.concat(as_hex(x["left"]), as_hex(x["right"])))
-    return F.sha2(F.array_join(level, ""), 256)
+    return F.sha2(F.array_join(F.transform(path, lambda x: F.concat(*_sides(x))), ""), 256)
 
 
 def fold(digest: Column, path: Column) -> Column:
     """The root that a leaf and its path lead to, in hex."""
-    return F.aggregate(path, as_hex(digest), lambda d, x: F.sha2(F.concat(as_hex(x["left"]), d, as_hex(x["right"])), 256))
+
+    def up(held: Column, x: Column) -> Column:
+        left, right = _sides(x)
+        return F.sha2(F.concat(left, held, right), 256)
+
+    return F.aggregate(path, as_hex(digest), up)
 
 
 @dataclass
 class Manifest:
-    """The rows with leaf (hex), subroot, root, path (siblings from the leaf to the root), and the levels' digests."""
+    """The rows with their leaf, subroot, root and path, the root in hex, and the nodes of each level above the leaves and above the subroots."""
 
     rows: DataFrame
     root: str | None
@@ -164,11 +168,9 @@ def build(docs: DataFrame, extra: dict[str, Column] | None = None, group: str =
     found = root.first()
     root_digest = found["digest"] if found else None
     start = root.select("tree", "height", F.expr(NO_PATH).alias("path"))
-    paths = descend(top_levels, start, arity).select("idx", "path")
-    known = numbered.select("idx", F.col("key").alias("tree"), "subroot", F.col("below").alias("height"))
-    tops = cut_lineage(known.join(paths, "idx").drop("idx"))
-    down = descend(levels, tops, arity)
-    result = placed.join(down, ["tree", "idx"])
+    known = numbered.select("tree", "idx", "key", "subroot", "below")
+    tops = descend(known, top_levels, start, arity).select(F.col("key").alias("tree"), F.col("below").alias("height"), "path", "subroot")
+    result = descend(placed, levels, cut_lineage(tops), arity)
     name = F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).alias(group)
     chosen = result.select(F.col("_at").alias(order), name, F.col("digest").alias("leaf"), "path", "subroot", F.lit(root_digest).cast("binary").alias("root"), *extra)
     return Manifest(chosen, bytes(root_digest).hex() if root_digest else None, levels, top_levels)
