@@ -96,21 +96,23 @@ def descend(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, arity:
     slot there, from the leaf to the top and on along the path of ``tops`` (tree, height, path, ...).
 
     Paths come down from parents, each to ``arity`` children at most; a leaf row meets its parent only."""
-    more = [c for c in tops.columns if c not in ("tree", "path")]
-    above = tops.withColumns({"idx": F.lit(0).cast("long"), "run": F.lit(None).cast("binary")})
+    more = [c for c in tops.columns if c not in ("tree", "path", "height")]
+    starts = tops.withColumns({"idx": F.lit(0).cast("long"), "run": F.lit(None).cast("binary")})
+    carried = ["tree", "idx", "run", "path", *more]
 
-    def step(nodes: DataFrame, h: int) -> DataFrame:
-        """``nodes`` of level h below their parents in ``above``; trees that end at level h take the top's own path."""
-        up = above.withColumnRenamed("idx", "_up").withColumnRenamed("run", "_run")
+    def step(nodes: DataFrame, above: DataFrame) -> DataFrame:
+        """``nodes`` of a level below their parents; a top takes the path of its tree, which has no run."""
+        up = above.withColumnsRenamed({"idx": "_up", "run": "_run"})
         met = nodes.withColumn("_up", F.floor(F.col("idx") / arity)).join(up, ["tree", "_up"])
-        path = F.when(F.col("_run").isNull(), F.col("path")).otherwise(F.concat(F.array(F.struct(F.col("_run").alias("run"), (F.col("idx") % arity).alias("slot"))), F.col("path")))
+        here = F.array(F.struct(F.col("_run").alias("run"), (F.col("idx") % arity).alias("slot")))
+        path = F.when(F.col("_run").isNull(), F.col("path")).otherwise(F.concat(here, F.col("path")))
         return met.withColumn("path", path).drop("_up", "_run")
 
-    for h, level in reversed(list(enumerate(levels, 1))):
-        done = above.where(F.col("height") < h)
-        above = above.where(F.col("height") >= h)
-        above = step(level.select("tree", "idx", "run"), h).select(*above.columns).unionByName(done)
-    return step(leaves, 0).select(*leaves.columns, "path", *more)
+    above = starts.where(F.col("height") == len(levels)).select(*carried)
+    for h, level in reversed(list(enumerate(levels))):
+        stepped = step(level.select("tree", "idx", "run"), above).select(*carried)
+        above = stepped.unionByName(starts.where(F.col("height") == h).select(*carried))
+    return step(leaves, above).select(*leaves.columns, "path", *more)
 
 
 def _sides(x: Column) -> list[Column]:
