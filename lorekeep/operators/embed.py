@@ -17,6 +17,8 @@ from lorekeep.schemas import VECTOR_DIM
 
 Embedder = Callable[[list[str]], np.ndarray]
 _WORDS = re.compile(r"\w+")
+# Words whose codes a task remembers.
+WORD_MEMORY = 1 << 17
 
 
 def word_code(word: str) -> int:
@@ -26,15 +28,26 @@ def word_code(word: str) -> int:
 
 def hashing_embedder(dim: int = VECTOR_DIM) -> Callable[[], Embedder]:
     """Offline default: signed feature hashing of lower-cased words, scaled to unit length."""
+    memory = WORD_MEMORY
 
     def build() -> Embedder:
+        codes_of: dict[str, int] = {}
+
+        def code(word: str) -> int:
+            found = codes_of.get(word)
+            if found is None:
+                if len(codes_of) >= memory:
+                    codes_of.clear()
+                found = codes_of[word] = word_code(word)
+            return found
+
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for row, text in enumerate(texts):
                 seen = _WORDS.findall(text.lower())
                 if not seen:
                     continue
-                codes = np.fromiter((word_code(w) for w in seen), np.int64, len(seen))
+                codes = np.fromiter(map(code, seen), np.int64, len(seen))
                 signs = np.where((codes >> 31) & 1, 1.0, -1.0)
                 out[row] = np.bincount(codes % dim, weights=signs, minlength=dim)
                 norm = math.sqrt(float((out[row].astype(np.float64) ** 2).sum()))

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from lorekeep.functions import text as tx
 from lorekeep.functions import titles as mx
@@ -22,9 +22,13 @@ MATCH_THRESHOLD = 0.7
 MATCH_COUNT = 3
 LISTS = 100
 SHELVES = 256
-# Vectors packed into one row before entries and questions meet, and the bytes of one such row.
-BLOCK_ROWS = 512
-BLOCK_BYTES = 1024 * 1024
+# Questions that a task holds at a time, and entries of a business that stream past them.
+BLOCK_ROWS = 2048
+ENTRY_ROWS = 2048
+# Entries scored by one product, and pairs scored again in double precision at a time.
+STEP, PAIRS = 1024, 4096
+# More than single precision can be wrong by in a product of unit vectors.
+SLACK = 1e-4
 
 
 def kb_scan(entries: DataFrame) -> DataFrame:
@@ -53,64 +57,106 @@ def search(
     return hits.orderBy(F.desc("similarity"), F.asc("id")).limit(k)
 
 
-def _top(pool: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = pool.sort_values(["q", "s", "id"], ascending=[True, False, True])
-    return ordered[ordered.groupby("q", sort=False).cumcount() < k]
-
-
-def _packed(rows: DataFrame, key: str, scope: list[str], prefix: str) -> DataFrame:
-    """Rows packed where they lie, without a shuffle: each scope's share of an Arrow batch becomes rows of
-    (scope, width, keys, unit vectors as doubles), each of bounded size."""
-    key_type, kinds = rows.schema[key].dataType, [rows.schema[c].dataType for c in scope]
-    key_arrow, arrows = to_arrow_type(key_type), [to_arrow_type(t) for t in kinds]
-    names = [*scope, "width", f"{prefix}_keys", f"{prefix}_unit"]
-    block_rows, block_bytes = BLOCK_ROWS, BLOCK_BYTES
+class _Best:
+    """The best k entries seen so far of each question of one block and width."""
+
+    def __init__(self, keys: list, unit: np.ndarray, threshold: float, k: int) -> None:
+        self.keys, self.unit, self.k = keys, unit, k
+        self.single = unit.astype(np.float32)
+        self.floor = np.full(len(keys), threshold)
+        self.pool = pd.DataFrame({"q": np.empty(0, np.int64), "id": np.empty(0, object), "s": np.empty(0)})
+
+    def offer(self, ids: np.ndarray, unit: np.ndarray) -> None:
+        """Products in single precision choose the pairs that are computed in double."""
+        for at in range(0, len(ids), STEP):
+            part, names = unit[at : at + STEP], ids[at : at + STEP]
+            rough = part.astype(np.float32) @ self.single.T
+            floor = self.floor - SLACK
+            if len(names) > self.k:
+                floor = np.maximum(floor, np.partition(rough, len(names) - self.k, axis=0)[len(names) - self.k] - 2 * SLACK)
+            r, q = np.nonzero(rough >= floor)
+            if not len(r):
+                continue
+            ends = range(PAIRS, len(r) + PAIRS, PAIRS)
+            score = np.concatenate([np.einsum("ij,ij->i", part[r[e - PAIRS : e]], self.unit[q[e - PAIRS : e]]) for e in ends]).round(12)
+            good = score >= self.floor[q]
+            self._keep(q[good], names[r[good]], score[good])
+
+    def _keep(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        pool = pd.concat([self.pool, pd.DataFrame({"q": q, "id": ids, "s": score})], ignore_index=True)
+        pool = pool.sort_values(["q", "s", "id"], ascending=[True, False, True])
+        place = pool.groupby("q", sort=False).cumcount()
+        self.pool = pool[place < self.k]
+        full = pool[place == self.k - 1]
+        self.floor[full["q"]] = full["s"]
+
+
+def _met(asked: DataFrame, scan: DataFrame, scope: list[str]) -> DataFrame:
+    """Questions and entries of each scope in one stream of rows, cut into blocks on both sides: (scope, _e, _q, question_id, id, embedding),
+    id null for questions. A question goes to each entry block of its scope, an entry to each
+    question block, and of each pair of blocks the questions come first."""
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    def dealt(key: str, parts: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+
+    def each(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    sizes = blocks(asked, BLOCK_ROWS, "_nq").join(blocks(scan, ENTRY_ROWS, "_ne"), scope)
+    # Sizes count rows without a vector as well, so that counting reads and computes no vectors.
+    known, held = asked.join(sizes, scope), scan.join(sizes, scope).filter(F.size("embedding") > 0)
+    kinds = {asked.schema["embedding"].dataType, scan.schema["embedding"].dataType}
+    vector = F.col("embedding") if len(kinds) == 1 else F.col("embedding").cast("array<double>")
+    no_id, no_question = F.lit(None).cast(scan.schema["id"].dataType).alias("id"), F.lit(None).cast(asked.schema["question_id"].dataType).alias("question_id")
+    questions = known.select(*scope, each("_ne").alias("_e"), dealt("question_id", "_nq").alias("_q"), F.lit(0).alias("_kind"), "question_id", no_id, vector)
+    entries = held.select(*scope, dealt("id", "_ne").alias("_e"), each("_nq").alias("_q"), F.lit(1).alias("_kind"), no_question, "id", vector)
+    key = [*scope, "_e", "_q"]
+    return questions.unionByName(entries).repartition(*key).sortWithinPartitions(*key, "_kind")
+
+
+def _score(met: DataFrame, scope: list[str], threshold: float, k: int) -> DataFrame:
+    """Of each pair of blocks, per question the best ``k`` entries at or above the threshold. Questions are held, entries stream by."""
+    tenant = scope[0]
+    schema = StructType([StructField(n, met.schema[n].dataType) for n in ("question_id", tenant, "id")]).add("similarity", "double")
+    arrows, names = [to_arrow_type(f.dataType) for f in schema], schema.fieldNames()
+    key = [*scope, "_e", "_q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors, keys = batch.column("embedding"), batch.column(key)
-            for width in np.unique(vx.widths(vectors)).tolist():
-                unit, at = vx.dense(vectors, width)
-                if not len(at):
-                    continue
-                held = pd.DataFrame({c: np.array(batch.column(c).to_pylist(), dtype=object)[at] for c in scope})
-                step = max(1, min(block_rows, block_bytes // (8 * width)))
-                for values, where in held.groupby(scope, sort=False).indices.items():
-                    values = values if isinstance(values, tuple) else (values,)
-                    for a in range(0, len(where), step):
-                        part = where[a : a + step]
-                        columns = [pa.array([v], t) for v, t in zip(values, arrows, strict=True)]
-                        columns.append(pa.array([width], pa.int32()))
-                        columns.append(pa.array([keys.take(pa.array(at[part])).to_pylist()], pa.list_(key_arrow)))
-                        columns.append(pa.array([unit[part].tobytes()], pa.binary()))
-                        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = StructType([StructField(c, t) for c, t in zip(scope, kinds, strict=True)])
-    schema = schema.add("width", "integer").add(f"{prefix}_keys", ArrayType(key_type)).add(f"{prefix}_unit", "binary")
-    return rows.select(key, *scope, "embedding").mapInArrow(run, schema)
-
-
-def _score(pairs: DataFrame, tenant: str, threshold: float, k: int) -> DataFrame:
-    """Of each pair of blocks, per question the best ``k`` entries at or above the threshold: one matrix product."""
-    kinds = [pairs.schema["q_keys"].dataType.elementType, pairs.schema[tenant].dataType, pairs.schema["e_keys"].dataType.elementType]
-    schema = StructType([StructField(n, t) for n, t in zip(("question_id", tenant, "id"), kinds, strict=True)]).add("similarity", "double")
-    arrows = [to_arrow_type(f.dataType) for f in schema]
-    names = schema.fieldNames()
+        current, waiting, best = None, {}, {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                of, width, ids, rows, asked, unit = (batch.column(i)[at].as_py() for i in range(6))
-                scores = np.round(np.frombuffer(rows).reshape(-1, width) @ np.frombuffer(unit).reshape(-1, width).T, 12)
-                floor = np.full(len(asked), threshold)
-                if len(ids) > k:
-                    floor = np.maximum(floor, np.partition(scores, len(ids) - k, axis=0)[len(ids) - k])
-                r, q = np.nonzero(scores >= floor)
-                best = _top(pd.DataFrame({"q": q, "id": np.array(ids, dtype=object)[r], "s": scores[r, q]}), k)
-                columns = [[asked[i] for i in best["q"]], [of] * len(best), best["id"].tolist(), best["s"].tolist()]
+        def results(of: tuple) -> Iterator[pa.RecordBatch]:
+            for block in best.values():
+                pool = block.pool
+                columns = [[block.keys[i] for i in pool["q"]], [of[0]] * len(pool), pool["id"].tolist(), pool["s"].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrows, strict=True)], names=names)
 
-    return pairs.select(tenant, "width", "e_keys", "e_unit", "q_keys", "q_unit").mapInArrow(run, schema)
+        for batch in batches:
+            of = list(zip(*(batch.column(c).to_pylist() for c in key), batch.column("_kind").to_pylist(), strict=True))
+            starts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
+            for begin, end in zip(starts, [*starts[1:], len(of)], strict=True):
+                part, (*here, kind) = batch.slice(begin, end - begin), of[begin]
+                if here != current:
+                    yield from results(current or ())
+                    current, waiting, best = here, {}, {}
+                vectors = part.column("embedding")
+                for width in np.unique(vx.widths(vectors)).tolist():
+                    unit, at = vx.dense(vectors, width)
+                    if not len(at):
+                        continue
+                    if kind == 0:
+                        waiting.setdefault(width, []).append((part.column("question_id").take(pa.array(at)).to_pylist(), unit))
+                        continue
+                    if width in waiting:
+                        asked = waiting.pop(width)
+                        best[width] = _Best([q for keys, _ in asked for q in keys], np.concatenate([u for _, u in asked]), threshold, k)
+                    if width in best:
+                        best[width].offer(np.array(part.column("id").take(pa.array(at)).to_pylist(), dtype=object), unit)
+        yield from results(current or ())
+
+    return met.select(*key, "_kind", "question_id", "id", "embedding").mapInArrow(run, schema)
 
 
 def search_batch(
@@ -125,18 +171,19 @@ def search_batch(
     own business: question_id, business_id, id, similarity, hit_rank.
 
     One lazy plan at every size. Entries are kept to the scopes asked for (tenant, and with an ``index`` the
-    ``nprobe`` nearest cells of each question), which prunes the scan of a table partitioned by them. Both
-    sides are packed into blocks where they lie and joined on the scope; a hot tenant is many blocks. Null
-    and zero vectors match nothing, nor do vectors of different lengths.
+    ``nprobe`` nearest cells of each question), which prunes the scan of a table partitioned by them. Each side
+    is cut into blocks of some thousand rows; for each pair of blocks of a scope a task holds the questions and lets the
+    entries stream by, so a vector is sent once for each block of the other side, never once for each pair.
+    A hot tenant is many blocks. Null and zero vectors match nothing, nor do vectors of different lengths.
     """
     scope = ["business_id"] + (["cell"] if index else [])
     asked = questions.select("question_id", "business_id", "embedding").filter(F.size("embedding") > 0)
     if index:
         asked = asked.withColumn("cell", F.explode(index.probes(F.col("embedding"), nprobe)))
     scan = entries.filter(F.col("is_active")).join(asked.select(*scope).distinct(), scope, "left_semi")
-    pairs = _packed(scan, "id", scope, "e").join(_packed(asked, "question_id", scope, "q"), [*scope, "width"])
+    scan = scan.select(*scope, "id", "embedding")
     order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.asc("id"))
-    scored = _score(pairs, "business_id", threshold, k)
+    scored = _score(_met(asked, scan, scope), scope, threshold, k)
     return scored.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
 
 
@@ -167,12 +214,24 @@ def context_count(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 class CellIndex:
-    """Inverted lists: unit-length centroids, at most a few hundred, so small by construction."""
+    """Inverted lists: unit-length centroids, at most a few hundred, so small by construction.
+
+    ``save`` and ``load`` keep them beside the celled table, so that later loads give new vectors their cells
+    and searches probe without a new fit.
+    """
 
     def __init__(self, centroids: np.ndarray):
         norm = np.sqrt((centroids * centroids).sum(axis=1))
         self.centroids = centroids / np.where(norm > 0, norm, 1.0)[:, None]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, row) for i, row in enumerate(self.centroids.tolist())]
+        spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        return cls(np.array([row["centroid"] for row in spark.read.parquet(path).orderBy("cell").collect()], np.float64))
+
     def probes(self, embedding: Column, nprobe: int) -> Column:
         """The ``nprobe`` nearest cells of each vector; none for a vector that can't be compared."""
         centroids = self.centroids

@@ -8,6 +8,7 @@ from lorekeep.functions import ids
 from lorekeep.functions import text as tx
 from lorekeep.functions import titles as mx
 from lorekeep.operators import chunking, embed, html, quality
+from lorekeep.schemas import VECTOR_DIM
 from lorekeep.plans.catalog.registry import (
     CTE_DOCS,
     CTE_LINES,
@@ -325,9 +326,9 @@ SELECT doc_id, CAST(ix AS BIGINT) AS ix, sha256(coalesce(s, '')) AS vector_sha25
 def embed_chunks(spark, folder):
     """Every line embedded: the digest of the places and ten-thousandths of its vector."""
     rows = embed.embed_chunks(lines(spark, folder))
-    scaled = F.transform("embedding", lambda x, i: F.struct(i.alias("at"), x.alias("x")))
-    filled = F.filter(scaled, lambda p: p["x"] != 0)
-    shown = F.transform(filled, lambda p: F.concat_ws(":", p["at"].cast("string"), F.round(p["x"].cast("double") * 10000).cast(BIG).cast("string")))
+    vector = F.col("embedding")
+    filled = F.filter(F.sequence(F.lit(0), F.lit(VECTOR_DIM - 1)), lambda i: vector[i] != 0)
+    shown = F.transform(filled, lambda i: F.concat_ws(":", i.cast("string"), F.round(vector[i].cast("double") * 10000).cast(BIG).cast("string")))
     return rows.select("doc_id", F.col("ix").cast(BIG).alias("ix"), F.sha2(F.array_join(shown, ","), 256).alias("vector_sha256"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors as vx
 from lorekeep.operators import search
 from lorekeep.plans import ask
 from lorekeep.plans.catalog.registry import CTE_ENTRIES, docs, entries, query, table
+from lorekeep.session import cut_lineage, scratch_path
 
 THRESHOLD = 0.1
 BIG = "bigint"
@@ -114,7 +118,29 @@ def search_format(spark, folder):
     )
 
 
-@query("kb_search_text")
+def _sql_vectors(name: str, source: str) -> str:
+    """Places and values of the offline vectors of texts (key, text), and their lengths."""
+    return f"""
+{name}_said AS (SELECT key, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ({source})),
+{name}_coded AS (SELECT key, CAST('0x' || left(md5(w), 8) AS BIGINT) AS c FROM {name}_said),
+{name}_places AS (SELECT key, c % 1536 AS place, sum(CASE WHEN c >= 2147483648 THEN 1 ELSE -1 END) AS v FROM {name}_coded GROUP BY ALL),
+{name}_sized AS (SELECT *, sqrt(CAST(sum(v * v) OVER (PARTITION BY key) AS DOUBLE)) AS size FROM {name}_places),
+{name}_v AS (SELECT key, place, CAST(CAST(v AS FLOAT) / CAST(size AS FLOAT) AS DOUBLE) AS x FROM {name}_sized WHERE v <> 0),
+{name}_n AS (SELECT key, sqrt(sum(x * x)) AS n FROM {name}_v GROUP BY key)"""
+
+
+@query(
+    "kb_search_text",
+    f"""
+WITH {_sql_vectors("e", "SELECT doc_id AS key, text FROM documents")},
+{_sql_vectors("q", "SELECT conv_id || '-' || turn AS key, text FROM conversations")},
+dots AS (SELECT q_v.key AS question_id, e_v.key AS id, sum(e_v.x * q_v.x) AS d FROM e_v JOIN q_v USING (place) GROUP BY ALL),
+scored AS (SELECT question_id, id, round(d / e_n.n / q_n.n, 12) AS s FROM dots JOIN e_n ON e_n.key = id JOIN q_n ON q_n.key = question_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, id) AS hit_rank FROM scored WHERE s >= 0.3)
+SELECT question_id, CAST(hit_rank AS INTEGER) AS hit_rank, CAST(id AS VARCHAR) AS id, round(s, 6) AS similarity, left(text, 50) AS title,
+       strftime(to_timestamp(1700000000 + id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at
+FROM hits JOIN documents ON doc_id = id WHERE hit_rank <= 3""",
+)
 def kb_search_text(spark, folder):
     """Every turn as a question against all documents, embedded offline. One tenant."""
     from lorekeep.operators.embed import embed_chunks
@@ -158,6 +184,58 @@ def ann_search_all_cells(spark, folder):
     return _shown(search.search_batch(celled, _questions(spark, folder), THRESHOLD, index=index, nprobe=10))
 
 
+#: Given centroids: the ten vectors of the smallest ids; the nearest by cosine is a vector's cell, the first of equal ones.
+CTE_CELLS = f"""{CTE_ENTRIES},
+given AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding AS c FROM embeddings QUALIFY cell < 10),
+near AS (SELECT vec_id, label, embedding, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round({SQL_COSINE.format('embedding', 'c')}, 9) DESC, cell) AS place FROM embeddings, given),
+celled AS (SELECT e.*, n.cell FROM entries e LEFT JOIN near n ON e.id = n.vec_id AND n.place = 1)"""
+
+
+def _celled(spark, folder):
+    """Entries saved by cell, and an index that was saved and read again."""
+    given = table(spark, folder, "embeddings").orderBy("vec_id").limit(10).select("embedding").collect()
+    path = scratch_path(spark, "centroids")
+    search.CellIndex(np.array([list(r[0]) for r in given], np.float64)).save(spark, path)
+    index = search.CellIndex.load(spark, path)
+    rows = entries(spark, folder).withColumn("cell", index.assign(F.col("embedding")))
+    return search.save_by(rows, scratch_path(spark, "cells"), "cell"), index
+
+
+@query("ann_cells", f"WITH {CTE_CELLS} SELECT id, CAST(cell AS INTEGER) AS cell FROM celled")
+def ann_cells(spark, folder):
+    """The cell of each entry under given centroids."""
+    return _celled(spark, folder)[0].select("id", "cell")
+
+
+@query(
+    "ann_search_cells",
+    f"""
+WITH {CTE_CELLS},
+scored AS (
+  SELECT q.vec_id AS question_id, e.id, {SQL_COSINE.format('q.embedding', 'e.embedding')} AS s
+  FROM near q JOIN celled e ON e.business_id = 'biz-' || q.label AND e.cell = q.cell WHERE q.place <= 3 AND e.is_active),
+hits AS (SELECT question_id, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, id) AS hit_rank FROM scored WHERE s >= {THRESHOLD})
+SELECT * FROM hits WHERE hit_rank <= 3""",
+)
+def ann_search_cells(spark, folder):
+    """Every question in the three nearest of ten given cells, of a table partitioned by cell: a search reads the cells
+    it probes."""
+    stored, index = _celled(spark, folder)
+    return _shown(search.search_batch(stored, _questions(spark, folder), THRESHOLD, index=index, nprobe=3))
+
+
+@query("ann_recall")
+def ann_recall(spark, folder):
+    """Of the exact hits, the share that ten fitted cells give for each number of probed cells."""
+    celled, index = search.ann_build(entries(spark, folder), lists=10)
+    stored, exact = cut_lineage(celled), cut_lineage(_hits(spark, folder))
+    asked = _questions(spark, folder)
+    shares = [
+        search.recall(search.search_batch(stored, asked, THRESHOLD, index=index, nprobe=n), exact).withColumn("probes", F.lit(n)) for n in (1, 3, 7, 10)
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), shares)
+
+
 @query("metadata_filter", "SELECT event_id, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 42")
 def metadata_filter(spark, folder):
     return search.metadata_filter(table(spark, folder, "events"), "props", "k", 42, "int").select("event_id", "user_id")

@@ -82,6 +82,43 @@ def test_batch_equals_brute_force(spark, monkeypatch, block_rows):
     assert max(abs(got[key][1] - want[key][1]) for key in want) < 1e-8
 
 
+def test_a_vector_is_sent_once_for_each_block_of_the_other_side(spark, monkeypatch):
+    """What goes to Python grows with entries plus questions, and no pair of blocks carries both sides whole."""
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(search, "ENTRY_ROWS", 100)
+    entries = spark.range(1_000).selectExpr("id", "'t' AS business_id", "array(1.0f, cast(id AS float)) AS embedding")
+    for n, blocks in ((40, 1), (400, 8)):
+        asked = spark.range(n).selectExpr("id AS question_id", "'t' AS business_id", "array(1.0f, cast(id AS float)) AS embedding")
+        met = search._met(asked, entries, ["business_id"])
+        assert met.count() == 1_000 * blocks + n * 10
+        first = met.groupBy("_e", "_q").agg(F.count_if(F.col("id").isNull()).alias("asked")).agg(F.max("asked")).first()[0]
+        assert first <= 100
+
+
+def test_ties_at_the_floor_and_in_many_blocks(spark, monkeypatch):
+    """Equal vectors tie; the smallest ids win wherever their blocks end."""
+    rows = [(i, "t", True, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(300)]
+    entries = spark.createDataFrame(rows, "id long, business_id string, is_active boolean, embedding array<double>")
+    asked = spark.createDataFrame([("a", "t", [1.0, 0.0]), ("b", "t", [0.6, 0.8]), ("c", "t", [0.0, 1.0])], "question_id string, business_id string, embedding array<double>")
+    for size in (2048, 16):
+        monkeypatch.setattr(search, "ENTRY_ROWS", size)
+        hits = search.search_batch(entries, asked, 0.6, 3).collect()
+        got = sorted((r.question_id, r.hit_rank, r.id, round(r.similarity, 9)) for r in hits)
+        assert got == [("a", 1, 1, 1.0), ("a", 2, 3, 1.0), ("a", 3, 5, 1.0), ("b", 1, 0, 1.0), ("b", 2, 2, 1.0), ("b", 3, 4, 1.0), ("c", 1, 0, 0.8), ("c", 2, 2, 0.8), ("c", 3, 4, 0.8)]
+
+
+def test_saved_centroids_give_new_vectors_the_same_cells(spark, tmp_path):
+    rows, _, _ = _random_corpus(spark)
+    entries = spark.createDataFrame(rows, ENTRY)
+    celled, index = search.ann_build(entries, lists=6)
+    index.save(spark, str(tmp_path / "centroids"))
+    again = search.CellIndex.load(spark, str(tmp_path / "centroids"))
+    assert np.allclose(again.centroids, index.centroids)
+    first = {r.id: r.cell for r in celled.collect()}
+    later = entries.limit(50).withColumn("cell", again.assign(F.col("embedding")))
+    assert all(first[r.id] == r.cell for r in later.collect())
+
+
 def test_cells(spark):
     rows, vectors, tenants = _random_corpus(spark)
     entries = spark.createDataFrame([*rows, (9999, "hot", True, None)], ENTRY)
