@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import packing
 from lorekeep.functions import text as tx
+from lorekeep.operators.numbering import running_sums
 from lorekeep.schemas import CHUNKS_DDL
+from lorekeep.session import cut_lineage
 
 MAX_TOKENS = 512
 MIN_CHUNK_WORDS = 15
@@ -122,41 +124,30 @@ def chunk_stats(chunks: DataFrame, by: list[str], min_words: int = MIN_CHUNK_WOR
     return chunks.groupBy(*by).agg(*_stats(min_words, text))
 
 
-def number_within(
-    rows: DataFrame,
+def number_chunks(
+    docs: DataFrame,
     group: list[str],
-    unit: list[str],
-    order: list[str],
+    unit: str,
+    key: str,
+    chunks: str = "chunks",
+    chunk: str = "chunk",
     index: str = "chunk_index",
     total: str = "total_chunks",
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based position and row count within ``group``, without gathering a group in one task.
+    """Each element of the array ``chunks`` as a row (column ``chunk``), with its 1-based position and the row count within
+    ``group``. ``key`` tells the rows of ``docs`` apart and is not null.
 
-    A unit (a document, bounded by the size gate) is placed by the first 16 bits of the hash of its
-    key, so a group falls into up to 65,536 buckets that are numbered on their own. What a bucket
-    starts at comes from the running sum of bucket sizes, a table of at most 65,536 rows per group.
-    The order is (bucket, unit, order), the same on every retry. ``rows`` is read twice, unless
-    ``sizes`` (group, unit, n) tells the row count of each unit.
+    Only (group, unit, key, size) is ordered and summed up; the texts meet their document's first position and are exploded, with
+    no sort or window over them. Documents come in the order of the first 16 bits of the hash of ``unit``, then
+    ``unit`` and ``key``, the same on every retry.
     """
-    spot = F.substring(F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in unit])), 1, 4)
-    placed = rows.withColumn("_bucket", spot)
-    known = placed.withColumn("n", F.lit(1)) if sizes is None else sizes.withColumn("_bucket", spot)
-    sizes = known.groupBy(*group, "_bucket").agg(F.sum("n").alias("_n"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(whole).alias(total),
-    )
-    same = F.col("_bucket") == F.col("_b")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*unit, *order)
-    position = F.row_number().over(inside) + F.col("_start")
-    return placed.join(starts, same).withColumn(index, position).select(*rows.columns, index, total)
+    spot = F.substring(F.md5(F.col(unit).cast("string")), 1, 4)
+    sizes = docs.select(F.struct(*group).alias("_group"), spot.alias("_spot"), F.col(unit).alias("_unit"), F.col(key).alias("_key"), F.size(chunks).alias("_n"))
+    summed = running_sums(cut_lineage(sizes.filter("_n > 0")), ["_group"], ["_spot", "_unit", "_key"], "_n", "_first", total)
+    starts = summed.select(F.col("_key").alias(key), "_first", total)
+    others = [c for c in docs.columns if c != chunks]
+    exploded = docs.join(starts, key).select(*others, total, "_first", F.posexplode(chunks).alias("_at", chunk))
+    return exploded.select(*others, chunk, (F.col("_first") + F.col("_at") + 1).alias(index), total)
 
 
 def embed_batches(numbered: DataFrame, size: int = EMBED_BATCH) -> DataFrame:

@@ -8,7 +8,6 @@ from lorekeep.functions import ids
 from lorekeep.functions import text as tx
 from lorekeep.functions import titles as mx
 from lorekeep.operators import chunking, embed, html, quality
-from lorekeep.schemas import VECTOR_DIM
 from lorekeep.plans.catalog.registry import (
     CTE_DOCS,
     CTE_LINES,
@@ -24,6 +23,7 @@ from lorekeep.plans.catalog.registry import (
     sql_words,
     table,
 )
+from lorekeep.schemas import VECTOR_DIM
 
 BIG = "bigint"
 
@@ -173,8 +173,10 @@ numbered AS (
 
 
 def _numbered(spark, folder):
-    rows = lines(spark, folder).select("source", "url", F.col("ix").cast(BIG).alias("ix"))
-    return chunking.number_within(rows, ["source"], ["url"], ["ix"])
+    rows = docs(spark, folder).select("source", "url", split_lines(F.col("text")).alias("lines"))
+    rows = rows.select("source", "url", F.transform("lines", lambda x, i: i).alias("chunks"))
+    numbered = chunking.number_chunks(rows, ["source"], "url", "url")
+    return numbered.select("source", "url", F.col("chunk").cast(BIG).alias("ix"), "chunk_index", "total_chunks")
 
 
 @query("chunk_index", f"WITH {CTE_NUMBERED} SELECT source, url, CAST(ix AS BIGINT) AS ix, chunk_index FROM numbered")

@@ -145,7 +145,7 @@ def load_listed(
     chunks = chunking.pack_blocks(F.col("blocks"), max_tokens, True, counter, min_chunk_words)
     packed = docs.withColumn("chunks", chunks).drop("blocks")
     # one row per document: texts are read once more below, the counts from their own column
-    staged = cut_lineage(packed.withColumn("n", F.coalesce(F.size("chunks"), F.lit(0))))
+    staged = cut_lineage(packed.withColumns({"n": F.coalesce(F.size("chunks"), F.lit(0)), "_doc": F.monotonically_increasing_id()}))
     counts = staged.groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chunks"))
     tally = listed.join(counts, ["source_id", "seq"], "left").withColumns(
         {
@@ -163,8 +163,9 @@ def load_listed(
         if failed:
             raise ValueError(f"load aborted, nothing was stored: {[tuple(r) for r in failed]}")
 
-    chunks = staged.select(*CARRIED, "page_url", F.inline("chunks"))
-    numbered = chunking.number_within(chunks, ["source_id", "seq"], ["page_url"], ["chunk_ix"], sizes=staged)
+    chunks = staged.select(*CARRIED, "page_url", "_doc", "chunks")
+    numbered = chunking.number_chunks(chunks, ["source_id", "seq"], "page_url", "_doc")
+    numbered = numbered.select(*CARRIED, "page_url", "chunk.*", "chunk_index", "total_chunks")
     entries = entry_rows(numbered, load_id, as_of, model, on_embed_error, simple)
     part = store.write_entries(entries, base["version"] + 1, placed=True)
     written = store.entries({**base, "entries": [part], "tombstones": []})

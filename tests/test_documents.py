@@ -1,5 +1,6 @@
 """HTML reading, chunking and embedding on literal documents."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import packing
 from lorekeep.functions.markup import PageReader
 from lorekeep.operators import chunking, embed, html
+from lorekeep.operators.numbering import running_sums
 from lorekeep.schemas import BLOCKS_DDL
 
 PAGES = [
@@ -183,21 +185,38 @@ def test_native_and_python_token_counts_agree(spark):
 
 def test_numbering_matches_one_big_window(spark):
     rng = random.Random(3)
-    rows = [("hot" if rng.random() < 0.4 else f"g{rng.randrange(5)}", f"u{rng.randrange(40)}", i) for i in range(600)] + [(None, "u", 9999)]
-    df = spark.createDataFrame(rows, "g string, u string, ix int")
-    got = chunking.number_within(df, ["g"], ["u"], ["ix"]).collect()
-    by_group = {}
-    for r in got:
-        by_group.setdefault(r.g, []).append(r)
-    assert sum(map(len, by_group.values())) == len(rows)
-    for members in by_group.values():
-        members.sort(key=lambda r: r.chunk_index)
-        assert [r.chunk_index for r in members] == list(range(1, len(members) + 1))
-        assert {r.total_chunks for r in members} == {len(members)}
-        units = [r.u for r in members]
-        assert len([1 for a, b in zip(units, units[1:]) if a != b]) == len(set(units)) - 1, "units stay together"
-        for a, b in zip(members, members[1:]):
-            assert a.u != b.u or a.ix < b.ix
+    rows = [("hot" if rng.random() < 0.4 else f"g{rng.randrange(5)}", f"u{rng.randrange(40)}", i, list(range(rng.randrange(5)))) for i in range(300)]
+    rows += [(None, "u", 9998, [0, 1]), (None, None, 9999, [0]), ("g1", "u", 9997, None)]
+    df = spark.createDataFrame(rows, "g string, u string, d int, chunks array<int>").repartition(6)
+    got = chunking.number_chunks(df, ["g"], "u", "d").collect()
+    spot = lambda u: ("", "") if u is None else (hashlib.md5(u.encode()).hexdigest()[:4], u)
+    want = []
+    for g in {r[0] for r in rows}:
+        held = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, spot(r[1]), r[2]))
+        flat = [(g, r[1], r[2], c) for r in held for c in r[3] or []]
+        want += [(*x, i + 1, len(flat)) for i, x in enumerate(flat)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_running_sums_of_a_group_over_many_ranges(spark):
+    """One group holds all rows but few; ties and repeated rows each count once."""
+    rng = random.Random(5)
+    rows = [("hot", rng.randrange(50), rng.randrange(9)) for _ in range(2_000)] + [("a", 1, 7), ("b", 1, 0), ("b", 1, 3)]
+    df = spark.createDataFrame(rows, "g string, o int, n int")
+    got = running_sums(df, ["g"], ["o", "n"], "n", total="whole").collect()
+    for g in ("hot", "a", "b"):
+        held = sorted((r.o, r.n, r.before, r.whole) for r in got if r.g == g)
+        sums = [sum(n for _, n, *_ in held[:i]) for i in range(len(held))]
+        assert sorted(b for *_, b, _ in held) == sorted(sums) and {w for *_, w in held} == {sum(n for _, n, *_ in held)}
+    assert running_sums(df.where("false"), ["g"], ["o"], "n").count() == 0
+
+
+def test_no_window_over_texts(spark):
+    df = spark.createDataFrame([("g", "u", 1, ["text"])], "g string, u string, d int, chunks array<string>")
+    plan = chunking.number_chunks(df, ["g"], "u", "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan
+    for part in plan.split("Window [")[1:]:
+        assert "chunk" not in part.split("\n")[0]
 
 
 # ---- embedding
