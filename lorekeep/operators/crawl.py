@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import urls as ux
@@ -37,10 +37,6 @@ def new_links(candidates: DataFrame, visited: DataFrame, on: list[str]) -> DataF
     return candidates.select(*on).distinct().join(visited.select(*on), on, "left_anti")
 
 
-def _key(url: Column, dedupe: str) -> Column:
-    return ux.canonical(url) if dedupe == "canonical" else url
-
-
 def reachable(
     roots: DataFrame,
     edges: DataFrame,
@@ -60,27 +56,35 @@ def reachable(
     if max_depth > 2:
         edges = cut_lineage(edges)
     frontier = cut_lineage(roots.select("root", F.col("root").alias("url"), F.lit(0).alias("depth")).distinct())
-    visited = frontier
+    visited, counts = frontier, frontier.select("root", F.lit(1).cast("bigint").alias("_n"))
     for depth in range(1, max_depth):
         open_pages = frontier
         if max_urls is not None:
-            counts = visited.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
             open_pages = frontier.join(counts.filter(F.col("_n") < max_urls), "root", "left_semi")
-        stepped = (
-            open_pages.select("root", F.col("url").alias("src"))
-            .join(edges, "src")
-            .groupBy("root", _key(F.col("dst"), dedupe).alias("_k"))
-            .agg(F.min("dst").alias("url"))
-        )
-        seen = visited.select("root", _key(F.col("url"), dedupe).alias("_k"))
-        fresh = stepped.join(seen, ["root", "_k"], "left_anti")
-        frontier = cut_lineage(fresh.select("root", "url", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
+        stepped = open_pages.select("root", F.col("url").alias("src")).join(edges, "src").select("root", F.col("dst").alias("url"), F.lit(depth).alias("depth"))
+        frontier = cut_lineage(_first_seen(stepped, visited, depth, dedupe))
+        if depth + 1 == max_depth or frontier.isEmpty():
+            visited = visited.unionByName(frontier)
             break
         visited = visited.unionByName(frontier)
+        if max_urls is not None:
+            # A running table of one row for each root; what was counted before is not counted again.
+            grown = counts.unionByName(frontier.groupBy("root").agg(F.count(F.lit(1)).alias("_n")))
+            counts = cut_lineage(grown.groupBy("root").agg(F.sum("_n").alias("_n")))
     return visited
 
 
+def _first_seen(stepped: DataFrame, visited: DataFrame, depth: int, dedupe: str) -> DataFrame:
+    """Of the pages reached at ``depth`` those that were not visited, each once: one aggregation that both sides meet in,
+    combined in the map tasks, instead of a distinct and an anti-join with an exchange of their own."""
+    both = stepped.unionByName(visited)
+    if dedupe != "canonical":
+        return both.groupBy("root", "url").agg(F.min("depth").alias("depth")).filter(F.col("depth") == depth)
+    here = F.min(F.when(F.col("depth") == depth, F.col("url")))
+    met = both.groupBy("root", ux.canonical(F.col("url")).alias("_k")).agg(F.min("depth").alias("depth"), here.alias("url"))
+    return met.filter(F.col("depth") == depth).select("root", "url", "depth")
+
+
 def listing(crawled: DataFrame) -> DataFrame:
     return crawled.orderBy("root", "url")
 
