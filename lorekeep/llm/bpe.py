@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 NONE = 1 << 62
 #: Pieces that a Python worker remembers, and the longest of them in characters.
 MEMORY, LONGEST = 700_000, 64
+#: Bytes of the pieces that one task of ``round_trip`` remembers, and what an entry takes besides its text and ids.
+TASK_BYTES, ENTRY_BYTES = 48 << 20, 160
 #: Bytes of text or ids that are gathered for one output batch.
 BATCH = 4 << 20
 
@@ -80,6 +83,23 @@ class _Pieces(dict):
         return ids
 
 
+class _TaskPieces(_Pieces):
+    """Encoded pieces of one task, emptied when they take ``TASK_BYTES``."""
+
+    held = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        ids = np.array(merge(data, self.ranks), "<u4").tobytes()
+        if len(piece) <= LONGEST:
+            self.held += len(data) + len(ids) + ENTRY_BYTES
+            if self.held > TASK_BYTES:
+                self.clear()
+                self.held = 0
+            self[piece] = ids
+        return ids
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, token_ids: little-endian unsigned 32-bit integers) for each row of ``docs``.
 
@@ -139,3 +159,37 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     ids, text = F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     return decoded.select(id_col, "n_tokens", ids, text)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256) of each row: encoded as ``encode`` does, decoded again and digested in
+    one Arrow function, so that a core runs one Python worker and decoded text does not come back.
+
+    What a task remembers is bounded in bytes and freed with the task. Nulls, empty texts and repeated rows as in ``encode``.
+    """
+    with open(vocabulary, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    names = [id_col, "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        pieces = _TaskPieces(shared.value)
+        token_of = {rank: token for token, rank in pieces.ranks.items()}.__getitem__
+        split, look = regex.compile(pattern).findall, pieces.__getitem__
+        for batch in batches:
+            rows, start, held = [], 0, 0
+            for at, text in enumerate(batch.column(1)):
+                ids = b"".join(map(look, split(text.as_py() or "")))
+                decoded = hashlib.sha256()
+                for begin in range(0, len(ids), BATCH):
+                    decoded.update(b"".join(map(token_of, np.frombuffer(ids[begin : begin + BATCH], "<u4").tolist())))
+                rows.append((len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), decoded.hexdigest()))
+                held += len(ids)
+                if held >= BATCH or at == batch.num_rows - 1:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[start : at + 1], *columns], names=names)
+                    rows, start, held = [], at + 1, 0
+
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string"
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -35,8 +35,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids with their digests, and the digest of what they decode to."""
+    """Token ids with their digests, and the digest of what they decode to. A null or empty text has no tokens; an
+    empty table gives an empty result."""
     path, pattern = public_vocabulary()
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path)
-    ids, text = F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    return decoded.select("doc_id", "n_tokens", ids, text, "token_ids")
+    return bpe.round_trip(docs, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")

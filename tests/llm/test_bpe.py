@@ -36,7 +36,7 @@ def test_merge_with_ties_and_holes():
         assert bpe.merge(piece, ranks) == brute(piece, ranks)
 
 
-def test_documents(spark):
+def test_documents(spark, monkeypatch):
     rng = random.Random(5)
     texts = [None, "", " ", "\n\n  x", "it's <|endoftext|> 12345 éèü 漢字 🙂", "a" * 5000, "".join(map(chr, range(1, 1500)))]
     texts += ["".join(rng.choice("ab cé\n1!Ω'st") for _ in range(rng.randint(1, 300))) for _ in range(60)]
@@ -49,6 +49,12 @@ def test_documents(spark):
         ids = PLAIN.encode_ordinary(t or "")
         want.append((i if i != 9 else None, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    for least in (bpe.TASK_BYTES, 2_000):  # the second empties its memory again and again
+        monkeypatch.setattr(bpe, "TASK_BYTES", least)
+        again = bpe.round_trip(docs.repartition(3), PATH, public.PATTERN)
+        assert sorted(map(tuple, again.drop("token_ids").collect()), key=str) == sorted(want, key=str)
+        assert {(r.doc_id, hashlib.sha256(r.token_ids).hexdigest()) for r in again.collect()} == {(w[0], w[2]) for w in want}
+    assert bpe.round_trip(docs.where("false"), PATH, public.PATTERN).count() == 0
     assert encoded.where("false").count() == bpe.encode(docs.where("false"), PATH, public.PATTERN).count() == 0
 
 
