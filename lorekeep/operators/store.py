@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid as uuidlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -34,7 +34,7 @@ def _broken(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
 
 
-def _rules(table: str, width: int | None = None) -> dict[str, Column]:
+def _rules(table: str, width: int | None = None, uuid: bool = False) -> dict[str, Column]:
     if table == "sources":
         rules = {f"{c}_not_null": F.col(c).isNotNull() for c in ("business_id", "source_url")}
         rules["source_type_allowed"] = F.col("source_type").isin(*schemas.SOURCE_TYPES)
@@ -42,15 +42,29 @@ def _rules(table: str, width: int | None = None) -> dict[str, Column]:
         rules["status_allowed"] = F.col("status").isin(*schemas.STATUSES)
         return rules
     rules = {f"{c}_not_null": F.col(c).isNotNull() for c in ("business_id", "category", "title", "content")}
+    if uuid:
+        rules["business_id_uuid"] = F.col("business_id").isNull() | ids.uuid_valid(F.col("business_id"))
     if width is not None:
         rules["embedding_width"] = F.col("embedding").isNull() | (F.size("embedding") == width)
     return rules
 
 
-def constraint_violations(rows: DataFrame, table: str, key: str = "id", width: int | None = None) -> DataFrame:
+def constraint_violations(rows: DataFrame, table: str, key: str = "id", width: int | None = None, uuid: bool = False) -> DataFrame:
     """One row per broken rule: key, rule. ``table`` is ``sources`` or ``entries``; vectors of entries must have
-    ``width`` numbers where that is given, and may be null."""
-    return rows.select(key, F.explode(_broken(_rules(table, width))).alias("rule"))
+    ``width`` numbers where that is given, and may be null; with ``uuid`` their businesses must be UUIDs."""
+    return rows.select(key, F.explode(_broken(_rules(table, width, uuid))).alias("rule"))
+
+
+def counted(rows: DataFrame, seen: Observation, table: str, width: int | None = None, uuid: bool = False) -> DataFrame:
+    """``rows``, whose broken rules are counted in ``seen`` by the job that writes them."""
+    broken = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in _rules(table, width, uuid).items()]
+    return rows.observe(seen, *broken)
+
+
+def require_unbroken(seen: Observation, what: str) -> None:
+    found = {rule: n for rule, n in seen.get.items() if n}
+    if found:
+        raise ValueError(f"{what}: {found}")
 
 
 def duplicate_keys(sources: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep import schemas
 from lorekeep.functions import urls as ux
 from lorekeep.operators import embed, events, quality
 from lorekeep.operators import store as st
@@ -56,10 +57,12 @@ UNION ALL SELECT id, 'source_type_allowed' FROM checked WHERE source_type NOT IN
 UNION ALL SELECT id, 'category_allowed' FROM checked WHERE category NOT IN ('website', 'faq', 'policy', 'pricing', 'procedure', 'technical')
 UNION ALL SELECT id, 'status_allowed' FROM checked WHERE status NOT IN ('pending', 'loading', 'loaded', 'failed', 'inactive')
 UNION ALL SELECT id, 'embedding_width' FROM entries WHERE lang = 'fr' AND embedding IS NOT NULL
+UNION ALL SELECT id, 'business_id_uuid' FROM entries WHERE lang <> 'de'
 """,
 )
 def constraint_violations(spark, folder):
-    """Documents as sources, and as entries whose French vectors are a number short."""
+    """Documents as sources, and as entries whose French vectors are a number short and of whose businesses
+    only the German are UUIDs, in the form with braces."""
     lang = F.col("lang")
     rows = docs(spark, folder).select(
         F.col("doc_id").alias("id"),
@@ -71,9 +74,26 @@ def constraint_violations(spark, folder):
     )
     stored = entries(spark, folder)
     short = F.when(lang == "fr", F.slice("embedding", 1, WIDTH - 1)).otherwise(F.col("embedding"))
-    return st.constraint_violations(rows, "sources").unionByName(
-        st.constraint_violations(stored.withColumn("embedding", short), "entries", width=WIDTH)
-    )
+    braced = F.concat(F.lit("{"), F.md5("business_id"), F.lit("}"))
+    wrong = stored.withColumns({"embedding": short, "business_id": F.when(lang == "de", braced).otherwise(F.col("business_id"))})
+    return st.constraint_violations(rows, "sources").unionByName(st.constraint_violations(wrong, "entries", width=WIDTH, uuid=True))
+
+
+@query(
+    "empty_tables",
+    f"""
+WITH {CTE_ENTRIES}
+SELECT CAST(id AS VARCHAR) AS id, business_id, category, title, content, CAST(NULL AS VARCHAR) AS metadata, source_id, is_active,
+       CAST(len(embedding) AS INTEGER) AS width, CAST(NULL AS VARCHAR) AS created_at FROM entries
+""",
+)
+def empty_tables(spark, folder):
+    """Documents added to an empty stored table of entries: its columns and types, nulls where they have none."""
+    none = schemas.empty_table(spark, schemas.ENTRIES)
+    rows = entries(spark, folder).withColumn("id", F.col("id").cast("string")).select("id", "business_id", "category", "title", "content", "embedding", "source_id", "is_active")
+    held = none.unionByName(rows, allowMissingColumns=True)
+    width = F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width")
+    return held.select("id", "business_id", "category", "title", "content", "metadata", "source_id", "is_active", width, F.col("created_at").cast("string").alias("created_at"))
 
 
 @query(

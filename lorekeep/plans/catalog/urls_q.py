@@ -149,6 +149,10 @@ def page_scan(spark, folder):
     return pages.page_scan(raw)
 
 
+#: Files that the documents of a language are written to.
+TEXT_FILES = 8
+
+
 @query(
     "text_scan",
     f"""
@@ -157,13 +161,16 @@ SELECT lang, count(*) AS n_lines, CAST(sum({sql_words('line')}) AS BIGINT) AS n_
 """,
 )
 def text_scan(spark, folder):
-    """Documents written as text files, one folder per language, and read back line by line."""
+    """Documents written as text files, some for each language, and read back through one scan of bytes. Beside each
+    folder of texts lies a file of another kind, which the scan leaves out."""
     path = scratch_path(spark, "text")
-    table(spark, folder, "documents").select("lang", "text").write.partitionBy("lang").text(path)
-    read = spark.read.text(path)
-    return read.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(tx.word_count(F.col("value"))).cast("bigint").alias("n_words")
-    )
+    rows = table(spark, folder, "documents").select("lang", "text").repartition("lang", F.pmod(F.xxhash64("doc_id"), F.lit(TEXT_FILES)))
+    rows.write.partitionBy("lang").text(path)
+    rows.select("lang").distinct().select("lang", F.lit("not a text").alias("value")).write.mode("append").partitionBy("lang").json(path)
+    read = pages.text_scan(spark, path, "*.txt").select(F.regexp_extract("url", "/lang=([^/]*)/", 1).alias("lang"), "text")
+    # Every line ends with a line break, the last too.
+    lines = read.select("lang", F.explode(F.split(F.expr("left(text, length(text) - 1)"), "\n")).alias("line")).where("line is not null")
+    return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(tx.word_count(F.col("line"))).cast("bigint").alias("n_words"))
 
 
 @query(

@@ -6,7 +6,7 @@ import uuid as uuidlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lorekeep.functions import ids
@@ -42,15 +42,16 @@ def announce(store: st.Store, listed: DataFrame, as_of: Column, base: dict | Non
     return announced, cut_lineage(listed.join(known, st.SOURCE_KEY))
 
 
-def source_pages(listed: DataFrame, pages: DataFrame | None) -> DataFrame:
+def source_pages(listed: DataFrame, pages: DataFrame | None, max_depth: int = crawl.MAX_DEPTH, max_urls: int | None = crawl.MAX_URLS) -> DataFrame:
     """Pages each announced source covers: itself, plus, given a snapshot to crawl, what a crawl from it
-    collects."""
+    collects within ``max_depth`` and ``max_urls``."""
     own = listed.select(*CARRIED, F.col("source_url").alias("page_url"))
     if pages is None:
         return own
     starts = listed.filter((F.col("route") == "html") & F.coalesce("crawl_internal", F.lit(True)))
     roots = starts.select(F.col("source_url").alias("root")).distinct()
-    found = crawl.reachable(roots, crawl.build_edges(crawl.pages_to_read(pages.select("url", "html"), roots)))
+    edges = crawl.build_edges(crawl.pages_to_read(pages.select("url", "html"), roots, max_depth))
+    found = crawl.reachable(roots, edges, max_depth, max_urls)
     further = found.filter("url <> root").select(F.col("root").alias("source_url"), F.col("url").alias("page_url"))
     return own.unionByName(starts.select(*CARRIED).join(further, "source_url").select(*own.columns))
 
@@ -134,6 +135,7 @@ def load_listed(
     simple: bool = False,
     businesses: DataFrame | None = None,
     batch: tuple[str, int] | None = None,
+    business_uuid: bool = False,
 ) -> LoadReport:
     """Chunks, embeds and publishes documents of listed sources, of any number of businesses.
 
@@ -167,9 +169,10 @@ def load_listed(
     numbered = chunking.number_chunks(chunks, ["source_id", "seq"], "page_url", "_doc")
     numbered = numbered.select(*CARRIED, "page_url", "chunk.*", "chunk_index", "total_chunks")
     entries = entry_rows(numbered, load_id, as_of, model, on_embed_error, simple)
-    part = store.write_entries(entries, base["version"] + 1, placed=True)
+    seen = Observation("entries")  # counted by the job that writes, not by reading again
+    part = store.write_entries(st.counted(entries, seen, "entries", store.width, business_uuid), base["version"] + 1, placed=True)
+    st.require_unbroken(seen, "entries break constraints")
     written = store.entries({**base, "entries": [part], "tombstones": []})
-    st.require_none(st.constraint_violations(written, "entries", width=store.width), "entries break constraints")
 
     at = F.col("seq")
     outcome = tally.groupBy("source_id").agg(
@@ -204,10 +207,14 @@ def load_documents(
     description: str | None = None,
     as_of: Column | None = None,
     load_id: str | None = None,
+    max_depth: int = crawl.MAX_DEPTH,
+    max_urls: int | None = crawl.MAX_URLS,
+    max_words: int = html.MAX_DOCUMENT_WORDS,
     **options,
 ) -> LoadReport:
     """Loads the sources of one business. ``pages`` is a crawl snapshot (url, html) and ``files`` a
-    text scan (url, text); see ``load_listed`` for the options."""
+    text scan (url, text). ``max_depth`` and ``max_urls`` bound the crawl, documents of more than ``max_words`` words
+    are left out; see ``load_listed`` for the options."""
     try:
         business_id = str(uuidlib.UUID(business_id))
     except (ValueError, AttributeError, TypeError):
@@ -225,8 +232,9 @@ def load_documents(
     when = F.current_timestamp() if as_of is None else as_of
     base = store.manifest()
     announced, listed = announce(store, listed, when, base)
-    docs = extract(source_pages(listed, pages if crawl_internal else None), pages, files)
-    return load_listed(store, listed, announced, docs, when, load_id or uuidlib.uuid4().hex, base, max_tokens=max_tokens, **options)
+    covered = source_pages(listed, pages if crawl_internal else None, max_depth, max_urls)
+    docs = extract(covered, pages, files, max_words)
+    return load_listed(store, listed, announced, docs, when, load_id or uuidlib.uuid4().hex, base, max_tokens=max_tokens, business_uuid=True, **options)
 
 
 def load_sitemap(store: st.Store, business_id: str, sitemaps: DataFrame, pages: DataFrame, **options) -> LoadReport:
@@ -251,4 +259,4 @@ def load_sitemap(store: st.Store, business_id: str, sitemaps: DataFrame, pages:
         wanted.select(F.col("base_url").alias("source_url"), F.col("url").alias("page_url")), "source_url"
     )
     docs = extract(covered.select(*CARRIED, "page_url"), pages, None)
-    return load_listed(store, listed, announced, docs, when, options.pop("load_id", uuidlib.uuid4().hex), base, **options)
+    return load_listed(store, listed, announced, docs, when, options.pop("load_id", uuidlib.uuid4().hex), base, business_uuid=True, **options)

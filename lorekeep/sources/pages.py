@@ -15,16 +15,21 @@ def page_scan(raw: DataFrame, content: str = "content", url: str = "url") -> Dat
     return raw.select(F.col(url).alias("url"), tx.decode_utf8(F.col(content)).alias("html"))
 
 
-def binary_pages(spark: SparkSession, path: str) -> DataFrame:
+def file_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Files as bytes, one row per file: path, content. ``path`` may hold a glob of folders; ``glob`` filters file names at the listing,
+    so that other files are never opened. Files of no bytes have no row."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
+
+
+def binary_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Stored page files as (url, html), the file path standing for the URL."""
-    files = spark.read.format("binaryFile").load(path)
-    return page_scan(files, content="content", url="path")
+    return page_scan(file_scan(spark, path, glob), content="content", url="path")
 
 
-def text_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Plain text files, one row per file: url, text."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("text"))
+def text_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Plain text files, one row per file: url, text; undecodable bytes are left out."""
+    return binary_pages(spark, path, glob).withColumnRenamed("html", "text")
 
 
 def outcome_class(status: Column, error: Column) -> Column:

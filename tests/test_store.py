@@ -301,6 +301,42 @@ def test_files_and_sitemaps(spark, store, tmp_path):
     assert [(r.source_url, r.entry_count) for r in report.results.collect()] == [("https://x.test/", 1)]
 
 
+def test_scans_take_only_matching_files_and_readable_bytes(spark, tmp_path):
+    from lorekeep.sources import pages
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "bad.txt").write_bytes(b"caf\xc3\xa9 \xff\xfe end\xc3")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "page.html").write_bytes(b"<p>\xe9</p>")
+    texts = {r.url.rsplit("/", 1)[1]: r.text for r in pages.text_scan(spark, str(tmp_path), "*.txt").collect()}
+    assert texts == {"bad.txt": "café  end"}  # Spark lists no file of 0 bytes
+    assert [r.html for r in pages.binary_pages(spark, str(tmp_path), "*.html").collect()] == ["<p></p>"]
+    assert pages.binary_pages(spark, str(tmp_path)).count() == 2
+
+
+def test_rules_are_counted_by_the_writing_job(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    rows = [(BIZ, "faq", "t", "c", [1.0, 2.0]), ("biz-1", "faq", "t", "c", [1.0]), (None, "faq", None, "c", None)]
+    df = spark.createDataFrame(rows, "business_id string, category string, title string, content string, embedding array<float>")
+    seen = Observation()
+    st.counted(df, seen, "entries", 2, True).write.parquet(str(tmp_path / "rows"))
+    want = {"business_id_not_null": 1, "category_not_null": 0, "title_not_null": 1, "content_not_null": 0, "business_id_uuid": 1, "embedding_width": 1}
+    assert seen.get == want
+    with pytest.raises(ValueError, match="business_id_uuid"):
+        st.require_unbroken(seen, "entries")
+    broken = st.constraint_violations(df.withColumn("id", F.lit(1)), "entries", width=2, uuid=True)
+    assert sorted(r.rule for r in broken.collect()) == sorted(k for k, n in want.items() if n)
+
+
+def test_load_passes_crawl_and_gate_parameters(spark, store):
+    counts = {}
+    for name, options in (("home", {"max_depth": 1}), ("crawled", {}), ("gated", {"max_words": 1})):
+        report = load.load_documents(store, BIZ, ["https://x.test/"], pages=snapshot(spark), as_of=at(1), load_id=name, mode="replace", on_source_error="record", **options)
+        counts[name] = report.results.first().entry_count
+    assert counts["home"] < counts["crawled"] and counts["gated"] == 0
+
+
 def test_source_lists(spark):
     assert [tuple(r) for r in lists.parse_sources(spark, " a, ,b ,").collect()] == [(0, "a"), (1, "b")]
     rows = spark.createDataFrame([("x", []), ("y", ["a"])], "k string, l array<string>")
