@@ -439,13 +439,18 @@ def event_replay_streams(spark, folder):
     return events.replay_streams(_kept(spark, folder), _stream_rows(table(spark, folder, "events")).select("event_id"))
 
 
+#: Files, and so triggers, that the events arrive in.
+TRIGGERS = 3
+
+
 @query("stream_last_n", f"WITH {CTE_KEPT} SELECT CAST(user_id AS VARCHAR) AS stream_id, CAST(event_id AS VARCHAR) AS event_id FROM kept")
 def stream_last_n(spark, folder):
-    """The same history kept by a stream over the events file."""
+    """The same history kept by a stream over the events in several files, one in each trigger."""
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
-    schema = table(spark, folder, "events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    rows, landed = table(spark, folder, "events"), scratch_path(spark, "landed")
+    rows.repartition(TRIGGERS, "event_id").write.parquet(landed)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     path = scratch_path(spark, "history")
     spark.conf.set(setting, history.ROCKSDB)
     try:
@@ -453,4 +458,4 @@ def stream_last_n(spark, folder):
         history.write_history(kept, path, scratch_path(spark, "progress")).awaitTermination()
     finally:
         spark.conf.set(setting, before)
-    return history.read_history(spark.read.parquet(path), KEPT).select("stream_id", "event_id")
+    return history.read_history(spark.read.parquet(path)).select("stream_id", "event_id")

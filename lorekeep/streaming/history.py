@@ -1,4 +1,4 @@
-"""Streaming event history: the newest N events of every stream, kept as keyed state."""
+"""Streaming event history: the newest N events of every stream, kept as keyed state, and its changes as rows."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from lorekeep.operators.events import MAX_EVENTS
 
@@ -19,6 +20,8 @@ EVENT = StructType(
         StructField("message", StringType()),
     ]
 )
+# A change of a history: an event that came to be kept, or one (without its message) that no longer is.
+CHANGE = StructType([*EVENT.fields, StructField("kept", BooleanType())])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _NAMES = EVENT.fieldNames()
 
@@ -48,31 +51,39 @@ class _History(StatefulProcessor):
         self.kept = handle.getListState("kept", StructType(EVENT.fields[1:]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [pd.DataFrame(list(self.kept.get()), columns=_NAMES[1:])] if self.kept.exists() else []
-        fresh = pd.concat([*held, *[r[_NAMES[1:]] for r in rows]])
+        held = pd.DataFrame(list(self.kept.get()) if self.kept.exists() else [], columns=_NAMES[1:])
+        known = [held] if len(held) else []
+        fresh = pd.concat([*known, *[r[_NAMES[1:]] for r in rows]])
         fresh.insert(0, "stream_id", key[0])
         newest = _newest(fresh, self.n)
+        come = newest[~newest["seq"].isin(held["seq"])].assign(kept=True)
+        gone = held[~held["seq"].isin(newest["seq"])].assign(stream_id=key[0], message=None, kept=False)
+        if not len(come):
+            return
         self.kept.put([(str(e), int(s), m) for e, s, m in newest[_NAMES[1:]].itertuples(index=False)])
-        yield newest
+        yield come
+        if len(gone):
+            yield gone[CHANGE.fieldNames()]
 
     def close(self) -> None:
         pass
 
 
 def stream_last_n(events: DataFrame, n: int = MAX_EVENTS) -> DataFrame:
-    """Retained history of every stream that changed in a trigger (update mode).
+    """What changed in a trigger (update mode, ``CHANGE``): events that came to be kept and events that left. What a
+    stream held before and still holds is not sent again, so the rows are at most twice the new events.
 
     ``events`` is a streaming frame of ``EVENT``. Evicted events leave the state with their ids, so a
     later replay from them finds nothing. Needs the RocksDB state store (``ROCKSDB``).
     """
     trimmed = events.select(*_NAMES).mapInPandas(trim_locally(n), EVENT)
     return trimmed.groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=_History(n), outputStructType=EVENT, outputMode="Update", timeMode="None"
+        statefulProcessor=_History(n), outputStructType=CHANGE, outputMode="Update", timeMode="None"
     )
 
 
 def write_history(history: DataFrame, path: str, checkpoint: str, **trigger):
-    """Starts the query that appends each trigger's histories under ``path``, one folder per batch.
+    """Starts the query that appends each trigger's changes under ``path``, one folder per batch.
     A batch that is run again replaces its own folder."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -87,8 +98,8 @@ def write_history(history: DataFrame, path: str, checkpoint: str, **trigger):
     )
 
 
-def read_history(batches: DataFrame, n: int = MAX_EVENTS) -> DataFrame:
-    """Latest retained history per stream from what ``write_history`` stored."""
-    from lorekeep.operators.events import last_n
-
-    return last_n(batches.select(*_NAMES).distinct(), n)
+def read_history(batches: DataFrame) -> DataFrame:
+    """The retained history from the changes that ``write_history`` stored: events that came and did not leave. An event
+    that left is older than all that are kept and never comes back, so the order of changes does not matter."""
+    merged = batches.groupBy("stream_id", "seq").agg(F.max("event_id").alias("event_id"), F.max("message").alias("message"), F.min("kept").alias("kept"))
+    return merged.filter("kept").select(*_NAMES)

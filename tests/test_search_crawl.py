@@ -390,7 +390,12 @@ def test_stream_history_over_batches_and_restart(spark, tmp_path):
         arriving = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(source)
         # each round is a restart from the same progress folder
         history.write_history(history.stream_last_n(arriving, 7), out, progress).awaitTermination()
-    got = {r.event_id for r in history.read_history(spark.read.parquet(out), 7).collect()}
+    changes = spark.read.parquet(out)
+    kept, left = (changes.filter(x).count() for x in ("kept", "not kept"))
+    assert kept <= len(rows) and left <= kept, "a change is stored once, what stays is not stored again"
+    assert changes.filter("kept").groupBy("stream_id", "seq").count().filter("count > 1").count() == 0
+    got = {r.event_id for r in history.read_history(changes).collect()}
+    assert kept - left == len(got)
     assert got == {r.event_id for r in events.last_n(spark.createDataFrame(rows, EVENT), 7).collect()}
 
 
