@@ -95,3 +95,24 @@ def test_units_cover_the_words():
         assert [w for _, _, words in parts for w in words] == text.lower().split()
         assert all(text[a:b].lower().split() == words for a, b, words in parts)
         assert all(b <= a for (_, b, _), (a, _, _) in zip(parts, parts[1:]))
+
+
+def test_digests_are_those_of_words():
+    rng = random.Random(10)
+    cut, spans, seen = substring.cutter(), substring.Spans(), {}
+    for _ in range(60):
+        text = "".join(rng.choice(["aB", "É", "İ", "🙂", "Σ", " ", " ", "\x1c", "\n", ". "]) for _ in range(rng.randint(0, 300)))
+        words, found = text.lower().split(), substring.Words(text, cut, spans)
+        assert [text[a:b].lower() for a, b in zip(found.begins, found.ends)] == words
+        begins, ends = substring.runs(found.firsts, 3)
+        assert len({*zip(begins.tolist(), ends.tolist())}) == len(begins)
+        for a, b, h in zip(begins, ends, zip(spans.hashes(found.hashes, begins, ends), spans.checks(found.hashes, begins, ends))):
+            assert seen.setdefault(tuple(words[a:b]), h) == h
+    assert len(set(seen.values())) == len(seen) > 1000
+
+
+def test_rows_alike_keep_their_text(spark):
+    text = prose(random.Random(11), 60)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, text + "\n" + text)], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.text.strip()) for r in substring.remove_repeats(docs).collect())
+    assert rows == [(1, text), (1, text), (2, ""), (3, "")]
