@@ -5,7 +5,9 @@ words and in-word 5-grams that a text has is fitted in numpy by the non-negative
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with the logistic loss: where the estimate of the negatives' risk falls below zero, the step undoes it.
+with the logistic loss: where the estimate of the negatives' risk falls below zero, the step undoes it. Every
+unlabelled row of the learning fold counts: they are dealt into blocks, a task fits a model to each block and all
+confirmed texts, and the model is the mean of theirs.
 """
 
 from __future__ import annotations
@@ -16,15 +18,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.session import cut_lineage
+
 BUCKETS = 1 << 20
-#: Most confirmed texts, and most unlabelled ones, that the fit reads (and so ids that are broadcast).
+#: Most confirmed texts that the fit reads (and so ids that are broadcast), and unlabelled rows of a block.
 SAMPLE = 20_000
-#: Features that the model has at most, and texts that a feature must be in among the confirmed ones.
-FEATURES, LEAST = 4_096, 10
+#: Features that the model has at most.
+FEATURES = 4_096
+#: Features have so many times the share among confirmed texts, and a likelihood ratio (G) of so much against chance.
+LIFT, EVIDENCE = 3, 10
 #: Words that a task remembers.
 MEMORY = 300_000
 CUT = 0.7
@@ -91,57 +98,88 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, p
     return w[:-1], float(w[-1])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, float | None]:
-    """(text, positive) of the rows to learn from, and the share of toxic ones among all that are labelled."""
+def _learning(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, float | None]:
+    """(id, text, positive) of the learning fold, and the share of toxic ones among all that are labelled.
+    Confirmed texts beyond ``sample`` are left out."""
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic"))
     n, toxic = known.agg(F.count("*"), F.sum((F.col("_toxic") == 1).cast("int"))).first()
-    by_hash = [F.xxhash64("_id"), F.col("_id")]
-    confirmed = known.where("_toxic = 1").orderBy(*by_hash).limit(sample).select("_id", F.lit(True).alias("positive"))
-    every = docs.select(F.col(id_col).alias("_id")).where("_id is not null").where(~held_out(F.col("_id")))
-    rest = every.join(known.where("_toxic = 1"), "_id", "left_anti").distinct().orderBy(*by_hash).limit(sample).select("_id", F.lit(False).alias("positive"))
-    chosen = F.broadcast(confirmed.unionByName(rest))  # at most twice ``sample`` ids
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id")
-    return picked.select("text", "positive"), (toxic / n if n and toxic and toxic < n else None)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from rows that are not held out: at most ``sample`` confirmed toxic texts and as many others,
-    each chosen by a hash of the id. The class prior is the share of toxic rows among all labelled ones."""
-    picked, prior = _sampled(docs, labels, id_col, text_col, label_col, sample)
-    if prior is None:
-        return Model({}, -5.0)
+    fold = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").where(~held_out(F.col("id")))
+    confirmed = known.where("_toxic = 1").select("_id")
+    chosen = F.broadcast(confirmed.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # at most ``sample`` ids
+    rows = fold.join(chosen, F.col("id") == F.col("_id"), "left").withColumn("positive", F.col("_id").isNotNull()).drop("_id")
+    if toxic and toxic > sample:
+        rest = rows.where("not positive").join(confirmed, F.col("id") == F.col("_id"), "left_anti")
+        rows = rows.where("positive").unionByName(rest)
+    return rows, (toxic / n if n and toxic and toxic < n else None)
+
+
+def _chosen(rows: DataFrame, limit: int) -> tuple[dict[int, int], int, int]:
+    """The number of each feature to use, and how many rows are positive and not. Counted over all rows, with
+    a sum for each feature and task."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = _Words(None), np.zeros((2, BUCKETS), np.int64)
+        known, sums = _Words(None), np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             for text, positive in zip(batch.column(0), batch.column(1), strict=True):
-                sums[int(positive.as_py()), list(features(text.as_py() or "", known))] += 1
-        used = np.flatnonzero(sums[1])
+                sums[int(positive.as_py()), [BUCKETS, *features(text.as_py() or "", known)]] += 1
+        used = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[1, used]), pa.array(sums[0, used])], names=["feature", "p", "u"])
 
-    sizes = {r["positive"]: r["count"] for r in picked.groupBy("positive").count().collect()}
-    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    seen = rows.select("text", "positive").mapInArrow(occurrences, "feature long, p long, u long")
+    seen = cut_lineage(seen.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))  # at most BUCKETS + 1 rows
+    sizes = seen.where(F.col("feature") == BUCKETS).first()
+    n_p, n_u = (sizes["p"], sizes["u"]) if sizes else (0, 0)
+    if not n_p or not n_u:
+        return {}, n_p, n_u
+    p, u = F.col("p"), F.col("u")
+    lift = ((p + 0.5) / n_p) / ((u + 0.5) / n_u)
+
+    def part(own: Column, size: int) -> Column:
+        return F.when(own > 0, own * F.log(own / ((p + u) * (size / (n_p + n_u))))).otherwise(0.0)
+
+    sure = 2 * (part(p, n_p) + part(u, n_u)) >= EVIDENCE
+    gain = p / n_p * F.log(lift)
+    best = seen.where((F.col("feature") < BUCKETS) & (lift >= LIFT) & sure).orderBy(gain.desc(), "feature").limit(limit).collect()
+    return {r["feature"]: i for i, r in enumerate(best)}, n_p, n_u
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, limit: int = FEATURES) -> Model:
+    """Learns from the rows that are not held out: of confirmed toxic texts at most ``sample``, chosen by a hash
+    of the id, and all others, in blocks of some ``sample`` rows. At most ``limit`` features are used. The class
+    prior is the share of toxic rows among all labelled ones; without both labels, or without texts of either
+    kind, the model is a constant."""
+    rows, prior = _learning(docs, labels, id_col, text_col, label_col, sample)
+    if prior is None:
+        return Model({}, -5.0)
+    chosen, n_p, n_u = _chosen(rows, limit)
     if not n_p or not n_u:
         return Model({}, -5.0)
-    seen = picked.mapInArrow(occurrences, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    lift = ((F.col("p") + 0.5) / n_p) / ((F.col("u") + 0.5) / n_u)
-    gain = F.col("p") / n_p * F.log(lift)
-    best = seen.where((F.col("p") >= LEAST) & (lift >= 3)).orderBy(gain.desc(), "feature").limit(FEATURES).collect()
-    chosen = {r["feature"]: i for i, r in enumerate(best)}
+    kind, blocks, width = rows.schema["id"].dataType.simpleString(), -(-n_u // sample), len(chosen)
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(set(chosen))
+        known, at = _Words(set(chosen)), 0
         for batch in batches:
-            held = [[chosen[f] for f in features(x.as_py() or "", known)] for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), batch.column(1)], names=["held", "positive"])
-
-    table = picked.mapInArrow(narrowed, "held array<int>, positive boolean").toArrow()  # chosen features of the sample alone
-    held = table["held"].to_pylist()
-    rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    cols = np.array([f for x in held for f in x], np.int64)
-    weights, bias = nnpu(rows, cols, np.array(table["positive"].to_pylist()), len(chosen), prior)
-    return Model({f: float(weights[i]) for f, i in chosen.items()}, bias)
+            held = [sorted(chosen[f] for f in features(x.as_py() or "", known)) for x in batch.column(1)]
+            # Numbered too, so that rows of one id are dealt out like any others.
+            block = [zlib.crc32(f"{x}:{at + i}".encode()) % blocks for i, x in enumerate(batch.column(0).to_pylist())]
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32())), batch.column(2), pa.array(block, pa.int32())], names=["id", "held", "positive", "block"])
+
+    table = cut_lineage(rows.mapInArrow(narrowed, f"id {kind}, held array<int>, positive boolean, block int"))
+    confirmed = table.where("positive").groupBy("id").agg(F.min("held").alias("held")).orderBy("id")  # a row for each id: ``sample`` at most
+    shared = docs.sparkSession.sparkContext.broadcast([r["held"] for r in confirmed.select("held").collect()])
+
+    def fitted(block: pd.DataFrame) -> pd.DataFrame:
+        held = [*shared.value, *sorted(map(list, block["held"]))]
+        each = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        cols = np.array([f for x in held for f in x], np.int64)
+        weights, bias = nnpu(each, cols, np.arange(len(held)) < len(shared.value), width, prior)
+        return pd.DataFrame({"at": np.arange(width + 1), "weight": np.append(weights, bias)})
+
+    means = table.where("not positive").select("block", "held").groupBy("block").applyInPandas(fitted, "at int, weight double").groupBy("at").agg(F.avg("weight").alias("weight"))
+    mean = {r["at"]: r["weight"] for r in means.collect()}  # at most ``limit`` + 1 rows
+    return Model({f: mean[i] for f, i in chosen.items()}, mean[width])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
