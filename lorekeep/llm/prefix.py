@@ -3,7 +3,8 @@
 The prefix array of a text holds, modulo two primes, the sum of c[i] * B**i over its first code points. Two
 of its entries give the hash of any span, so spans are compared in constant time, and the longest common
 extension of two places is found by binary search. A fingerprint is the hash of the whole text and the 64
-smallest of the hashes of its spans of 24 code points.
+smallest of the hashes of its spans of 24 code points; of a text under 96, shorter spans (a power of two, at most
+a quarter of the text) are among them, so that halves in common show at every length.
 """
 
 from __future__ import annotations
@@ -67,17 +68,23 @@ class Prefix:
                 high = middle - 1
         return low
 
-    def sketch(self) -> np.ndarray:
-        """The smallest mixed hashes of the spans, distinct and sorted; a shorter text is one span."""
-        if not self.n:
-            return np.zeros(0, np.uint32)
-        size = min(SPAN, self.n)
+    def mixed(self, size: int) -> np.ndarray:
+        """The hash of each span of so many code points, with both primes in it."""
         mixed = np.zeros(self.n - size + 1, np.uint64)
         for k, prime in enumerate(PRIMES):
             p, s = np.uint64(prime), self.sums[k]
             own = (s[size:] + p - s[:-size]) % p * self.powers.down[k][: len(mixed)] % p
             mixed = (mixed ^ own) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+    def sketch(self) -> np.ndarray:
+        """The smallest mixed hashes of the spans, distinct and sorted."""
+        if not self.n:
+            return np.zeros(0, np.uint32)
+        mixed = self.mixed(SPAN) if self.n >= SPAN else np.zeros(0, np.uint64)
+        if self.n < 4 * SPAN:
+            mixed = np.append(self.mixed(1 << max((self.n // 4).bit_length() - 1, 0)), mixed)
         mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
         few = KEPT
         while few < len(mixed):

@@ -46,3 +46,11 @@ def test_documents(spark, parts):
     assert len(by_text) == len({t or "" for _, t in rows})
     assert prefix.fingerprints(docs.where("false"), parts=parts).count() == 0
     assert [r.near_next for r in prefix.fingerprints(docs.where("doc_id = 1000"), parts=parts).collect()] == [1.0]
+
+
+def test_halves_show_at_every_length(spark):
+    rng = random.Random(12)
+    rows = [(n, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))) for n in range(2, 101)]
+    rows.append((101, "x" * 200))
+    got = [r for r in prefix.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), parts=3).collect() if r.doc_id < 101]
+    assert len(got) == 99 and all(r.near_edited > r.near_next for r in got)
