@@ -80,7 +80,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:
     rows = pages.select("page_id", "url", url_key(F.col("url")).alias("url_key"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("digest", "page_id")
     owners = large.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null")
-    joined = rows.hint("merge").join(owners.select("digest", "owner"), "digest", "left")
+    # Written first: a side that is an aggregate over its own exchange keeps AQE from splitting a hot payload.
+    joined = rows.join(cut_lineage(owners.select("digest", "owner")), "digest", "left")
     joined = joined.select("page_id", "url", "url_key", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -203,17 +204,18 @@ def read_back(wanted: DataFrame, shards: DataFrame, archives: str, index: str, t
         reader = _Reader(archives, index, firsts)
         for batch in batches:
             done, held = [], 0
-            for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for _, _, name, at, size in reader.captures(key, page_id):
-                    fields, payload = reader.record(name, at, size)
-                    whole = fields["WARC-Type"] == "response"
-                    refers = fields.get("WARC-Refers-To", "<urn:page:>")[10:-1]
-                    digest = hashlib.sha1(payload).hexdigest() if whole else fields["WARC-Payload-Digest"][5:]
-                    done.append((page_id, fields["WARC-Target-URI"], fields["WARC-Type"], int(refers) if refers else None, len(payload) if whole else None, digest, payload if whole else None))
-                    held += size
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in done], schema)
-                        done, held = [], 0
+            asked = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            places = [(name, at, size, page_id) for key, page_id in asked for _, _, name, at, size in reader.captures(key, page_id)]
+            for name, at, size, page_id in sorted(places, key=lambda x: x[:2]):  # an archive is opened once a batch
+                fields, payload = reader.record(name, at, size)
+                whole = fields["WARC-Type"] == "response"
+                refers = fields.get("WARC-Refers-To", "<urn:page:>")[10:-1]
+                digest = hashlib.sha1(payload).hexdigest() if whole else fields["WARC-Payload-Digest"][5:]
+                done.append((page_id, fields["WARC-Target-URI"], fields["WARC-Type"], int(refers) if refers else None, len(payload) if whole else None, digest, payload if whole else None))
+                held += size
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in done], schema)
+                    done, held = [], 0
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in done], schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])

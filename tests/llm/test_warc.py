@@ -42,3 +42,11 @@ def test_blocks_and_search(spark):
     missing = spark.createDataFrame([("aa)", 1), ("zz)", 1), ("test,h1)/1", 77)], "url_key string, page_id long")
     got = warc.read_back(some.unionByName(missing), shards, archives, index, 2).collect()
     assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(i, f"page {i}".encode()) for i in range(0, 400, 9)]
+
+
+def test_a_payload_of_half_the_pages(spark):
+    rows = [(i, f"http://h{i % 7}.org/{i}", "e" * 1500 if i % 2 else f"page {i}") for i in range(400)]
+    got = {r.page_id: r for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 400
+    assert all(got[i].refers_to == (399 if i % 2 and i != 399 else None) for i in got)
+    assert all(got[i].payload_bytes == (1500 if i % 2 else len(f"page {i}")) for i in got)
