@@ -10,6 +10,7 @@ the share of the template's shingles that stand in the text around it, 0.8 at le
 from __future__ import annotations
 
 import json
+import math
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -99,16 +100,43 @@ def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", tex
     found = []
     for name, grams, short, wide in known:
         keys = sorted({*short, *(k for x in wide for k in x)})
-        found.append(F.when(F.expr(f"arrays_overlap(_met, array({_numbers(keys)}))"), F.struct(F.lit(name).alias("template"), _best(grams).alias("best"))))
+        found.append(F.when(F.expr(f"arrays_overlap(_met, array({_numbers(keys)}))"), F.struct(F.lit(name).alias("template"), _best(grams, contained).alias("best"))))
     opened = rows.select("_id", "_n", once(F.array(*found)).alias("_found")).select("_id", "_n", F.explode("_found").alias("hit")).where(F.col("hit.best.share") >= contained)
     return opened.select(
         F.col("_id").alias(id_col), F.col("hit.template").alias("template"), F.col("hit.best.share").alias("containment"), (-F.col("hit.best.back")).alias("first_word"), F.col("_n").alias("n_words")
     )
 
 
-def _best(template: list[int]) -> Column:
-    """struct(share, back): the largest share of the template's shingles among as many from one of them on."""
+def _best(template: list[int], contained: float) -> Column:
+    """struct(share, back): the largest share of the template's shingles among as many from one of them on; null
+    if it is below ``contained``. Only places with so many occurrences of shingles are looked at closely."""
+    size = len(template)
+    need = max(math.ceil(contained * size - 1e-9), 1)
     own = F.expr(f"array({_numbers(template)})")
     at = F.expr(f"filter(sequence(0, size(grams) - 1), i -> grams[i] IN ({_numbers(template)}))")
-    share = F.transform(at, lambda i: F.struct((F.size(F.array_intersect(F.slice("grams", i + 1, len(template)), own)) / len(template)).alias("share"), (-i).alias("back")))
-    return F.array_max(share)
+
+    def closely(at: Column) -> Column:
+        dense = F.filter(F.sequence(F.lit(0), F.size(at) - need), lambda k: F.get(at, k + (need - 1)) < F.get(at, k) + size)
+        share = F.transform(dense, lambda k: F.struct((F.size(F.array_intersect(F.slice("grams", F.get(at, k) + 1, size), own)) / size).alias("share"), (-F.get(at, k)).alias("back")))
+        return F.when(F.size(at) >= need, F.array_max(share))
+
+    return F.get(F.transform(F.array(at), closely), F.lit(0))  # so that ``at`` is found once
+
+
+def best_in_place(found: DataFrame, templates: dict[str, str], id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``scan`` that no other explains better: of templates whose places in a text overlap, those with
+    the most shingles there (ties all stay). So a notice gives its own license, not the related ones too.
+    Repeated rows of one id and length are looked at as one text."""
+    given = found.sparkSession.createDataFrame(sorted(templates.items()), "template string, text string")
+    sizes = {r["template"]: r["n"] for r in _grams(given.select("template", words(F.col("text")).alias("words")), SHINGLE).select("template", F.size(F.array_distinct("grams")).alias("n")).collect()}
+    size = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])[F.col("template")]
+    hit = F.struct("template", "containment", "first_word", size.alias("size"), F.round(size * F.col("containment")).alias("met"))
+    # A text has at most a row for each template.
+    texts = found.groupBy(id_col, "n_words").agg(F.collect_list(hit).alias("hits"))
+
+    def outdone(x: Column, hits: Column) -> Column:
+        return F.exists(hits, lambda y: (y["met"] > x["met"]) & (y["first_word"] < x["first_word"] + x["size"]) & (x["first_word"] < y["first_word"] + y["size"]))
+
+    stay = F.filter(F.array_distinct("hits"), lambda x: ~outdone(x, F.col("hits")))
+    kept = texts.select(id_col, "n_words", F.explode(stay).alias("hit"))
+    return kept.select(id_col, "hit.template", "hit.containment", "hit.first_word", "n_words")

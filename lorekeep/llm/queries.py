@@ -112,7 +112,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_license_scan")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents"), licenses.NOTICES | licenses.TEXTS)
+    templates = licenses.NOTICES | licenses.TEXTS
+    return licenses.best_in_place(licenses.scan(table(spark, folder, "documents"), templates), templates)
 
 
 @query(

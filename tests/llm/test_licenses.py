@@ -54,3 +54,30 @@ def test_license_texts_and_bodies(spark):
     assert all((i, name) in found for i, (name, _) in enumerate(rows))
     for name in ("AGPL-3.0-notice", "LGPL-3.0-notice", "MPL-2.0-notice", "CC-BY-SA-4.0-notice"):
         assert name in licenses.NOTICES
+
+
+def test_a_notice_gives_its_own_license_alone(spark):
+    given = licenses.NOTICES
+    names = sorted(given)
+    rows = [(i, f"Some words stand before. {given[n]} And some stand behind.") for i, n in enumerate(names)]
+    rows += [(100, f"{given['GPL-3.0-notice']} {'between ' * 60} {given['AGPL-3.0-notice']}"), (None, given["MPL-2.0-notice"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.best_in_place(licenses.scan(docs, given), given)
+    assert got.columns == ["doc_id", "template", "containment", "first_word", "n_words"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, set()).add(r.template)
+    for i, name in enumerate(names):
+        assert found[i] <= {name, name.removesuffix("-notice")} and name in found[i] or name == "Apache-2.0"
+    assert found[100] == {"GPL-3.0-notice", "AGPL-3.0-notice"} and found[None] == {"MPL-2.0-notice"}
+
+
+def test_long_license_texts(spark):
+    given = licenses.NOTICES | licenses.TEXTS
+    name = max(licenses.TEXTS, key=lambda n: len(licenses.TEXTS[n]))
+    text = licenses.TEXTS[name]
+    docs = spark.createDataFrame([(n, f"{'word ' * 20_000} " + " ".join([text] * n)) for n in (1, 3)], "doc_id long, text string")
+    got = {(r.doc_id, r.template): r for r in licenses.best_in_place(licenses.scan(docs, given), given).collect()}
+    for n in (1, 3):
+        # A place has as many shingles as the template has different ones; this text repeats some.
+        assert got[n, name].containment > 0.97 and 20_000 <= got[n, name].first_word < 20_100
