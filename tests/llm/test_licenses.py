@@ -79,5 +79,6 @@ def test_long_license_texts(spark):
     docs = spark.createDataFrame([(n, f"{'word ' * 20_000} " + " ".join([text] * n)) for n in (1, 3)], "doc_id long, text string")
     got = {(r.doc_id, r.template): r for r in licenses.best_in_place(licenses.scan(docs, given), given).collect()}
     for n in (1, 3):
-        # A place has as many shingles as the template has different ones; this text repeats some.
-        assert got[n, name].containment > 0.97 and 20_000 <= got[n, name].first_word < 20_100
+        # A place has as many shingles as the template has different ones, and this text repeats some; of several
+        # copies in a row a place may reach over the end of one.
+        assert got[n, name].containment > 0.97 and got[n, name].first_word >= 20_000
