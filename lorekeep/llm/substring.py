@@ -19,8 +19,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ CASED = 0x1F000
 FACTOR = 0x9E3779B97F4A7C15
 #: Runs that are gathered for one output batch.
 BATCH = 50_000
+#: Code points whose words are hashed at a time; a longer word is hashed by itself.
+SLICE = 1 << 16
 
 
 def cutter() -> np.ndarray:
@@ -67,6 +69,18 @@ class Spans:
         np.cumsum(series * self.up[:n], out=sums[1:])
         return (sums[ends] - sums[begins]) * self.down[begins]
 
+    def words(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words of a text, SLICE code points at a time: a hash is the same wherever its word begins, so memory
+        does not grow with the text."""
+        out, at = np.zeros(len(begins), np.uint64), 0
+        while at < len(begins):
+            start = begins[at]
+            upto = max(at + 1, int(np.searchsorted(ends, start + SLICE, "right")))
+            part = codes[start : ends[upto - 1]].astype(np.uint64) + np.uint64(1)
+            out[at:upto] = self.hashes(part, begins[at:upto] - start, ends[at:upto] - start)
+            at = upto
+        return out
+
     def checks(self, series: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Modulo two primes: 62 bits."""
         n, lanes = len(series), []
@@ -100,7 +114,7 @@ class Words:
         kinds, self.begins, self.ends = _words(_codes(text), cut)
         codes = _codes(small)
         begins, ends = (self.begins, self.ends) if len(small) == len(text) else _words(codes, cut)[1:]
-        mixed = spans.hashes(codes.astype(np.uint64) + np.uint64(1), begins, ends)
+        mixed = spans.words(codes, begins, ends)
         mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(FACTOR)
         self.hashes = mixed ^ mixed >> np.uint64(29)
         starts = np.ones(len(begins), bool)
@@ -208,19 +222,22 @@ def _joined_up(spans: list) -> list[tuple[int, int]]:
 
 
 def _cut(text: Column, spans: Column) -> Column:
-    """struct(kept text, removed spans joined up)."""
-    @F.pandas_udf("kept string, removed array<struct<begin:int,end:int>>")
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        kept, gone = [], []
-        for text, found in zip(texts, spans, strict=True):
-            merged = _joined_up([(x["begin"], x["end"]) for x in found]) if found is not None else []
-            pieces, at = [], 0
-            for begin, end in merged:
-                pieces.append(text[at:begin])
+    """struct(kept text, removed spans joined up). Only texts that lose something leave their Arrow buffer."""
+
+    @F.arrow_udf("struct<kept:string,removed:array<struct<begin:int,end:int>>>")
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        hit = spans.is_valid()
+        pieces, gone = [], [[]] * len(texts)
+        for row in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist():
+            gone[row] = _joined_up([(x["begin"], x["end"]) for x in spans[row].as_py()])
+            source, left, at = texts[row].as_py(), [], 0
+            for begin, end in gone[row]:
+                left.append(source[at:begin])
                 at = end
-            kept.append("".join(pieces) + text[at:] if merged else text)
-            gone.append([{"begin": b, "end": e} for b, e in merged])
-        return pd.DataFrame({"kept": kept, "removed": gone})
+            pieces.append("".join(left) + source[at:])
+        kept = pc.replace_with_mask(texts, hit, pa.array(pieces, texts.type))
+        removed = pa.array(gone, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+        return pa.StructArray.from_arrays([kept, removed], ["kept", "removed"])
 
     return run(text, spans)
 
