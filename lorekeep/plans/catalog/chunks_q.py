@@ -218,12 +218,18 @@ FROM h WHERE level = 0
 """,
 )
 def heading_path(spark, folder):
-    blocks = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        (F.col("l_linenumber") % 3).alias("level"), F.col("l_partkey").cast("string").alias("text"),
-    )
-    found = chunking.heading_trail(blocks, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "level", "text")
-    return found.drop("level", "text").withColumn("headings", joined(F.col("headings")))
+    """Each order as a page of headings and paragraphs, read by the page parser; every line is one block."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    orders = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+    def element(x):
+        level = x["l_linenumber"] % 3
+        tag = F.when(level == 0, "p").otherwise(F.concat(F.lit("h"), level.cast("string")))
+        return F.concat(F.lit("<"), tag, F.lit(">"), x["l_partkey"].cast("string"), F.lit("</"), tag, F.lit(">"))
+
+    pages = orders.withColumn("html", F.array_join(F.transform("lines", element), "\n"))
+    blocks = html.html_blocks(pages).select("l_orderkey", "lines", F.inline("blocks")).filter("kind <> 'heading'")
+    return blocks.select("l_orderkey", F.col("lines")[F.col("ix")].alias("line"), joined(F.col("headings")).alias("headings")).select("l_orderkey", "line.*", "headings")
 
 
 # ---- titles and metadata ------------------------------------------------------------------------

@@ -124,12 +124,15 @@ SELECT p_partkey, CAST(column_ix AS BIGINT) AS column_ix, p_name || ', ' || name
 """,
 )
 def table_sentences(spark, folder):
+    """Each part as a page with a table of a header and one row, read by the page parser."""
     cents = F.round(F.col("p_retailprice") * 100).cast("bigint").cast("string")
     cells = F.array("p_name", "p_brand", "p_type", F.col("p_size").cast("string"), cents)
-    rows = table(spark, folder, "part").select("p_partkey", F.lit(1).alias("row_ix"), cells.alias("cells"))
-    header = F.array(*[F.lit(n) for n in ("Name", "Brand", "Type", "Size", "Price")])
-    said = html.table_sentences(rows, ["p_partkey"], "row_ix", "cells", header)
-    return said.select("p_partkey", F.col("column_ix").cast("bigint").alias("column_ix"), "sentence")
+    header = "".join(f"<th>{name}</th>" for name in ("Name", "Brand", "Type", "Size", "Price"))
+    row = F.array_join(F.transform(cells, lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), "")
+    page = F.concat(F.lit(f"<p>Parts</p><table><tr>{header}</tr><tr>"), row, F.lit("</tr></table>"))
+    blocks = html.html_blocks(table(spark, folder, "part").select("p_partkey", page.alias("html"))).select("p_partkey", F.inline("blocks"))
+    said = blocks.filter("kind = 'table'").select("p_partkey", F.posexplode(F.split("text", r"\. ")).alias("at", "sentence"))
+    return said.select("p_partkey", (F.col("at") + 1).cast("bigint").alias("column_ix"), "sentence")
 
 
 # ---- crawling over a link graph -----------------------------------------------------------------

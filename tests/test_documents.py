@@ -146,11 +146,9 @@ def test_heading_trail_is_reset_by_higher_headings(spark):
     rows = chunking.chunk_documents(docs, min_chunk_words=1).orderBy("chunk_ix").collect()
     assert [(r.headings, r.text) for r in rows] == [(["A"], "x"), (["A", "B"], "y"), (["C"], "z"), (["C", "D"], "w")]
 
-    flat = spark.createDataFrame(
-        [("d", 1, 1, "A"), ("d", 2, 0, "x"), ("d", 3, 2, "B"), ("d", 4, 0, "y"), ("d", 5, 1, "C"), ("d", 6, 0, "z"), ("d", 7, 3, "D"), ("d", 8, 0, "w")],
-        "doc string, ix int, level int, text string",
-    )
-    trail = chunking.heading_trail(flat, ["doc"], ["ix"], "level", "text").orderBy("ix").collect()
+    page = "<h1>A</h1><p>x</p><h2>B</h2><p>y</p><h1>C</h1><p>z</p><h3>D</h3><p>w</p>"
+    read = html.html_blocks(spark.createDataFrame([("d", page)], "id string, html string")).select(F.inline("blocks"))
+    trail = read.filter("kind = 'paragraph'").orderBy("ix").collect()
     assert [(r.headings, r.text) for r in trail] == [(r.headings, r.text) for r in rows]
 
 
