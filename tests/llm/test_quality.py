@@ -36,6 +36,37 @@ def test_held_out_accuracy_and_exact_top_k(spark):
     assert kept.columns == [*docs.columns, "key"] and kept.count() == rows.where("kept").count()
 
 
+def test_weights_by_hand(spark):
+    """The log ratios rebuilt from plain counts of every text, and weights, keys and the kept rows from them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    rows, model, least = quality.resample(docs, labels)
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    found = {i: quality.counts(t, quality._classes()) for i, t in texts.items()}
+
+    def shares(ids):
+        sums = sum(found[i] for i in ids) + 0.5
+        return np.concatenate([np.log(part / part.sum()) for part in np.split(sums, quality.ENDS[:-1])])
+
+    weights = shares([i for i in found if i in good]) - shares(found)
+    np.testing.assert_allclose(model.weights, weights, atol=1e-9)
+    got = {r.doc_id: r for r in rows.collect()}
+    for i, n in found.items():
+        parts = zip(np.split(n, quality.ENDS[:-1]), np.split(weights, quality.ENDS[:-1]))
+        means = [a @ w / a.sum() if a.sum() else 0.0 for a, w in parts]
+        assert abs(got[i].log_weight - (np.dot(means, model.slopes[:3]) + model.slopes[3])) < 1e-6
+    k = sum(r.log_weight > 0 for r in got.values())
+    first = sorted(got.values(), key=lambda r: -r.key)[:k]
+    assert {r.doc_id for r in got.values() if r.kept} == {r.doc_id for r in first} and least == first[-1].key
+
+
+def test_long_text(spark):
+    long = "Some words of a very long text. " * 40_000
+    docs = spark.createDataFrame([(1, long), (2, "Some words."), (3, "x")], "doc_id long, text string")
+    rows, _, _ = quality.resample(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"), k=3)
+    assert rows.where("kept").count() == 3
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "Some words."), (2, "Some words.")], "doc_id long, text string")
     labels = spark.createDataFrame([(None, 1), (2, None)], "doc_id long, quality int")
