@@ -16,6 +16,12 @@ def widths(vectors: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
 
 
+def units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of those that have a length, and which they are."""
+    norm = np.sqrt((rows * rows).sum(axis=1))
+    return rows[norm > 0] / norm[norm > 0, None], norm > 0
+
+
 def dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of the usable vectors of a list array, and their positions. Null and zero vectors, and
     those of another length than ``width``, are left out."""
@@ -23,8 +29,49 @@ def dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     if not width or not len(at):
         return np.zeros((0, width)), at[:0]
     rows = np.asarray(vectors.take(pa.array(at)).flatten(), dtype=np.float64).reshape(len(at), width)
-    norm = np.sqrt((rows * rows).sum(axis=1))
-    return rows[norm > 0] / norm[norm > 0, None], at[norm > 0]
+    unit, known = units(rows)
+    return unit, at[known]
+
+
+PACKED = "struct<width:int,places:binary,values:binary>"
+# Vectors that are packed at a time.
+PACK_ROWS = 1024
+
+
+def _place_type(width: int) -> str:
+    return "<u2" if width <= 1 << 16 else "<u4"
+
+
+def packed(embedding: Column, element: str) -> Column:
+    """``PACKED`` form of vectors of ``element`` ("<f4" or "<f8") for the way through a shuffle: bytes of all values, or where most
+    are zero those of the others and their places. Null and empty vectors are null."""
+    kind = pa.struct([("width", pa.int32()), ("places", pa.binary()), ("values", pa.binary())])
+
+    @F.arrow_udf(PACKED)
+    def pack(vectors: pa.Array) -> pa.Array:
+        sizes = widths(vectors)
+        found: list[dict | None] = [None] * len(sizes)
+        for width in np.unique(sizes[sizes > 0]).tolist():
+            group = np.flatnonzero(sizes == width)
+            for at in (group[i : i + PACK_ROWS] for i in range(0, len(group), PACK_ROWS)):
+                rows = np.asarray(vectors.take(pa.array(at)).flatten(), dtype=element).reshape(len(at), width)
+                for i, row in zip(at.tolist(), rows, strict=True):
+                    places = np.flatnonzero(row)
+                    if 2 * len(places) < width:
+                        found[i] = {"width": width, "places": places.astype(_place_type(width)).tobytes(), "values": row[places].tobytes()}
+                    else:
+                        found[i] = {"width": width, "places": None, "values": row.tobytes()}
+        return pa.array(found, kind)
+
+    return pack.asNondeterministic()(embedding)
+
+
+def unpacked(places: pa.Array, values: pa.Array, width: int, element: str) -> np.ndarray:
+    """The rows of packed vectors of one width, in double precision."""
+    rows = np.zeros((len(values), width))
+    for row, at, known in zip(rows, places.to_pylist(), values.to_pylist(), strict=True):
+        row[slice(None) if at is None else np.frombuffer(at, _place_type(width))] = np.frombuffer(known, element)
+    return rows
 
 
 def similarity_to(embedding: Column, vector: list[float]) -> Column:

@@ -19,6 +19,8 @@ Embedder = Callable[[list[str]], np.ndarray]
 _WORDS = re.compile(r"\w+")
 # Words whose codes a task remembers.
 WORD_MEMORY = 1 << 17
+# Vectors of an output batch.
+OUT_ROWS = 1000
 
 
 def word_code(word: str) -> int:
@@ -93,15 +95,17 @@ def embed(
                     return [None]
                 return [vector for text in texts for vector in guarded([text])]
 
-        for part in batches:
-            texts = part.to_pylist()
-            given = [i for i, t in enumerate(texts) if t is not None]
-            out: list[np.ndarray | None] = [None] * len(texts)
-            for at in range(0, len(given), batch):
-                spot = given[at : at + batch]
-                for i, vector in zip(spot, guarded([texts[i] for i in spot])):
-                    out[i] = vector
-            yield _vectors(out)
+        for whole in batches:
+            # Vectors are far wider than texts: they leave in parts, not one batch of as many as texts came.
+            for begin in range(0, max(len(whole), 1), OUT_ROWS):
+                texts = whole.slice(begin, OUT_ROWS).to_pylist()
+                given = [i for i, t in enumerate(texts) if t is not None]
+                out: list[np.ndarray | None] = [None] * len(texts)
+                for at in range(0, len(given), batch):
+                    spot = given[at : at + batch]
+                    for i, vector in zip(spot, guarded([texts[i] for i in spot])):
+                        out[i] = vector
+                yield _vectors(out)
 
     return run.asNondeterministic()(text)
 

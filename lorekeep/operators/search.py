@@ -23,10 +23,10 @@ MATCH_COUNT = 3
 LISTS = 100
 SHELVES = 256
 # Questions that a task holds at a time, and entries of a business that stream past them.
-BLOCK_ROWS = 2048
-ENTRY_ROWS = 2048
-# Entries scored by one product, and pairs scored again in double precision at a time.
-STEP, PAIRS = 1024, 4096
+BLOCK_ROWS = 4096
+ENTRY_ROWS = 16384
+# Entries unpacked at a time, scores of one product, and pairs scored again in double precision at a time.
+STEP, SCORES, PAIRS = 512, 1 << 20, 4096
 # More than single precision can be wrong by in a product of unit vectors.
 SLACK = 1e-4
 
@@ -68,8 +68,9 @@ class _Best:
 
     def offer(self, ids: np.ndarray, unit: np.ndarray) -> None:
         """Products in single precision choose the pairs that are computed in double."""
-        for at in range(0, len(ids), STEP):
-            part, names = unit[at : at + STEP], ids[at : at + STEP]
+        step = max(1, SCORES // len(self.keys))
+        for at in range(0, len(ids), step):
+            part, names = unit[at : at + step], ids[at : at + step]
             rough = part.astype(np.float32) @ self.single.T
             floor = self.floor - SLACK
             if len(names) > self.k:
@@ -91,8 +92,13 @@ class _Best:
         self.floor[full["q"]] = full["s"]
 
 
+def _element(asked: DataFrame, scan: DataFrame) -> str:
+    kinds = {rows.schema["embedding"].dataType.elementType.typeName() for rows in (asked, scan)}
+    return "<f4" if kinds == {"float"} else "<f8"
+
+
 def _met(asked: DataFrame, scan: DataFrame, scope: list[str]) -> DataFrame:
-    """Questions and entries of each scope in one stream of rows, cut into blocks on both sides: (scope, _e, _q, question_id, id, embedding),
+    """Questions and entries of each scope in one stream of rows, cut into blocks on both sides: (scope, _e, _q, question_id, id, packed),
     id null for questions. A question goes to each entry block of its scope, an entry to each
     question block, and of each pair of blocks the questions come first."""
 
@@ -108,22 +114,31 @@ def _met(asked: DataFrame, scan: DataFrame, scope: list[str]) -> DataFrame:
     sizes = blocks(asked, BLOCK_ROWS, "_nq").join(blocks(scan, ENTRY_ROWS, "_ne"), scope)
     # Sizes count rows without a vector as well, so that counting reads and computes no vectors.
     known, held = asked.join(sizes, scope), scan.join(sizes, scope).filter(F.size("embedding") > 0)
-    kinds = {asked.schema["embedding"].dataType, scan.schema["embedding"].dataType}
-    vector = F.col("embedding") if len(kinds) == 1 else F.col("embedding").cast("array<double>")
+    # Packed before rows are sent to each block, so a vector is packed once.
+    element = _element(asked, scan)
+    known, held = (rows.withColumn("packed", vx.packed(F.col("embedding"), element)) for rows in (known, held))
     no_id, no_question = F.lit(None).cast(scan.schema["id"].dataType).alias("id"), F.lit(None).cast(asked.schema["question_id"].dataType).alias("question_id")
-    questions = known.select(*scope, each("_ne").alias("_e"), dealt("question_id", "_nq").alias("_q"), F.lit(0).alias("_kind"), "question_id", no_id, vector)
-    entries = held.select(*scope, dealt("id", "_ne").alias("_e"), each("_nq").alias("_q"), F.lit(1).alias("_kind"), no_question, "id", vector)
+    questions = known.select(*scope, each("_ne").alias("_e"), dealt("question_id", "_nq").alias("_q"), F.lit(0).alias("_kind"), "question_id", no_id, "packed")
+    entries = held.select(*scope, dealt("id", "_ne").alias("_e"), each("_nq").alias("_q"), F.lit(1).alias("_kind"), no_question, "id", "packed")
     key = [*scope, "_e", "_q"]
     return questions.unionByName(entries).repartition(*key).sortWithinPartitions(*key, "_kind")
 
 
-def _score(met: DataFrame, scope: list[str], threshold: float, k: int) -> DataFrame:
+def _score(met: DataFrame, scope: list[str], element: str, threshold: float, k: int) -> DataFrame:
     """Of each pair of blocks, per question the best ``k`` entries at or above the threshold. Questions are held, entries stream by."""
     tenant = scope[0]
     schema = StructType([StructField(n, met.schema[n].dataType) for n in ("question_id", tenant, "id")]).add("similarity", "double")
     arrows, names = [to_arrow_type(f.dataType) for f in schema], schema.fieldNames()
     key = [*scope, "_e", "_q"]
 
+    def vectors(part: pa.RecordBatch, key: str) -> Iterator[tuple[int, list, np.ndarray]]:
+        sizes = part.column("width").to_numpy()
+        for width in np.unique(sizes).tolist():
+            rows = part.take(pa.array(np.flatnonzero(sizes == width)))
+            unit, known = vx.units(vx.unpacked(rows.column("places"), rows.column("values"), width, element))
+            if len(unit):
+                yield width, rows.column(key).filter(pa.array(known)).to_pylist(), unit
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, waiting, best = None, {}, {}
 
@@ -137,26 +152,24 @@ def _score(met: DataFrame, scope: list[str], threshold: float, k: int) -> DataFr
             of = list(zip(*(batch.column(c).to_pylist() for c in key), batch.column("_kind").to_pylist(), strict=True))
             starts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
             for begin, end in zip(starts, [*starts[1:], len(of)], strict=True):
-                part, (*here, kind) = batch.slice(begin, end - begin), of[begin]
+                *here, kind = of[begin]
                 if here != current:
                     yield from results(current or ())
                     current, waiting, best = here, {}, {}
-                vectors = part.column("embedding")
-                for width in np.unique(vx.widths(vectors)).tolist():
-                    unit, at = vx.dense(vectors, width)
-                    if not len(at):
-                        continue
-                    if kind == 0:
-                        waiting.setdefault(width, []).append((part.column("question_id").take(pa.array(at)).to_pylist(), unit))
-                        continue
-                    if width in waiting:
-                        asked = waiting.pop(width)
-                        best[width] = _Best([q for keys, _ in asked for q in keys], np.concatenate([u for _, u in asked]), threshold, k)
-                    if width in best:
-                        best[width].offer(np.array(part.column("id").take(pa.array(at)).to_pylist(), dtype=object), unit)
+                for at in range(begin, end, STEP):
+                    for width, keys, unit in vectors(batch.slice(at, min(STEP, end - at)), "id" if kind else "question_id"):
+                        if kind == 0:
+                            waiting.setdefault(width, []).append((keys, unit))
+                            continue
+                        if width in waiting:
+                            asked = waiting.pop(width)
+                            best[width] = _Best([q for some, _ in asked for q in some], np.concatenate([u for _, u in asked]), threshold, k)
+                            del asked
+                        if width in best:
+                            best[width].offer(np.array(keys, dtype=object), unit)
         yield from results(current or ())
 
-    return met.select(*key, "_kind", "question_id", "id", "embedding").mapInArrow(run, schema)
+    return met.select(*key, "_kind", "question_id", "id", "packed.*").mapInArrow(run, schema)
 
 
 def search_batch(
@@ -183,7 +196,7 @@ def search_batch(
     scan = entries.filter(F.col("is_active")).join(asked.select(*scope).distinct(), scope, "left_semi")
     scan = scan.select(*scope, "id", "embedding")
     order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.asc("id"))
-    scored = _score(_met(asked, scan, scope), scope, threshold, k)
+    scored = _score(_met(asked, scan, scope), scope, _element(asked, scan), threshold, k)
     return scored.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.functions import vectors as vx
 from lorekeep.operators import crawl, events, html, quality, search
 from lorekeep.operators import store as stores
 from lorekeep.sources import pages as scans
@@ -95,6 +96,33 @@ def test_a_vector_is_sent_once_for_each_block_of_the_other_side(spark, monkeypat
         assert first <= 100
 
 
+@pytest.mark.parametrize("kind, element", [("float", "<f4"), ("double", "<f8")])
+def test_vectors_are_packed_on_the_way(spark, kind, element):
+    """Mostly zero vectors leave as the values that are not zero; what is unpacked is what went in."""
+    sparse = [0.0] * 1536
+    sparse[3], sparse[1500] = 0.5, -2.0
+    vectors = [sparse, [1.0, 0.0, 3.0], [0.0, 0.0, 2.0], [0.0] * 8, None]
+    entries = spark.createDataFrame([(i, "t", v) for i, v in enumerate(vectors)], f"id long, business_id string, embedding array<{kind}>")
+    asked = entries.withColumnRenamed("id", "question_id").filter("question_id = 0")
+    met = search._met(asked, entries, ["business_id"]).filter("id is not null").select("id", "packed.*").orderBy("id").toArrow()
+    size = np.dtype(element).itemsize
+    assert [len(v) for v in met["values"].to_pylist()] == [2 * size, 3 * size, size, 0]
+    for i, width in enumerate(met["width"].to_pylist()):
+        row = met.slice(i, 1).combine_chunks()
+        found = vx.unpacked(row["places"].chunk(0), row["values"].chunk(0), width, element)
+        assert found.tolist() == [vectors[i]]
+
+
+def test_embedded_texts_leave_in_small_batches(spark):
+    """One batch of texts comes in; its vectors, which are far wider, go out in several."""
+    from lorekeep.operators import embed
+
+    rows = spark.range(2 * embed.OUT_ROWS + 1).coalesce(1).selectExpr("id", "if(id = 5, null, concat('word', id)) AS text")
+    out = embed.embed_chunks(rows).selectExpr("id", "text is null AS no_text", "embedding is null AS no_vector", "size(embedding) AS n").collect()
+    assert [r.id for r in out] == list(range(2 * embed.OUT_ROWS + 1))
+    assert all(r.no_text == r.no_vector and (r.no_text or r.n == 1536) for r in out)
+
+
 def test_ties_at_the_floor_and_in_many_blocks(spark, monkeypatch):
     """Equal vectors tie; the smallest ids win wherever their blocks end."""
     rows = [(i, "t", True, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(300)]
