@@ -9,7 +9,10 @@ from lorekeep.functions import text as tx
 from lorekeep.operators import crawl, html
 from lorekeep.plans.catalog.registry import SQL_WORD, docs, query, sql_words, table
 from lorekeep.plans.catalog.urls_q import CTE_LINKS, _links
-from lorekeep.session import cut_lineage
+from lorekeep.session import cut_lineage, dealt
+
+#: Parts that a task reads as pages.
+PAGE_ROWS = 20_000
 
 SQL_CLEAN = "regexp_replace(html, '<nav\\b.*?</nav>|<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', '', 'gis')"
 SQL_UNESCAPE = "regexp_replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;?', '&', 'g')"
@@ -130,7 +133,9 @@ def table_sentences(spark, folder):
     header = "".join(f"<th>{name}</th>" for name in ("Name", "Brand", "Type", "Size", "Price"))
     row = F.array_join(F.transform(cells, lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), "")
     page = F.concat(F.lit(f"<p>Parts</p><table><tr>{header}</tr><tr>"), row, F.lit("</tr></table>"))
-    blocks = html.html_blocks(table(spark, folder, "part").select("p_partkey", page.alias("html"))).select("p_partkey", F.inline("blocks"))
+    # Many parts fit into a file of one row group, which would be one task.
+    parts = dealt(table(spark, folder, "part"), PAGE_ROWS, "p_partkey")
+    blocks = html.html_blocks(parts.select("p_partkey", page.alias("html"))).select("p_partkey", F.inline("blocks"))
     said = blocks.filter("kind = 'table'").select("p_partkey", F.posexplode(F.split("text", r"\. ")).alias("at", "sentence"))
     return said.select("p_partkey", (F.col("at") + 1).cast("bigint").alias("column_ix"), "sentence")
 

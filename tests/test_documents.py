@@ -106,6 +106,18 @@ def test_table_sentences(spark):
     ]
 
 
+def test_parts_of_one_file_are_many_tasks(spark, tmp_path, monkeypatch):
+    from lorekeep.plans.catalog import pages_q
+
+    part = "id AS p_partkey, concat('n', id) AS p_name, 'b' AS p_brand, 't' AS p_type, cast(id AS int) AS p_size, 1.5D AS p_retailprice"
+    spark.sql(f"SELECT {part} FROM range(0, 100, 1, 1)").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(pages_q, "PAGE_ROWS", 5)
+    said = pages_q.table_sentences(spark, str(tmp_path))
+    assert said.rdd.getNumPartitions() == 20
+    assert said.count() == 400
+    assert said.filter("p_partkey = 7 AND column_ix = 3").first().sentence == "n7, Size = 7"
+
+
 # ---- chunking
 
 
