@@ -9,7 +9,7 @@ from lorekeep.functions import text as tx
 from lorekeep.operators import crawl, html
 from lorekeep.plans.catalog.registry import SQL_WORD, docs, query, sql_words, table
 from lorekeep.plans.catalog.urls_q import CTE_LINKS, _links
-from lorekeep.session import cut_lineage, dealt
+from lorekeep.session import cut_lineage, dealt, tasks_for
 
 #: Parts that a task reads as pages.
 PAGE_ROWS = 20_000
@@ -164,14 +164,15 @@ crawled AS (
 
 
 def _graph(spark, folder):
-    line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    tasks = tasks_for(table(spark, folder, "lineitem"), crawl.TASK_ROWS)
+    line = table(spark, folder, "lineitem").repartition(tasks, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("site"))
     prev = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     step = line.join(order, "l_orderkey").withColumn("prev", prev)
     host = F.concat(F.lit("https://c"), F.col("site").cast("string"), F.lit(".test/"))
     come = F.when(F.col("prev").isNull(), host).otherwise(F.concat(host, F.lit("p"), F.col("prev").cast("string")))
     go = F.concat(host, F.lit("p"), F.col("l_partkey").cast("string"))
-    return crawl.accepted_edges(step.select(come.alias("src"), go.alias("dst")).filter("src <> dst"))
+    return crawl.accepted_edges(step.select(come.alias("src"), go.alias("dst")).filter("src <> dst"), tasks)
 
 
 def _crawled(spark, folder):
@@ -205,4 +206,4 @@ def crawl_budget(spark, folder):
 @query("crawl_new_links", f"WITH {CTE_GRAPH} SELECT dst AS url FROM edges EXCEPT SELECT src FROM edges")
 def crawl_new_links(spark, folder):
     edges = cut_lineage(_graph(spark, folder))
-    return crawl.new_links(edges.select(F.col("dst").alias("url")), edges.select(F.col("src").alias("url")), ["url"])
+    return crawl.new_links(edges.select(F.col("dst").alias("url")), edges.select(F.col("src").alias("url")), ["url"], tasks_for(edges, crawl.TASK_ROWS))

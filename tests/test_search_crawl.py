@@ -377,6 +377,24 @@ def test_full_report(spark):
     assert row.issues == ["chunks too small", "right txt artifacts", "fragmented stats"]
 
 
+def test_crawl_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Links and reached pages are dealt out by their number: no task holds more because the session has few shuffle partitions."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.range(400).selectExpr("concat('https://s', id % 4, '.test/p', id) AS src", "concat('https://s', id % 4, '.test/p', id + 4) AS dst")
+    roots = spark.range(4).selectExpr("concat('https://s', id, '.test/p', id) AS root")
+    few = crawl.reachable(roots, edges, max_depth=5, max_urls=None)
+    monkeypatch.setattr(crawl, "TASK_ROWS", 10)
+    many = crawl.reachable(roots, edges, max_depth=5, max_urls=50)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    assert crawl._tasks(few, 400) > least
+    wide = spark.range(10 * least + 5).selectExpr("'r' AS root", "cast(id AS string) AS url", "1 AS depth")
+    listed = crawl.listing(wide)
+    assert listed.rdd.getNumPartitions() > least
+    assert [r.url for r in listed.collect()] == sorted(str(i) for i in range(10 * least + 5))
+    assert crawl.accepted_edges(edges, 3 * least).rdd.getNumPartitions() == 3 * least
+    assert crawl.new_links(edges.select("dst"), edges.selectExpr("src AS dst"), ["dst"], 3 * least).count() == 4
+
+
 # ---- events
 
 STORED = [("s", f"e{i}", i, "m") for i in range(1, 6)] + [("t", "f1", 9, "m")]
