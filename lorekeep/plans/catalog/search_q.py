@@ -227,9 +227,11 @@ def ann_search_cells(spark, folder):
 @query("ann_recall")
 def ann_recall(spark, folder):
     """Of the exact hits, the share that ten fitted cells give for each number of probed cells."""
-    celled, index = search.ann_build(entries(spark, folder), lists=10)
-    stored, exact = cut_lineage(celled), cut_lineage(_hits(spark, folder))
+    # What a search reads, without the texts; written once, since the fit and each search read it again.
+    searched = cut_lineage(entries(spark, folder).select("id", "business_id", "is_active", "embedding"))
     asked = _questions(spark, folder)
+    celled, index = search.ann_build(searched, lists=10)
+    stored, exact = cut_lineage(celled), cut_lineage(search.search_batch(searched, asked, THRESHOLD))
     shares = [
         search.recall(search.search_batch(stored, asked, THRESHOLD, index=index, nprobe=n), exact).withColumn("probes", F.lit(n)) for n in (1, 3, 7, 10)
     ]

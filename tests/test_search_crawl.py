@@ -377,6 +377,24 @@ def test_full_report(spark):
     assert row.issues == ["chunks too small", "right txt artifacts", "fragmented stats"]
 
 
+def test_recall_writes_and_sends_no_texts(spark, monkeypatch):
+    from oracle import DATA
+
+    from lorekeep.plans.catalog import search_q
+
+    written, write = [], search_q.cut_lineage
+
+    def noted(df):
+        written.append(set(df.columns))
+        return write(df)
+
+    monkeypatch.setattr(search_q, "cut_lineage", noted)
+    shares = {r.probes: (r.exact_hits, r.recall) for r in search_q.ann_recall(spark, f"{DATA}/sf0.001").collect()}
+    assert written and not any(columns & {"content", "title"} for columns in written)
+    exact = search_q._hits(spark, f"{DATA}/sf0.001").count()
+    assert {n for n, _ in shares.values()} == {exact} and shares[10][1] == 1.0
+
+
 def test_crawl_tasks_grow_with_the_rows(spark, monkeypatch):
     """Links and reached pages are dealt out by their number: no task holds more because the session has few shuffle partitions."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
