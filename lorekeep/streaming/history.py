@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -48,22 +49,26 @@ class _History(StatefulProcessor):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", StructType(EVENT.fields[1:]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.kept.get()) if self.kept.exists() else [], columns=_NAMES[1:])
-        known = [held] if len(held) else []
-        fresh = pd.concat([*known, *[r[_NAMES[1:]] for r in rows]])
-        fresh.insert(0, "stream_id", key[0])
-        newest = _newest(fresh, self.n)
-        come = newest[~newest["seq"].isin(held["seq"])].assign(kept=True)
-        gone = held[~held["seq"].isin(newest["seq"])].assign(stream_id=key[0], message=None, kept=False)
-        if not len(come):
+        # One text for a stream: each row of a list state is sent and packed by itself.
+        self.kept = handle.getValueState("kept", "events string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """Plain rows: a trigger brings a stream few events, for which frames cost far more than the work."""
+        known = self.kept.get()
+        held = {event[1]: tuple(event) for event in json.loads(known[0])} if known else {}
+        fresh = dict(held)
+        for row in rows:
+            fresh.setdefault(row["seq"], (row["event_id"], row["seq"], row["message"]))
+        newest = sorted(fresh)[-self.n :]
+        come = [seq for seq in newest if seq not in held]
+        if not come:
             return
-        self.kept.put([(str(e), int(s), m) for e, s, m in newest[_NAMES[1:]].itertuples(index=False)])
-        yield come
-        if len(gone):
-            yield gone[CHANGE.fieldNames()]
+        self.kept.update((json.dumps([fresh[seq] for seq in newest], ensure_ascii=False),))
+        for seq in come:
+            event_id, _, message = fresh[seq]
+            yield Row(stream_id=key[0], event_id=event_id, seq=seq, message=message, kept=True)
+        for seq in held.keys() - set(newest):
+            yield Row(stream_id=key[0], event_id=held[seq][0], seq=seq, message=None, kept=False)
 
     def close(self) -> None:
         pass
@@ -77,7 +82,7 @@ def stream_last_n(events: DataFrame, n: int = MAX_EVENTS) -> DataFrame:
     later replay from them finds nothing. Needs the RocksDB state store (``ROCKSDB``).
     """
     trimmed = events.select(*_NAMES).mapInPandas(trim_locally(n), EVENT)
-    return trimmed.groupBy("stream_id").transformWithStateInPandas(
+    return trimmed.groupBy("stream_id").transformWithState(
         statefulProcessor=_History(n), outputStructType=CHANGE, outputMode="Update", timeMode="None"
     )
 

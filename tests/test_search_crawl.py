@@ -444,6 +444,33 @@ def test_first_and_last_n_are_cut_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan and "Partial" in plan, name
 
 
+def test_history_state_holds_rows_not_frames():
+    """A trigger of a stream is plain rows, one read and one write of its state; doubled events count once, as first delivered."""
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    state = history._History(2)
+    state.kept = Value()
+
+    def trigger(*events):
+        rows = iter([history.Row(stream_id="s", event_id=e, seq=n, message=m) for e, n, m in events])
+        return [(r["event_id"], r["seq"], r["message"], r["kept"]) for r in state.handleInputRows(("s",), rows, None)]
+
+    assert trigger(("a", 1, "é"), ("b", 2, None), ("b2", 2, "x")) == [("a", 1, "é", True), ("b", 2, None, True)]
+    assert state.kept.calls == 2
+    assert trigger(("b", 2, None), ("old", 0, "m")) == []
+    assert trigger(("c", 3, "m")) == [("c", 3, "m", True), ("a", 1, None, False)]
+
+
 def test_stream_history_over_batches_and_restart(spark, tmp_path):
     rng = random.Random(2)
     seqs = list(range(300))
