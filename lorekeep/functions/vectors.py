@@ -3,12 +3,15 @@ goes through a matrix product; batches of questions through ``operators.search``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 
 def widths(vectors: pa.Array) -> np.ndarray:
@@ -22,6 +25,11 @@ def units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[norm > 0] / norm[norm > 0, None], norm > 0
 
 
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, summed in double precision."""
+    return np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+
+
 def dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of the usable vectors of a list array, and their positions. Null and zero vectors, and
     those of another length than ``width``, are left out."""
@@ -33,7 +41,8 @@ def dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return unit, at[known]
 
 
-PACKED = "struct<width:int,places:binary,values:binary>"
+# What stands for a vector that is packed.
+PACKED = StructType([StructField("width", IntegerType()), StructField("places", BinaryType()), StructField("values", BinaryType())])
 # Vectors that are packed at a time.
 PACK_ROWS = 1024
 
@@ -42,33 +51,46 @@ def _place_type(width: int) -> str:
     return "<u2" if width <= 1 << 16 else "<u4"
 
 
-def packed(embedding: Column, element: str) -> Column:
-    """``PACKED`` form of vectors of ``element`` ("<f4" or "<f8") for the way through a shuffle: bytes of all values, or where most
-    are zero those of the others and their places. Null and empty vectors are null."""
-    kind = pa.struct([("width", pa.int32()), ("places", pa.binary()), ("values", pa.binary())])
+def packed(rows: DataFrame, element: str) -> DataFrame:
+    """``rows`` with the fields of ``PACKED`` for ``embedding``, vectors of ``element`` ("<f4" or "<f8"): bytes of all values, or where
+    most are zero those of the others and their places. Rows of null and empty vectors are left out.
+
+    A function of batches, not of a column: that would keep the rows with their vectors in the JVM until their bytes are back.
+    """
+    kept = [f for f in rows.schema if f.name != "embedding"]
+    schema = StructType([*kept, *PACKED])
+    names, kinds = [f.name for f in kept], [to_arrow_type(f.dataType) for f in PACKED]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in (whole.slice(begin, PACK_ROWS) for begin in range(0, len(whole), PACK_ROWS)):
+                sizes = widths(part.column("embedding"))
+                for width in np.unique(sizes[sizes > 0]).tolist():
+                    some = part.take(pa.array(np.flatnonzero(sizes == width)))
+                    vectors = np.asarray(some.column("embedding").flatten(), dtype=element).reshape(len(some), width)
+                    places, values = [], []
+                    for row in vectors:
+                        at = np.flatnonzero(row)
+                        most = 2 * len(at) >= width
+                        places.append(None if most else at.astype(_place_type(width)).tobytes())
+                        values.append((row if most else row[at]).tobytes())
+                    columns = [some.column(name) for name in names]
+                    columns += [pa.array(column, kind) for column, kind in zip(([width] * len(some), places, values), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return rows.mapInArrow(pack, schema)
 
-    @F.arrow_udf(PACKED)
-    def pack(vectors: pa.Array) -> pa.Array:
-        sizes = widths(vectors)
-        found: list[dict | None] = [None] * len(sizes)
-        for width in np.unique(sizes[sizes > 0]).tolist():
-            group = np.flatnonzero(sizes == width)
-            for at in (group[i : i + PACK_ROWS] for i in range(0, len(group), PACK_ROWS)):
-                rows = np.asarray(vectors.take(pa.array(at)).flatten(), dtype=element).reshape(len(at), width)
-                for i, row in zip(at.tolist(), rows, strict=True):
-                    places = np.flatnonzero(row)
-                    if 2 * len(places) < width:
-                        found[i] = {"width": width, "places": places.astype(_place_type(width)).tobytes(), "values": row[places].tobytes()}
-                    else:
-                        found[i] = {"width": width, "places": None, "values": row.tobytes()}
-        return pa.array(found, kind)
 
-    return pack.asNondeterministic()(embedding)
+def values(places: pa.Array, held: pa.Array, width: int, element: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each packed vector, the places of the values that are held, and these in double precision."""
+    every = np.arange(width)
+    for at, known in zip(places.to_pylist(), held.to_pylist(), strict=True):
+        yield every if at is None else np.frombuffer(at, _place_type(width)).astype(np.int64), np.frombuffer(known, element).astype(np.float64)
 
 
 def unpacked(places: pa.Array, values: pa.Array, width: int, element: str) -> np.ndarray:
-    """The rows of packed vectors of one width, in double precision."""
-    rows = np.zeros((len(values), width))
+    """The rows of packed vectors of one width."""
+    rows = np.zeros((len(values), width), element)
     for row, at, known in zip(rows, places.to_pylist(), values.to_pylist(), strict=True):
         row[slice(None) if at is None else np.frombuffer(at, _place_type(width))] = np.frombuffer(known, element)
     return rows

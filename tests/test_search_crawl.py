@@ -123,6 +123,47 @@ def test_embedded_texts_leave_in_small_batches(spark):
     assert all(r.no_text == r.no_vector and (r.no_text or r.n == 1536) for r in out)
 
 
+def _records_shuffled(plan):
+    """Rows that all exchanges of a plan that has run have written."""
+    inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan"}.get(plan.getClass().getSimpleName())
+    plan = getattr(plan, inner)() if inner else plan
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if plan.metrics().contains("shuffleRecordsWritten") else 0
+    return own + sum(_records_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_blocks_are_written_once_however_many_meet(spark, monkeypatch, tmp_path):
+    """Of 8 blocks of questions and 10 of entries, 80 pairs meet; each vector is shuffled and stored once."""
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(search, "ENTRY_ROWS", 100)
+    monkeypatch.setattr(search, "scratch_path", lambda *_: str(tmp_path / "blocks"), raising=False)
+    entries = spark.range(1_000).selectExpr("id", "'t' AS business_id", "array(1.0f, cast(id AS float)) AS embedding")
+    asked = spark.range(400).selectExpr("id AS question_id", "'t' AS business_id", "array(1.0f, cast(id AS float)) AS embedding")
+    met = search._met(asked, entries, ["business_id"])
+    assert len(met.collect()) == 1_000 * 8 + 400 * 10
+    assert _records_shuffled(met._jdf.queryExecution().executedPlan()) < 2 * 1_400
+    # A vector of two floats is 8 bytes, and each of 18 blocks is a stream with a schema of its own.
+    assert sum(f.stat().st_size for f in (tmp_path / "blocks").iterdir()) < 1_400 * 80 + 18 * 2_000
+
+
+def test_mostly_zero_questions_equal_brute_force(spark, monkeypatch):
+    """Places that many questions hold, places that few hold, none at all, equal and zero vectors; in several steps of a block."""
+    monkeypatch.setattr(search, "STEP", 64)
+    monkeypatch.setattr(search, "FIRST", 16)
+    rng = np.random.default_rng(3)
+    vectors = np.zeros((300, 240), np.float32)
+    for row in vectors:
+        places = np.concatenate([rng.choice(12, 4, replace=False), 12 + rng.choice(228, 8, replace=False)])
+        row[places] = rng.integers(-2, 4, len(places))
+    vectors[200::9], vectors[7], vectors[8] = vectors[0], 0, np.eye(1, 240, 239)
+    rows = [(i, f"t{i % 2}", i % 11 != 0, v.tolist()) for i, v in enumerate(vectors)]
+    asked = [(f"q{i}", f"t{i % 2}", v.tolist()) for i, v in enumerate(vectors)]
+    hits = search.search_batch(spark.createDataFrame(rows, ENTRY), spark.createDataFrame(asked, QUESTION), 0.2, 4)
+    got = {(r.question_id, r.hit_rank): (r.id, r.similarity) for r in hits.collect()}
+    want = _brute([r for r in rows if any(r[3])], [q for q in asked if any(q[2])], 0.2, 4)
+    assert {key: hit[0] for key, hit in got.items()} == {key: hit[0] for key, hit in want.items()}
+    assert max(abs(got[key][1] - want[key][1]) for key in want) < 1e-8
+
+
 def test_ties_at_the_floor_and_in_many_blocks(spark, monkeypatch):
     """Equal vectors tie; the smallest ids win wherever their blocks end."""
     rows = [(i, "t", True, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(300)]
