@@ -33,6 +33,8 @@ STORED, STEP, SCORES, PAIRS = 1024, 4096, 1 << 20, 1024
 FIRST = 512
 # Tasks that pairs of blocks are dealt out to, for each of the session's shuffle partitions.
 PAIR_TASKS = 4
+# At most so many tasks share a block of questions; a task goes on with what it has found for it in its next entry block.
+LANES = 16
 # Of questions with at most one value in so many that is not zero, a place goes through the product if as many of the questions hold it.
 SPARSE = 12
 # More than single precision can be wrong by in a product of unit vectors.
@@ -212,7 +214,9 @@ def _pairs(asked: DataFrame, scan: DataFrame, scope: list[str], folder: str) ->
     entries = _stored(vx.packed(held, element), [*scope, "_e"], "id", folder)
     # Pairs are few and small, and each is much work: dealt out evenly, to so many tasks that AQE doesn't join them up.
     tasks = PAIR_TASKS * int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.join(questions, scope).repartition(tasks).sortWithinPartitions(*scope, "_q", "_e")
+    turn = F.hash(*scope).cast("long") + F.col("_q").cast("long") * LANES + F.col("_e") % LANES
+    pairs = entries.join(questions, scope).repartitionById(tasks, F.pmod(turn, F.lit(tasks)).cast("int"))
+    return pairs.sortWithinPartitions(*scope, "_q", "_e")
 
 
 def _block(files, root: str, pair: dict, side: str) -> Iterator[pa.RecordBatch]:

@@ -145,6 +145,15 @@ def test_blocks_are_written_once_however_many_meet(spark, monkeypatch, tmp_path)
     assert sum(f.stat().st_size for f in (tmp_path / "blocks").iterdir()) < 1_400 * 80 + 18 * 2_000
 
 
+def test_hits_of_a_question_leave_few_tasks(spark, monkeypatch):
+    """What leaves the scoring grows with the questions, not with the entry blocks that they meet."""
+    monkeypatch.setattr(search, "ENTRY_ROWS", 10)
+    entries = spark.range(1_000).selectExpr("id", "'t' AS business_id", "array(1.0f, cast(id AS float)) AS embedding")
+    asked = spark.range(40).selectExpr("id AS question_id", "'t' AS business_id", "array(1.0f, cast(id AS float)) AS embedding")
+    scored = search._score(asked, entries, ["business_id"], -1.0, 3).groupBy("question_id").agg(F.count("id").alias("n")).collect()
+    assert len(scored) == 40 and all(3 <= r.n <= 16 * 3 for r in scored)
+
+
 def test_mostly_zero_questions_equal_brute_force(spark, monkeypatch):
     """Places that many questions hold, places that few hold, none at all, equal and zero vectors; in several steps of a block."""
     monkeypatch.setattr(search, "STEP", 64)
